@@ -35,16 +35,20 @@ def is_head(line: Column) -> Column:
     return line.rlike(HEAD)
 
 
-def head_fields(line: Column) -> dict[str, Column]:
-    """Time, level, logger and message of a line; an impossible time is NULL, the rest stays."""
-    head = is_head(line)
-    time = F.regexp_extract(line, HEAD, 1)
-    return {
-        "ts": F.when(head, F.try_to_timestamp(time, F.lit(HEAD_TIME)).cast("timestamp_ntz")),
-        "level": F.when(head, F.regexp_extract(line, HEAD, 2)),
-        "logger": F.when(head, F.regexp_extract(line, HEAD, 3)),
-        "message": F.when(head, F.regexp_replace(line, HEAD, "")).otherwise(line),
-    }
+def split_head(line: Column) -> Column:
+    """Time, level, logger and message as an array; NULL for a line that is not a head."""
+    marked = F.regexp_replace(line, HEAD, "$1\u0001$2\u0001$3\u0001")
+    return F.when(is_head(line), F.split(marked, "\u0001", 4))
+
+
+def head_fields(parts: Column, line: Column) -> dict[str, Column]:
+    """The columns in an array from ``split_head``.
+
+    An impossible time is NULL and the rest stays; a line that is not a head is all message.
+    """
+    time = F.try_to_timestamp(parts[0], F.lit(HEAD_TIME)).cast("timestamp_ntz")
+    return {"ts": time, "level": parts[1], "logger": parts[2],
+            "message": F.coalesce(parts[3], line)}
 
 
 def severity(level: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -68,7 +67,8 @@ DEFAULT_RULES = [
                executor_group=3),
 ]
 
-_SEP = "\u0001"
+# Never part of an exporter line.
+SEPARATOR = "\u0001"
 
 
 def clean_name(name: Column, lowercase: bool = True) -> Column:
@@ -77,27 +77,27 @@ def clean_name(name: Column, lowercase: bool = True) -> Column:
     return F.lower(legal) if lowercase else legal
 
 
-def match_rules(line: Column, rules: Sequence[MetricRule], lowercase: bool = True) -> Column:
-    """A struct (metric, type, labels...) from the first rule that matches, else NULL.
+def first_match(line: Column, rules: Sequence[MetricRule]) -> Column:
+    """Name, type and label texts of the first rule that matches, separated; NULL if none does.
 
-    Per line: substring tests, the pattern of the rules that pass them, and one replacement that
-    lays the winner's name and labels out in fields. All of it runs inside generated code.
+    A rule costs a substring test and, where that holds, one replacement that lays all texts out at
+    once. A text without separator means that the pattern was not found. The filter over an array
+    of one is there to look at that text without working it out again.
     """
-    out = None
+    texts = []
     for rule in rules:
-        template = _SEP.join([rule.name] + [f"${rule.labels()[label]}" if label in rule.labels()
-                                            else "" for label in LABELS])
-        laid_out = F.split(F.regexp_replace(line, f"^.*(?:{rule.pattern}).*$", template), _SEP)
-        fields = [clean_name(laid_out[0], lowercase).alias("metric"),
-                  F.lit(rule.type).alias("type")]
-        for position, label in enumerate(LABELS, start=1):
-            text = laid_out[position]
-            fields.append(F.when(text != "", text).alias(label))
-        hit = line.contains(rule.literal) & line.rlike(rule.pattern)
-        row = F.struct(*fields)
-        out = F.when(hit, row) if out is None else out.when(hit, row)
-    return out
-
-
-def group_count(rule: MetricRule) -> int:
-    return re.compile(rule.pattern).groups
+        labels = rule.labels()
+        template = SEPARATOR.join([rule.name, rule.type] + [f"${labels[name]}" if name in labels else ""
+                                                       for name in LABELS])
+        laid_out = F.regexp_replace(line, f"^.*?{rule.pattern}.*$", template)
+        found = F.filter(F.array(laid_out), lambda text: text.contains(SEPARATOR))
+        texts.append(F.when(line.contains(rule.literal), F.get(found, F.lit(0))))
+    return F.coalesce(*texts)
+
+
+def read_match(fields: Column, lowercase: bool = True) -> dict[str, Column]:
+    """The columns in the split text of ``first_match``; a label without text is NULL."""
+    columns = {"metric": clean_name(fields[0], lowercase), "type": fields[1]}
+    for place, name in enumerate(LABELS, start=2):
+        columns[name] = F.when(fields[place] != "", fields[place])
+    return columns

@@ -34,7 +34,7 @@ def mean_and_spread(df: DataFrame, key: str, value: str) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
     partial = rows.mapInPandas(parts, f"k {kind}, n long, mean double, m2 double")
-    # Squares are taken around each part's own mean, so large values lose no digits.
+    # The spread inside the parts, plus that of the parts' means around the whole mean.
     merged = partial.groupBy("k").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("total"),
         F.sum("m2").alias("inside"),

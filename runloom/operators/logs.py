@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runloom.functions.logs import (DEFAULT_THRESHOLDS, DROPPED_TEXT, head_fields, is_head,
-                                    severity, threshold)
+                                    severity, split_head, threshold)
 
 
 def parse_logs(lines: DataFrame, line: str = "line") -> DataFrame:
     """Split lines into ts, level, logger, message. A line without a head is all message."""
-    fields = head_fields(F.col(line))
-    return lines.select(*[c for c in lines.columns if c != line],
-                        *[value.alias(name) for name, value in fields.items()])
+    others = [c for c in lines.columns if c != line]
+    # Exploded, so that filters on the fields are not moved down to parse each line again.
+    parts = F.explode(F.array(split_head(F.col(line)))).alias("_head")
+    fields = head_fields(F.col("_head"), F.col(line))
+    return lines.select(*others, line, parts).select(
+        *others, *[value.alias(name) for name, value in fields.items()])
 
 
 def filter_by_threshold(logs: DataFrame, rules: Sequence[tuple[str, str]] = DEFAULT_THRESHOLDS,
@@ -76,13 +79,14 @@ def assemble_log_events(lines: DataFrame, max_lines: int = 100_000) -> DataFrame
     numbered = number_lines(lines)
     start = F.coalesce(F.col("event_line"), F.lit(1))
     part = F.floor((F.col("line_no") - start) / F.lit(max_lines))
-    head = F.col("line_no") == F.col("event_line")
-    fields = head_fields(F.col("line"))
-    pieces = numbered.select(
-        "file", F.coalesce("event_line", F.lit(0)).alias("event_line"), part.alias("part"),
-        "line_no",
-        *[F.when(head, fields[name]).alias(name) for name in ("ts", "level", "logger")],
-        F.when(head, fields["message"]).otherwise(F.col("line")).alias("message"))
+    # Only heads are parsed; an event's other lines go on as they are.
+    parts = F.when(F.col("line_no") == F.col("event_line"), split_head(F.col("line")))
+    numbered = numbered.select("file", F.coalesce("event_line", F.lit(0)).alias("event_line"),
+                               part.alias("part"), "line_no", "line",
+                               F.explode(F.array(parts)).alias("_head"))
+    fields = head_fields(F.col("_head"), F.col("line"))
+    pieces = numbered.select("file", "event_line", "part", "line_no",
+                             *[value.alias(name) for name, value in fields.items()])
     grouped = pieces.groupBy("file", "event_line", "part").agg(
         F.max("ts").alias("ts"), F.max("level").alias("level"), F.max("logger").alias("logger"),
         F.sort_array(F.collect_list(F.struct("line_no", "message"))).alias("_lines"))

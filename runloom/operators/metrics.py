@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.functions.metric_rules import DEFAULT_RULES, LABELS, MetricRule, match_rules
+from runloom.functions.metric_rules import (DEFAULT_RULES, LABELS, SEPARATOR, MetricRule,
+                                            first_match, read_match)
 from runloom.operators.slices import previous_values, slice_time
 
 SERIES = ["metric", "type", *LABELS]
@@ -16,11 +17,15 @@ SERIES = ["metric", "type", *LABELS]
 def normalize_metrics(lines: DataFrame, rules: Sequence[MetricRule] = DEFAULT_RULES,
                       lowercase: bool = True, keep_unmatched: bool = False) -> DataFrame:
     """Replace ``line`` by metric name, type and label columns; lines without a rule are dropped."""
-    matched = lines.withColumn("_match", match_rules(F.col("line"), rules, lowercase))
-    if not keep_unmatched:
-        matched = matched.where(F.col("_match").isNotNull())
     others = [c for c in lines.columns if c != "line"]
-    return matched.select(*others, *[F.col(f"_match.{c}").alias(c) for c in SERIES])
+    fields = F.split(first_match(F.col("line"), rules), SEPARATOR)
+    # The fields come out of an explode, a missing match as no row (or, to keep it, a NULL). Filters
+    # on them, here or in a later step, would otherwise be moved down past this projection and work
+    # all patterns out a second time.
+    found = F.array(fields) if keep_unmatched else F.array_compact(F.array(fields))
+    matched = lines.select(*others, F.explode(found).alias("_match"))
+    columns = read_match(F.col("_match"), lowercase)
+    return matched.select(*others, *[columns[name].alias(name) for name in SERIES])
 
 
 def label_map(metrics: DataFrame, out: str = "labels") -> DataFrame:

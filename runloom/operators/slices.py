@@ -36,18 +36,20 @@ def slice_values(df: DataFrame, value: str, slices: int,
     the result.
     """
     source = df if sample_of is None else sample_of
-    cuts = source.stat.approxQuantile(value, [i / slices for i in range(1, slices)], 0.2 / slices)
-    return df.withColumn(SLICE, _position(F.col(value), sorted(set(cuts)), 0))
-
-
-def _position(value: Column, cuts: list[float], base: int) -> Column:
-    """How many cut points are <= value, by halving. NULL sorts first."""
-    if not cuts:
-        return F.lit(base).cast("long")
-    middle = len(cuts) // 2
-    return (F.when(value >= F.lit(cuts[middle]),
-                   _position(value, cuts[middle + 1:], base + middle + 1))
-            .otherwise(_position(value, cuts[:middle], base)))
+    shares = [i / slices for i in range(1, slices)]
+    cuts = source.stat.approxQuantile(value, shares, 0.2 / slices) if shares else []
+    return _position(df, F.col(value), sorted(set(cuts)))
+
+
+def _position(df: DataFrame, value: Column, cuts: list[float]) -> DataFrame:
+    """How many cut points are <= value, found by halving: one short step per bit. NULL counts none."""
+    bounds = F.lit(cuts) if cuts else F.array().cast("array<double>")
+    out = df.withColumn(SLICE, F.lit(0))
+    for bit in reversed(range(len(cuts).bit_length())):
+        size = 1 << bit
+        reached = value >= F.get(bounds, F.col(SLICE) + F.lit(size - 1))
+        out = out.withColumn(SLICE, F.col(SLICE) + F.when(reached, size).otherwise(0))
+    return out
 
 
 def earlier(keys: Sequence[str]) -> WindowSpec:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,14 +97,17 @@ def executor_state_counts(status: DataFrame,
     newest = latest_status(status.select(*APP, "ts", "event_id", "executor_state"))
     values = F.map_values("executor_state")
 
-    def count(keep) -> Column:
-        return F.coalesce(F.size(F.filter(values, keep)).cast("long"), F.lit(0))
+    def count(keep: Callable[[Column], Column]) -> Column:
+        # The size of a missing map is missing; it has no executors in any state.
+        return F.coalesce(F.size(F.filter(values, lambda s: keep(s))).cast("long"), F.lit(0))
 
-    counted = F.when(F.col("executor_state").isNotNull(), F.lit(True))
-    columns = [F.when(counted, count(lambda s, name=name: s == name)).otherwise(F.lit(0))
-               .alias(name.lower()) for name in states]
-    other = F.when(counted, count(lambda s: ~s.isin(list(states)))).otherwise(F.lit(0))
-    return newest.select(*APP, *columns, other.alias("other"))
+    def is_state(name: str) -> Callable[[Column], Column]:
+        return lambda s: s == name
+
+    known = list(states)
+    return newest.select(
+        *APP, *[count(is_state(name)).alias(name.lower()) for name in known],
+        count(lambda s: ~s.isin(known)).alias("other"))
 
 
 def classify_owner(status: DataFrame) -> DataFrame:

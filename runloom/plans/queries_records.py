@@ -14,7 +14,7 @@ from runloom.operators import status as A
 from runloom.plans import stand_ins as S
 from runloom.plans.registry import query, table
 from runloom.session import scratch_dir
-from runloom.sources import files
+from runloom.sources import files, sinks
 
 # --- metrics ---------------------------------------------------------------------------------
 
@@ -97,7 +97,10 @@ SELECT sample_id, ts, value, {SERIES},
 FROM (SELECT *, lag(value) OVER (PARTITION BY {SERIES} ORDER BY ts, sample_id) AS before
       FROM ({METRICS_SQL}) WHERE type = 'COUNTER')""")
 def counter_delta(spark, d):
-    deltas = M.counter_delta(M.normalize_metrics(S.metric_samples(spark, d)), 86400)
+    # Deltas read their input twice; a written table spares matching all lines again.
+    path = scratch_dir(spark, "metrics")
+    sinks.write_parquet(M.normalize_metrics(S.metric_samples(spark, d)), path)
+    deltas = M.counter_delta(spark.read.parquet(path), 86400)
     return deltas.withColumn("delta", F.round("delta", 6))
 
 

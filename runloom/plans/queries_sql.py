@@ -475,10 +475,11 @@ SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderd
        hour(o_orderdate) AS h
 FROM {orders}""", ["orders"], {}),
     "fn_math": ("""
-SELECT l_orderkey, l_partkey, l_linenumber, floor(l_quantity / 3) AS f, ceil(l_tax * 100) AS c,
+SELECT l_orderkey, l_partkey, l_linenumber, CAST(floor(l_quantity / 3) AS BIGINT) AS f,
+       CAST(ceil(l_tax * 100) AS BIGINT) AS c,
        round(l_extendedprice, -2) AS r, abs(l_discount - 0.05) AS a, round(sqrt(l_quantity), 6) AS s,
        round(ln(l_extendedprice), 6) AS lg, round(exp(l_discount), 6) AS ex,
-       round(power(l_quantity, 2), 2) AS p, sign(l_discount - 0.05) AS sg,
+       round(power(l_quantity, 2), 2) AS p, CAST(sign(l_discount - 0.05) AS INT) AS sg,
        l_orderkey % 7 AS md, greatest(l_quantity, l_tax * 100) AS g, least(l_discount, l_tax) AS le,
        round(sin(l_quantity), 6) AS sn, l_orderkey & 255 AS bits, l_partkey | 1 AS odd
 FROM {lineitem}""", ["lineitem"], {}),

@@ -183,8 +183,8 @@ def stream_state(spark, d):
     """State of our own per user, kept across micro-batches."""
     spark = stream_session(spark)
     path = scratch_dir(spark, "stream_state")
-    tracked = stateful.track_activity(stream(spark, d, "events"), "user_id", "value", "event_id")
+    tracked = stateful.track_activity(stream(spark, d, "events"), "user_id", "value")
     O.upsert_batches(tracked, f"{path}/changes", f"{path}/checkpoint",
                      every=None).awaitTermination()
-    merged = stateful.merge_activity(spark.read.parquet(f"{path}/changes"))
+    merged = stateful.read_activity(spark.read.parquet(f"{path}/changes"))
     return merged.withColumn("total", F.round("total", 4))

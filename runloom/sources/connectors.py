@@ -67,19 +67,23 @@ def copy_table(spark: SparkSession, source: str, target: str) -> None:
     spark.table(source).writeTo(target).create()
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, driver: str,
-              partition_col: str | None = None, lower: int | None = None,
-              upper: int | None = None, partitions: int | None = None,
-              fetch_size: int = 10_000, **options) -> DataFrame:
-    """A database table. Give a numeric or time column and its range to read it in parallel.
+def jdbc_options(url: str, table: str, driver: str, partition_col: str | None = None,
+                 lower: int | str | None = None, upper: int | str | None = None,
+                 partitions: int | None = None, fetch_size: int = 10_000,
+                 **options: str) -> dict[str, str]:
+    """Reader options for a database table, read in parallel when a column and its range are given.
 
     The range only sets the stride: rows outside it are read too, by the first and last task.
     """
-    reader = (spark.read.format("jdbc").option("url", url).option("dbtable", table)
-              .option("driver", driver).option("fetchsize", fetch_size).options(**options))
+    out = {"url": url, "dbtable": table, "driver": driver, "fetchsize": str(fetch_size), **options}
     if partition_col:
         if None in (lower, upper, partitions):
             raise ValueError("a partitioned read needs lower, upper and partitions")
-        reader = (reader.option("partitionColumn", partition_col).option("lowerBound", lower)
-                  .option("upperBound", upper).option("numPartitions", partitions))
-    return reader.load()
+        out |= {"partitionColumn": partition_col, "lowerBound": str(lower),
+                "upperBound": str(upper), "numPartitions": str(partitions)}
+    return out
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, driver: str, **options) -> DataFrame:
+    """A database table; see ``jdbc_options``. Filters and column choice reach the database."""
+    return spark.read.format("jdbc").options(**jdbc_options(url, table, driver, **options)).load()

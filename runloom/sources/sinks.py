@@ -58,9 +58,14 @@ def write_table(df: DataFrame, table: str, path: str | None = None, fmt: str = "
 
 def insert_overwrite(df: DataFrame, table: str) -> None:
     """Replace only the partitions that ``df`` holds rows for."""
+    conf, mode = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
     columns = df.sparkSession.table(table).columns
-    (df.select(*columns).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").insertInto(table))
+    before = conf.get(mode)
+    conf.set(mode, "dynamic")
+    try:
+        df.select(*columns).write.mode("overwrite").insertInto(table)
+    finally:
+        conf.set(mode, before)
 
 
 def publish(df: DataFrame, path: str, version: int) -> None:

@@ -10,36 +10,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def track_activity(events: DataFrame, key: str, value: str, spread: str,
-                   parts: int = 16) -> DataFrame:
-    """Count, sum and highest value per (key, part), updated as rows arrive.
+def track_activity(events: DataFrame, key: str, value: str) -> DataFrame:
+    """Count, sum and highest value per key, updated as rows arrive.
 
-    Each key's state is kept in ``parts`` pieces, chosen by a hash of ``spread``, so that a hot key
-    is worked on by several tasks. ``merge_activity`` adds the pieces up.
+    Rows are added up per key inside each Arrow batch before they are shuffled to the state, so a
+    key with a third of the rows sends it one row per batch.
     """
+    kind = events.schema[key].dataType.simpleString()
+    fields = f"key {kind}, n long, total double, highest double"
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            grouped = batch.groupby("key", dropna=False)["value"]
+            yield pd.DataFrame({"n": grouped.size(), "total": grouped.sum(),
+                                "highest": grouped.max()}).reset_index()
+
     def update(group: tuple, batches: Iterator[pd.DataFrame],
                state: GroupState) -> Iterator[pd.DataFrame]:
         n, total, highest = state.get if state.exists else (0, 0.0, float("-inf"))
         for batch in batches:
-            n += len(batch)
-            total += float(batch["value"].sum())
-            highest = max(highest, float(batch["value"].max()))
+            n += int(batch["n"].sum())
+            total += float(batch["total"].sum())
+            highest = max(highest, float(batch["highest"].max()))
         state.update((n, total, highest))
-        yield pd.DataFrame({"key": [group[0]], "part": [group[1]], "n": [n], "total": [total],
-                            "highest": [highest]})
+        yield pd.DataFrame({"key": [group[0]], "n": [n], "total": [total], "highest": [highest]})
 
-    kind = events.schema[key].dataType.simpleString()
-    rows = events.select(F.col(key).alias("key"),
-                         F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int").alias("part"),
-                         F.col(value).cast("double").alias("value"))
-    return rows.groupBy("key", "part").applyInPandasWithState(
-        update, f"key {kind}, part int, n long, total double, highest double",
-        "n long, total double, highest double", "update", GroupStateTimeout.NoTimeout)
-
-
-def merge_activity(table: DataFrame) -> DataFrame:
-    """Per key, from the newest state of each of its parts."""
-    newest = (table.groupBy("key", "part")
-              .agg(F.max_by(F.struct("n", "total", "highest"), "batch").alias("s")))
-    return newest.groupBy("key").agg(F.sum("s.n").alias("n"), F.sum("s.total").alias("total"),
-                                     F.max("s.highest").alias("highest"))
+    rows = events.select(F.col(key).alias("key"), F.col(value).cast("double").alias("value"))
+    return rows.mapInPandas(add_up, fields).groupBy("key").applyInPandasWithState(
+        update, fields, "n long, total double, highest double", "update",
+        GroupStateTimeout.NoTimeout)
+
+
+def read_activity(changes: DataFrame) -> DataFrame:
+    """The newest state of each key among the batches written by ``upsert_batches``."""
+    newest = changes.groupBy("key").agg(
+        F.max_by(F.struct("n", "total", "highest"), "batch").alias("s"))
+    return newest.select("key", "s.n", "s.total", "s.highest")
