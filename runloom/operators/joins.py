@@ -7,16 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.operators.slices import rows_only, slice_time, with_carried, within
+from runloom.operators.slices import (MAX_ROWS, rows_only, slice_hot_keys, with_carried,
+                                      within)
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str,
               right_order: str, columns: dict[str, str],
-              slice_seconds: int = 86400) -> DataFrame:
+              max_rows: int = MAX_ROWS) -> DataFrame:
     """For each left row, columns of the newest right row of its key at or before its time.
 
     ``columns`` maps output names to columns of ``right``; ``right_order`` settles equal times. Both
-    inputs are merged into one ordered sequence per key and slice: linear, and whole for left rows
+    inputs are merged into one ordered sequence per key: linear, and whole for left rows
     without a match (NULL).
     """
     newest = F.struct(*[F.col(source).alias(out) for out, source in columns.items()])
@@ -24,15 +25,16 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str,
              .unionByName(right.select(*keys, ts, newest.alias("_found"),
                                        F.col(right_order).alias("_tie"), F.lit(0).alias("_side")),
                           allowMissingColumns=True))
-    sliced = slice_time(sides, ts, slice_seconds)
+    order = [ts, "_side", "_tie"]
+    sliced = slice_hot_keys(sides, keys, order, max_rows)
     newest_of_slice = F.max_by(
         "_found", F.when(F.col("_side") == 0, F.struct(ts, "_tie"))).alias("_newest")
     seeded = with_carried(
         sliced, keys, [newest_of_slice],
         lambda w: [F.last("_newest", ignorenulls=True).over(w).alias("_found")])
-    w = within(keys, [ts, "_side", "_tie"])
+    w = within(sliced, keys, order)
     found = F.last("_found", ignorenulls=True).over(w)
-    return (rows_only(seeded.withColumn("_hit", found)).where(F.col("_side") == 1)
+    return (rows_only(seeded.withColumn("_hit", found), max_rows).where(F.col("_side") == 1)
             .select(*left.columns, *[F.col(f"_hit.{out}").alias(out) for out in columns]))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions.metric_rules import (DEFAULT_RULES, LABELS, SEPARATOR, MetricRule,
                                             first_match, read_match)
-from runloom.operators.slices import previous_values, slice_time
+from runloom.operators.slices import MAX_ROWS, previous_values
 
 SERIES = ["metric", "type", *LABELS]
 
@@ -53,13 +53,13 @@ def gauge_rollup(metrics: DataFrame, width: str = "1 hour") -> DataFrame:
             .drop("_window"))
 
 
-def counter_delta(metrics: DataFrame, slice_seconds: int = 3600) -> DataFrame:
+def counter_delta(metrics: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """What each counter sample adds to the one before it; after a reset, the new value itself.
 
     The first sample of a series has no delta.
     """
-    counters = slice_time(metrics.where(F.col("type") == "COUNTER"), "ts", slice_seconds)
-    rows = previous_values(counters, SERIES, ["ts", "sample_id"], {"_previous": "value"})
+    counters = metrics.where(F.col("type") == "COUNTER")
+    rows = previous_values(counters, SERIES, ["ts", "sample_id"], {"_previous": "value"}, max_rows)
     value, previous = F.col("value"), F.col("_previous")
     return (rows.withColumn("delta", F.when(value < previous, value).otherwise(value - previous))
             .withColumn("reset", F.coalesce(value < previous, F.lit(False)))

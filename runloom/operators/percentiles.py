@@ -7,22 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.operators.slices import running_all, slice_values
+from runloom.operators.slices import MAX_ROWS, running_all
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
-                      percentiles: dict[str, float], slices: int = 256) -> DataFrame:
+                      percentiles: dict[str, float], max_rows: int = MAX_ROWS) -> DataFrame:
     """Interpolated percentiles ``{new column: share}`` of ``value`` per key.
 
     The built-in exact percentile holds all distinct values of a group in one buffer. Here values
-    are counted, the counts added up slice by slice along the value, and of each group only the
-    values on both sides of each wanted place are kept.
+    are counted, the counts added up along the value, and of each group only the values
+    on both sides of each wanted place are kept.
     """
     known = df.where(F.col(value).isNotNull())
     counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    sliced = slice_values(counts.withColumn("_rows", F.col("_n")), value, slices, sample_of=known)
     # Counting from 0, a value takes the places from _upto - _n to _upto - 1.
-    placed = running_all(sliced, keys, [value], {"_upto": ("_rows", "sum")})
+    placed = running_all(counts.withColumn("_rows", F.col("_n")), keys, [value],
+                         {"_upto": ("_rows", "sum")}, max_rows=max_rows)
     totals = (counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
               .withColumnsRenamed({k: f"_t_{k}" for k in keys}))
     same = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runloom.functions.times import epoch_seconds, seconds, to_epoch
-from runloom.operators.slices import newest_per_key, previous_values, running, slice_time
+from runloom.operators.slices import (MAX_ROWS, SLICE, newest_per_key, previous_values,
+                                      running, slice_hot_keys)
 
 # Stands for the end of a run that has none yet.
 _NO_END = "9999-12-31 00:00:00"
@@ -40,7 +41,7 @@ def missed_slots(schedules: DataFrame, runs: DataFrame, t0: str, t1: str) -> Dat
 
 
 def overlapping_runs(runs: DataFrame, schedules: DataFrame,
-                     slice_seconds: int = 86400) -> DataFrame:
+                     max_rows: int = MAX_ROWS) -> DataFrame:
     """Runs that began while an earlier run of their schedule was still going.
 
     A run that begins exactly when another ends does not overlap it; a run without end is still
@@ -49,8 +50,8 @@ def overlapping_runs(runs: DataFrame, schedules: DataFrame,
     """
     kind = runs.schema["end"].dataType
     ends = runs.withColumn("_end", F.coalesce("end", F.lit(_NO_END).cast(kind)))
-    seen = running(slice_time(ends, "start", slice_seconds), ["schedule_id"],
-                   ["start", "run_id"], "_end", "max", "_latest", include_current=False)
+    seen = running(ends, ["schedule_id"], ["start", "run_id"], "_end", "max", "_latest",
+                   include_current=False, max_rows=max_rows)
     late = seen.where(F.col("_latest") > F.col("start")).drop("_end", "_latest")
     policy = schedules.select(
         "schedule_id", F.coalesce("concurrency_policy", F.lit("Allow")).alias("policy"))
@@ -71,39 +72,40 @@ def retained_runs(runs: DataFrame, schedules: DataFrame) -> DataFrame:
         "schedule_id",
         F.coalesce("successful_limit", F.lit(1)).alias("_successful"),
         F.coalesce("failed_limit", F.lit(1)).alias("_failed"))
+    highest = limits.agg(F.max(F.greatest("_successful", "_failed"))).first()[0] or 0
     outcome = F.col("outcome")
     limit = F.coalesce(F.when(outcome == "failed", F.col("_failed"))
                        .otherwise(F.col("_successful")), F.lit(1))
-    finished = runs.where(outcome.isin("failed", "successful")).join(limits, "schedule_id", "left")
-    return (newest_per_key(finished, ["schedule_id", "outcome"], ["start", "run_id"],
-                           limit, spread="run_id")
-            .drop("_successful", "_failed"))
+    finished = (runs.where(outcome.isin("failed", "successful"))
+                .join(limits, "schedule_id", "left").withColumn("_limit", limit)
+                .drop("_successful", "_failed"))
+    return newest_per_key(finished, ["schedule_id", "outcome"], ["start", "run_id"], "_limit",
+                          max(highest, 1)).drop("_limit")
 
 
-def number_chains(runs: DataFrame, policy: DataFrame, slice_seconds: int = 86400) -> DataFrame:
+def number_chains(runs: DataFrame, policy: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Give every run the number of its retry chain within its schedule.
 
     A run continues the chain of the run before it if that one failed and this one started within
     the schedule's retry interval after its end; any other run opens a new chain.
     """
-    key = ["schedule_id"]
-    rows = slice_time(runs, "start", slice_seconds)
-    rows = previous_values(rows, key, ["start", "run_id"],
-                           {"_before_end": "end", "_before_outcome": "outcome"})
+    key, order = ["schedule_id"], ["start", "run_id"]
+    rows = slice_hot_keys(runs, key, order, max_rows)
+    rows = previous_values(rows, key, order,
+                           {"_before_end": "end", "_before_outcome": "outcome"}, max_rows=None)
     rows = rows.join(policy.select("schedule_id", "retry_interval_seconds"), "schedule_id", "left")
     wait = seconds(F.col("retry_interval_seconds"))
     retry = ((F.col("_before_outcome") == "failed")
              & (F.col("start") <= F.col("_before_end") + wait))
     rows = rows.withColumn("_opens", F.when(retry, 0).otherwise(1))
     rows = rows.drop("_before_end", "_before_outcome", "retry_interval_seconds")
-    return (running(slice_time(rows, "start", slice_seconds), key, ["start", "run_id"],
-                    "_opens", "sum", "chain")
-            .drop("_opens"))
+    return (running(rows, key, order, "_opens", "sum", "chain", max_rows=None)
+            .drop("_opens", SLICE))
 
 
-def retry_chains(runs: DataFrame, policy: DataFrame, slice_seconds: int = 86400) -> DataFrame:
+def retry_chains(runs: DataFrame, policy: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """One row per retry chain; ``exceeded`` if it holds more retries than the schedule allows."""
-    chains = (number_chains(runs, policy, slice_seconds)
+    chains = (number_chains(runs, policy, max_rows)
               .groupBy("schedule_id", "chain")
               .agg(F.count(F.lit(1)).alias("runs"),
                    F.min("start").alias("first_start"),

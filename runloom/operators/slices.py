@@ -1,114 +1,154 @@
 """Ordered computations over keys of any size.
 
-A window over a key puts all rows of that key into one task. Here a key's rows are first cut into
-slices along their order (an hour of time, a range of values). Each slice then starts with one extra
-row that carries what the slices before it add up to, so a plain window over (key, slice) gives the
-same answer as one over the key, while a hot key is spread over as many tasks as it has slices.
-
-The carried rows come from a pre-aggregated table with one row per key and slice: its size depends
-on the time span and the slice width, not on the number of rows.
+A window over a key puts all rows of that key into one task. Here keys are counted first. If none
+holds more rows than a task should (the usual case), a plain window does the work. Otherwise the
+rows of each large key are cut into slices along the order, and each slice starts with one extra row
+that carries what the slices before it add up to. A window over (key, slice) then gives the same
+answer as one over the key, while a hot key is spread over as many tasks as it has slices.
+
+Several steps over the same keys and order can share one cut: call ``slice_hot_keys`` first and pass
+``max_rows=None`` to the steps, which then take the rows as they are and leave the slices on them.
+
+Cut points are taken from a sample and may fall anywhere in the order, between rows of equal time
+too. Where they fall affects balance only, never the result. Both what is collected to find them and
+what is broadcast to apply them is bounded: at most ``2 * MOST_SLICES`` slices in all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
 from pyspark.sql import functions as F
-
-from runloom.functions.times import epoch_seconds
+from pyspark.sql import types as T
 
 SLICE = "_slice"
 CARRIED = "_carried"
 
-
-def slice_time(df: DataFrame, ts: str, width_seconds: int = 3600) -> DataFrame:
-    """Cut along time: every slice covers ``width_seconds``."""
-    return df.withColumn(SLICE, F.floor(epoch_seconds(df, ts) / F.lit(width_seconds)))
+# Rows of one key that one task is given at most, unless the table has so many rows that this
+# would make more than MOST_SLICES slices.
+MAX_ROWS = 5_000_000
+MOST_SLICES = 4096
+_SAMPLED_PER_SLICE = 32
 
 
-def slice_values(df: DataFrame, value: str, slices: int,
-                 sample_of: DataFrame | None = None) -> DataFrame:
-    """Cut along a number into about equal row counts; equal values stay together.
+def slice_hot_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+                   max_rows: int | None = MAX_ROWS) -> DataFrame:
+    """Add the slice number of each row, or return ``df`` as it is if no key is too large.
 
-    The cut points are approximate quantiles of the column in ``sample_of`` (default: ``df``): one
-    narrow pass, ``slices`` numbers back to the driver. Where they fall affects balance only, never
-    the result.
+    ``order`` must give every row of a key a place of its own. Counting reads the key columns only.
     """
-    source = df if sample_of is None else sample_of
-    shares = [i / slices for i in range(1, slices)]
-    cuts = source.stat.approxQuantile(value, shares, 0.2 / slices) if shares else []
-    return _position(df, F.col(value), sorted(set(cuts)))
-
-
-def _position(df: DataFrame, value: Column, cuts: list[float]) -> DataFrame:
-    """How many cut points are <= value, found by halving: one short step per bit. NULL counts none."""
-    bounds = F.lit(cuts) if cuts else F.array().cast("array<double>")
+    if max_rows is None:
+        return df
+    seen = Observation()
+    counts = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+              .observe(seen, F.sum("_n").alias("rows")))
+    largest = counts.orderBy(F.desc("_n")).limit(MOST_SLICES).collect()
+    if not largest or largest[0]["_n"] <= max_rows:
+        return df
+    target = max(max_rows, seen.get["rows"] // MOST_SLICES)
+    hot = [row for row in largest if row["_n"] > target]
+    cuts = _cut_points(df, keys, order, hot, target)
+    # Keys without cut points keep all their rows in slice 0.
+    joined = _null_safe_join(df, F.broadcast(cuts), keys, "left")
+    return _place(joined, F.struct(*order), F.col("_cuts"), max(row["_n"] for row in hot) // target + 2
+                  ).drop("_cuts")
+
+
+def _cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: list,
+                target: int) -> DataFrame:
+    """Per hot key, an ascending array of order values, about ``target`` rows apart."""
+    spark = df.sparkSession
+    key_schema = T.StructType([df.schema[k] for k in keys])
+    known = spark.createDataFrame([tuple(row[k] for k in keys) for row in hot], key_schema)
+    fraction = min(1.0, _SAMPLED_PER_SLICE / target)
+    sample = (_null_safe_join(df.select(*dict.fromkeys([*keys, *order])), F.broadcast(known), keys)
+              .sample(fraction, seed=17))
+    per_slice = max(1, int(target * fraction))
+    cuts = sample.groupBy(*keys).agg(F.filter(
+        F.sort_array(F.collect_list(F.struct(*order))),
+        lambda _, i: (i + 1) % per_slice == 0).alias("_cuts"))
+    # Fixed here, so that every use of the slices in a plan sees the same cut points.
+    return spark.createDataFrame(cuts.collect(), cuts.schema)
+
+
+def _place(df: DataFrame, value: Column, bounds: Column, most: int) -> DataFrame:
+    """How many bounds are <= value, found by halving: one short step per bit."""
     out = df.withColumn(SLICE, F.lit(0))
-    for bit in reversed(range(len(cuts).bit_length())):
+    for bit in reversed(range((4 * most).bit_length())):
         size = 1 << bit
         reached = value >= F.get(bounds, F.col(SLICE) + F.lit(size - 1))
         out = out.withColumn(SLICE, F.col(SLICE) + F.when(reached, size).otherwise(0))
     return out
 
 
-def earlier(keys: Sequence[str]) -> WindowSpec:
-    """All slices of the key before the current one."""
-    return (Window.partitionBy(*keys).orderBy(SLICE)
-            .rowsBetween(Window.unboundedPreceding, -1))
+def _null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str],
+                    how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet; the keys come once."""
+    other = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return left.join(other, same, how).drop(*[f"_r_{c}" for c in on])
+
 
+def _group(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    return [*keys, SLICE] if SLICE in df.columns else list(keys)
 
-def with_carried(df: DataFrame, keys: Sequence[str],
-                 totals: Sequence[Column],
-                 carry: Callable[[WindowSpec], Sequence[Column]]) -> DataFrame:
+
+def with_carried(df: DataFrame, keys: Sequence[str], totals: Sequence[Column],
+                 carry: Callable[[WindowSpec], Sequence[Column]],
+                 backwards: bool = False) -> DataFrame:
     """``df`` plus one carried row per key and slice, marked by the column ``_carried``.
 
     ``totals`` are named aggregates of one slice. ``carry`` gets the window over the earlier slices
-    and returns the columns of the carried row, named as the columns of ``df`` they stand for.
+    (the later ones if ``backwards``), nearest last, and returns the columns of the carried row,
+    named as the columns of ``df`` they stand for. Without slices there is nothing to carry.
     """
+    rows = df.withColumn(CARRIED, F.lit(0))
+    if SLICE not in df.columns:
+        return rows
     per_slice = df.groupBy(*keys, SLICE).agg(*totals)
-    seeds = per_slice.select(*keys, SLICE, *carry(earlier(keys)), F.lit(1).alias(CARRIED))
-    return (df.withColumn(CARRIED, F.lit(0))
-            .unionByName(seeds, allowMissingColumns=True))
+    others = (Window.partitionBy(*keys).orderBy(F.desc(SLICE) if backwards else F.asc(SLICE))
+              .rowsBetween(Window.unboundedPreceding, -1))
+    seeds = per_slice.select(*keys, SLICE, *carry(others), F.lit(1).alias(CARRIED))
+    return rows.unionByName(seeds, allowMissingColumns=True)
 
 
-def within(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
+def within(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
     """The window over one slice, carried row first."""
-    return Window.partitionBy(*keys, SLICE).orderBy(F.desc(CARRIED), *order)
+    return Window.partitionBy(*_group(df, keys)).orderBy(F.desc(CARRIED), *order)
 
 
-def rows_only(df: DataFrame) -> DataFrame:
-    """Drop the carried rows and helper columns again."""
-    return df.where(F.col(CARRIED) == 0).drop(CARRIED, SLICE)
+def rows_only(df: DataFrame, max_rows: int | None) -> DataFrame:
+    """Drop the carried rows again, and the slices unless they were there before."""
+    rows = df.where(F.col(CARRIED) == 0).drop(CARRIED)
+    return rows if max_rows is None else rows.drop(SLICE)
 
 
 def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                    columns: dict[str, str]) -> DataFrame:
+                    columns: dict[str, str], max_rows: int | None = MAX_ROWS) -> DataFrame:
     """For each row, columns of the row before it in its key: ``{new column: column}``."""
     sources = list(dict.fromkeys(columns.values()))
-    last = F.max_by(F.struct(*sources), F.struct(*order)).alias("_last")
+    sliced = slice_hot_keys(df, keys, order, max_rows)
     seeded = with_carried(
-        df, keys, [last],
+        sliced, keys, [F.max_by(F.struct(*sources), F.struct(*order)).alias("_last")],
         lambda w: [F.last("_last").over(w)[source].alias(source) for source in sources])
-    w = within(keys, order)
+    w = within(sliced, keys, order)
     return rows_only(seeded.withColumns(
-        {name: F.lag(source).over(w) for name, source in columns.items()}))
+        {name: F.lag(source).over(w) for name, source in columns.items()}), max_rows)
 
 
 def next_values(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                columns: dict[str, str]) -> DataFrame:
+                columns: dict[str, str], max_rows: int | None = MAX_ROWS) -> DataFrame:
     """For each row, columns of the row after it in its key: ``{new column: column}``."""
     sources = list(dict.fromkeys(columns.values()))
-    first = df.groupBy(*keys, SLICE).agg(
-        F.min_by(F.struct(*sources), F.struct(*order)).alias("_first"))
-    later = Window.partitionBy(*keys).orderBy(SLICE)
-    seeds = first.select(*keys, SLICE, F.lead("_first").over(later).alias("_next"))
-    seeds = seeds.select(*keys, SLICE, *[F.col(f"_next.{c}").alias(c) for c in sources],
-                         F.lit(1).alias(CARRIED))
-    both = df.withColumn(CARRIED, F.lit(0)).unionByName(seeds, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, SLICE).orderBy(CARRIED, *order)
-    return rows_only(both.withColumns(
-        {name: F.lead(source).over(w) for name, source in columns.items()}))
+    sliced = slice_hot_keys(df, keys, order, max_rows)
+    seeded = with_carried(
+        sliced, keys, [F.min_by(F.struct(*sources), F.struct(*order)).alias("_first")],
+        lambda w: [F.last("_first").over(w)[source].alias(source) for source in sources],
+        backwards=True)
+    w = Window.partitionBy(*_group(sliced, keys)).orderBy(CARRIED, *order)
+    return rows_only(seeded.withColumns(
+        {name: F.lead(source).over(w) for name, source in columns.items()}), max_rows)
 
 
 _TOTALS = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -121,7 +161,8 @@ def _over(how: str, column: str, w: WindowSpec) -> Column:
 
 
 def running_all(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                outputs: dict[str, tuple[str, str]], include_current: bool = True) -> DataFrame:
+                outputs: dict[str, tuple[str, str]], include_current: bool = True,
+                max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Running values along the order: ``{new column: (column, "sum"|"max"|"min"|"last")}``.
 
     ``last`` is the last value that is not NULL. Each source column may be used once.
@@ -131,42 +172,55 @@ def running_all(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             return F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(*order)))
         return _TOTALS[how](column)
 
+    sliced = slice_hot_keys(df, keys, order, max_rows)
     seeded = with_carried(
-        df, keys, [total(c, how).alias(f"_total_{c}") for c, how in outputs.values()],
+        sliced, keys, [total(c, how).alias(f"_total_{c}") for c, how in outputs.values()],
         lambda w: [_over(how, f"_total_{c}", w).alias(c) for c, how in outputs.values()])
-    frame = within(keys, order).rowsBetween(
+    frame = within(sliced, keys, order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow if include_current else -1)
     return rows_only(seeded.withColumns(
-        {out: _over(how, c, frame) for out, (c, how) in outputs.items()}))
+        {out: _over(how, c, frame) for out, (c, how) in outputs.items()}), max_rows)
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-            how: str, out: str, include_current: bool = True) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, how: str,
+            out: str, include_current: bool = True, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """``running_all`` for one column."""
-    return running_all(df, keys, order, {out: (value, how)}, include_current)
+    return running_all(df, keys, order, {out: (value, how)}, include_current, max_rows)
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                out: str = "row_number") -> DataFrame:
-    """1, 2, ... along the order within each key; ``df`` is sliced along the first order column."""
-    return running(df.withColumn("_one", F.lit(1).cast("long")), keys, order,
-                   "_one", "sum", out).drop("_one")
-
-
-def ranks(df: DataFrame, keys: Sequence[str], value: str, slices: int = 256,
-          descending: bool = False) -> DataFrame:
-    """``rank``, ``dense_rank``, ``percent_rank`` and ``cume_dist`` of a number within each key.
+                out: str = "row_number", max_rows: int = MAX_ROWS) -> DataFrame:
+    """1, 2, ... along the order within each key."""
+    return running(df.withColumn("_one", F.lit(1).cast("long")), keys, order, "_one", "sum", out,
+                   max_rows=max_rows).drop("_one")
+
+
+def ntiles(df: DataFrame, keys: Sequence[str], order: Sequence[str], tiles: int,
+           out: str = "ntile", max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows of each key in ``tiles`` runs of about equal length, the longer ones first."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    numbered = _null_safe_join(row_numbers(df, keys, order, "_place", max_rows), sizes, keys)
+    short = F.floor(F.col("_all") / tiles)
+    longer = F.col("_all") % tiles
+    in_longer = longer * (short + 1)
+    place = F.col("_place")
+    tile = F.when(place <= in_longer, F.ceil(place / (short + 1))).otherwise(
+        longer + F.ceil((place - in_longer) / F.greatest(short, F.lit(1))))
+    return numbered.withColumn(out, tile.cast("int")).drop("_place", "_all")
+
+
+def ranks(df: DataFrame, keys: Sequence[str], value: str, descending: bool = False,
+          max_rows: int = MAX_ROWS) -> DataFrame:
+    """``rank``, ``dense_rank``, ``percent_rank`` and ``cume_dist`` of ``value`` within each key.
 
     Ranks depend only on how often each value occurs. So values are counted first, the counts are
     added up along the value, and the ranks are joined back to the rows: a value that a third of
     all rows share is one row of the counts, and AQE splits it in the join.
     """
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    sliced = slice_values(counts.withColumn("_one", F.lit(1).cast("long")), value, slices,
-                          sample_of=df)
-    up = running_all(sliced.withColumnsRenamed({"_n": "_rows", "_one": "_values"})
-                     .withColumn("_n", F.col("_rows")), keys, [value],
-                     {"_upto": ("_rows", "sum"), "_dense": ("_values", "sum")})
+    up = running_all(counts.withColumn("_rows", F.col("_n"))
+                     .withColumn("_values", F.lit(1).cast("long")), keys, [value],
+                     {"_upto": ("_rows", "sum"), "_dense": ("_values", "sum")}, max_rows=max_rows)
     whole = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"),
                                       F.count(F.lit(1)).alias("_distinct"))
     table = _null_safe_join(up.select(*keys, value, "_n", "_upto", "_dense"), whole, keys)
@@ -181,15 +235,8 @@ def ranks(df: DataFrame, keys: Sequence[str], value: str, slices: int = 256,
     return _null_safe_join(df, table, [*keys, value])
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Inner join in which NULL keys meet; the keys come once."""
-    other = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
-    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
-    return left.join(other, same).drop(*[f"_r_{c}" for c in on])
-
-
 def moving_frame(df: DataFrame, keys: Sequence[str], number: str, preceding: int,
-                 aggregates: dict[str, Column], slice_rows: int = 100_000) -> DataFrame:
+                 aggregates: dict[str, Column], slice_rows: int = 1_000_000) -> DataFrame:
     """Aggregates over the current row and ``preceding`` rows before it.
 
     ``number`` is the row's place in its key (1, 2, ...). Slices hold ``slice_rows`` rows each; the
@@ -208,36 +255,45 @@ def moving_frame(df: DataFrame, keys: Sequence[str], number: str, preceding: int
 
 
 def moving_range(df: DataFrame, keys: Sequence[str], position: str, reach: int,
-                 aggregates: dict[str, Column], slice_width: int) -> DataFrame:
-    """Aggregates over rows whose ``position`` is within ``reach`` before the current one.
+                 outputs: dict[str, tuple[str, str]], slice_width: int) -> DataFrame:
+    """Values over rows whose ``position`` is at most ``reach`` before the current one's.
 
-    ``position`` is a whole number (seconds, say). A slice must be at least as wide as the reach, so
-    that each row is needed in its own slice and at most the next.
+    ``outputs`` is ``{new column: (column, "sum"|"max"|"min"|"count")}``; ``position`` is a whole
+    number, seconds say. Rows of one key and position are added up first, so a burst of any size is
+    at most ``slice_width + reach`` rows of a slice. A slice must be at least as wide as the reach:
+    each position is then needed in its own slice and at most the next.
     """
     if reach > slice_width:
         raise ValueError("a slice must be at least as wide as the frame")
+    each = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
+    merge = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.sum}
+    added = df.groupBy(*keys, position).agg(
+        *[each[how](column).alias(f"_part_{out}") for out, (column, how) in outputs.items()])
     own = F.floor(F.col(position) / F.lit(slice_width))
     place = F.pmod(F.col(position), F.lit(slice_width))
     slices = F.when(place >= slice_width - reach, F.array(own, own + 1)).otherwise(F.array(own))
-    copies = df.withColumn("_own", own).withColumn(SLICE, F.explode(slices))
+    copies = added.withColumn("_own", own).withColumn(SLICE, F.explode(slices))
     w = (Window.partitionBy(*keys, SLICE).orderBy(position)
          .rangeBetween(-reach, Window.currentRow))
-    return (copies.withColumns({name: agg.over(w) for name, agg in aggregates.items()})
-            .where(F.col("_own") == F.col(SLICE)).drop("_own", SLICE))
+    frames = (copies.withColumns({out: merge[how](f"_part_{out}").over(w)
+                                  for out, (_, how) in outputs.items()})
+              .where(F.col("_own") == F.col(SLICE)).select(*keys, position, *outputs))
+    return _null_safe_join(df, frames, [*keys, position])
 
 
-def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: Column,
-                   spread: str, pieces: int = 64) -> DataFrame:
-    """The newest ``limit`` rows of each key, where the limit is a column and differs by key.
+def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: str,
+                   highest_limit: int, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The newest ``limit`` rows of each key; the limit is a column, never above ``highest_limit``.
 
-    Done twice: first in ``pieces`` parts of every key, which keeps at most ``limit`` rows of each
-    part, then over what is left. ``spread`` is a column that differs from row to row.
+    With a moderate highest limit Spark keeps only that many rows of a key per task before the
+    shuffle, however hot the key. Beyond, rows are numbered slice by slice.
     """
-    newest = [F.desc(c) for c in order]
-    part = F.pmod(F.xxhash64(spread), F.lit(pieces))
-    first = Window.partitionBy(*keys, "_part").orderBy(*newest)
-    final = Window.partitionBy(*keys).orderBy(*newest)
-    return (df.withColumn("_part", part).withColumn("_limit", limit)
-            .withColumn("_rn", F.row_number().over(first)).where("_rn <= _limit")
-            .withColumn("_rn", F.row_number().over(final)).where("_rn <= _limit")
-            .drop("_part", "_limit", "_rn"))
+    spark = df.sparkSession
+    pushed = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if highest_limit <= pushed:
+        w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+        return (df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= highest_limit)
+                .where(F.col("_rn") <= F.col(limit)).drop("_rn"))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    numbered = _null_safe_join(row_numbers(df, keys, order, "_rn", max_rows), sizes, keys)
+    return (numbered.where(F.col("_all") - F.col("_rn") < F.col(limit)).drop("_rn", "_all"))

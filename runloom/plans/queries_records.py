@@ -100,7 +100,7 @@ def counter_delta(spark, d):
     # Deltas read their input twice; a written table spares matching all lines again.
     path = scratch_dir(spark, "metrics")
     sinks.write_parquet(M.normalize_metrics(S.metric_samples(spark, d)), path)
-    deltas = M.counter_delta(spark.read.parquet(path), 86400)
+    deltas = M.counter_delta(spark.read.parquet(path))
     return deltas.withColumn("delta", F.round("delta", 6))
 
 

@@ -55,6 +55,11 @@ def test_aggregates_are_partial_before_their_shuffle(spark, sf_dir):
         assert "partial_" in text and text.count("Exchange") == 1, name
 
 
+def test_retention_limits_rows_before_the_shuffle(spark, sf_dir):
+    text = plan(spark, sf_dir, "retained_runs")
+    assert re.search(r"WindowGroupLimit.*Partial", text)
+
+
 def test_log_filters_need_no_shuffle(spark, sf_dir):
     for name in ("log_threshold", "log_drop", "log_parse", "metric_normalize", "metric_labels"):
         assert "Exchange" not in plan(spark, sf_dir, name), name
@@ -66,10 +71,13 @@ def test_patterns_are_matched_once_per_line(spark, sf_dir):
 
 
 def test_hot_keys_are_shuffled_by_slice(spark, sf_dir):
-    """Row-level windows over users and schedules are partitioned by key and slice."""
-    for name in ("win_lag_lead", "win_running", "overlapping_runs", "join_asof"):
-        text = plan(spark, sf_dir, name)
-        assert re.search(r"hashpartitioning\([^)]*_slice", text), name
+    """Above the row limit, windows are partitioned by key and slice; below, by key alone."""
+    from runloom.operators import runs as U
+    from runloom.plans import stand_ins as S
+    runs, plans = S.runs(spark, sf_dir), S.schedules(spark, sf_dir)
+    cut = plan_of(U.overlapping_runs(runs, plans, max_rows=50))
+    assert re.search(r"hashpartitioning\(schedule_id#\d+L?, _slice#\d+, \d+\)", cut)
+    assert "_slice" not in plan_of(U.overlapping_runs(runs, plans))
 
 
 def test_top_k_per_group_is_limited_before_the_shuffle(spark, sf_dir):

@@ -36,13 +36,31 @@ def whole():
     return Window.partitionBy("k").orderBy("ts", "id")
 
 
-@pytest.mark.parametrize("width", [60, 3600, 10 ** 7])
-def test_previous_and_next(rows, width):
-    got = S.previous_values(S.slice_time(rows, "ts", width), ["k"], ["ts", "id"],
-                            {"pv": "v", "pid": "id"})
-    got = S.next_values(S.slice_time(got, "ts", width), ["k"], ["ts", "id"], {"nv": "v"})
-    want = rows.select("*", F.lag("v").over(whole()).alias("pv"), F.lag("id").over(whole()).alias("pid"),
-                       F.lead("v").over(whole()).alias("nv"))
+SIZES = [1, 7, 50, 10 ** 6]
+ORDER = ["ts", "id"]
+
+
+def test_small_keys_are_left_alone_and_hot_ones_are_cut(rows):
+    assert S.slice_hot_keys(rows, ["k"], ORDER, 10 ** 6).columns == rows.columns
+    sliced = S.slice_hot_keys(rows, ["k"], ORDER, 150)
+    sizes = {(r["k"], r[S.SLICE]): r["count"] for r in sliced.groupBy("k", S.SLICE).count().collect()}
+    assert sum(sizes.values()) == 600
+    assert {k for k, s in sizes if s > 0} == {"hot"} and max(sizes.values()) <= 300
+
+
+def test_cuts_fall_between_rows_of_one_time(spark):
+    copies = spark.range(1000).select(F.lit("k").alias("k"), F.lit(0).alias("t"), "id")
+    sliced = S.slice_hot_keys(copies, ["k"], ["t", "id"], 100)
+    sizes = [r["count"] for r in sliced.groupBy(S.SLICE).count().collect()]
+    assert len(sizes) > 5 and max(sizes) < 300
+
+
+@pytest.mark.parametrize("most", SIZES)
+def test_previous_and_next(rows, most):
+    got = S.previous_values(rows, ["k"], ORDER, {"pv": "v", "pid": "id"}, most)
+    got = S.next_values(got, ["k"], ORDER, {"nv": "v"}, most)
+    want = rows.select("*", F.lag("v").over(whole()).alias("pv"),
+                       F.lag("id").over(whole()).alias("pid"), F.lead("v").over(whole()).alias("nv"))
     same(got, want, ["id", "k", "ts", "v", "pv", "pid", "nv"])
 
 
@@ -50,20 +68,26 @@ def test_previous_and_next(rows, width):
                                      ("last", lambda c: F.last(c, ignorenulls=True))])
 @pytest.mark.parametrize("current", [True, False])
 def test_running(rows, how, agg, current):
-    got = S.running(S.slice_time(rows, "ts", 1800), ["k"], ["ts", "id"], "v", how, "out", current)
     frame = whole().rowsBetween(Window.unboundedPreceding, 0 if current else -1)
-    same(got, rows.withColumn("out", agg("v").over(frame)), ["id", "out"])
+    want = rows.withColumn("out", agg("v").over(frame))
+    for most in (20, 10 ** 6):
+        got = S.running(rows, ["k"], ORDER, "v", how, "out", current, most)
+        same(got, want, ["id", "out"])
 
 
-def test_row_numbers(rows):
-    got = S.row_numbers(S.slice_time(rows, "ts", 600), ["k"], ["ts", "id"])
+@pytest.mark.parametrize("most", SIZES)
+def test_row_numbers_and_ntiles(rows, most):
+    got = S.row_numbers(rows, ["k"], ORDER, max_rows=most)
     same(got, rows.withColumn("row_number", F.row_number().over(whole())), ["id", "row_number"])
+    for tiles in (1, 3, 7, 1000):
+        got = S.ntiles(rows, ["k"], ORDER, tiles, max_rows=most)
+        same(got, rows.withColumn("ntile", F.ntile(tiles).over(whole())), ["id", "ntile"])
 
 
 @pytest.mark.parametrize("descending", [False, True])
-@pytest.mark.parametrize("slices", [1, 2, 7, 64])
-def test_ranks(rows, descending, slices):
-    got = S.ranks(rows, ["k"], "v", slices, descending)
+@pytest.mark.parametrize("most", [1, 2, 10 ** 6])
+def test_ranks(rows, descending, most):
+    got = S.ranks(rows, ["k"], "v", descending, most)
     w = Window.partitionBy("k").orderBy(F.desc("v") if descending else F.asc("v"))
     names = ["rank", "dense_rank", "percent_rank", "cume_dist"]
     want = rows.select("*", *[getattr(F, n)().over(w).alias(n) for n in names])
@@ -84,22 +108,19 @@ def test_moving_frame(rows, preceding, size):
 def test_moving_range(rows):
     timed = rows.where("ts IS NOT NULL").withColumn("sec", F.unix_seconds(F.col("ts").cast("timestamp")))
     w = Window.partitionBy("k").orderBy("sec").rangeBetween(-3600, 0)
+    want = timed.select("*", F.count("v").over(w).alias("c"), F.sum("v").over(w).alias("s"),
+                        F.min("v").over(w).alias("m"))
+    outputs = {"c": ("v", "count"), "s": ("v", "sum"), "m": ("v", "min")}
     for width in (3600, 5000, 10 ** 6):
-        got = S.moving_range(timed, ["k"], "sec", 3600, {"c": F.count(F.lit(1))}, width)
-        same(got, timed.withColumn("c", F.count(F.lit(1)).over(w)), ["id", "c"])
-
-
-def test_slice_values_balances_and_keeps_equal_values_together(spark):
-    df = spark.range(10_000).select((F.col("id") % 1000).cast("double").alias("v"))
-    sliced = S.slice_values(df, "v", 16)
-    sizes = [r["count"] for r in sliced.groupBy(S.SLICE).count().collect()]
-    assert len(sizes) == 16 and max(sizes) < 3 * 10_000 / 16
-    assert sliced.groupBy("v").agg(F.count_distinct(S.SLICE).alias("n")).where("n > 1").count() == 0
+        got = S.moving_range(timed, ["k"], "sec", 3600, outputs, width)
+        same(got, want, ["id", "c", "s", "m"])
 
 
-def test_newest_per_key_limits_by_column(rows):
+@pytest.mark.parametrize("highest", [5, 5000])
+def test_newest_per_key_limits_by_column(rows, highest):
+    """A low highest limit is pushed down, a high one is not."""
     limited = rows.withColumn("keep", F.when(F.col("k") == "hot", 5).otherwise(2))
-    got = S.newest_per_key(limited, ["k"], ["ts", "id"], F.col("keep"), "id", pieces=7)
+    got = S.newest_per_key(limited, ["k"], ORDER, "keep", highest, max_rows=50)
     w = Window.partitionBy("k").orderBy(F.desc("ts"), F.desc("id"))
     want = limited.withColumn("n", F.row_number().over(w)).where("n <= keep")
     same(got, want, ["id", "k"])
@@ -113,8 +134,8 @@ def test_asof_join_equal_times_and_no_match(spark):
     right = spark.createDataFrame(
         [(10, "a", t(5)), (11, "a", t(5)), (12, "a", t(1)), (13, "b", t(10)), (14, None, t(2))],
         "rid int, k string, ts timestamp_ntz")
-    for width in (60, 3600):
-        got = joins.asof_join(left, right, ["k"], "ts", "rid", {"found": "rid"}, width)
+    for most in (1, 2, 100):
+        got = joins.asof_join(left, right, ["k"], "ts", "rid", {"found": "rid"}, most)
         assert {r["id"]: r["found"] for r in got.collect()} == {1: 11, 2: None, 3: None, 4: 14}
 
 
@@ -130,7 +151,7 @@ def test_range_join_is_half_open_and_spans_cells(spark):
 
 def test_exact_percentiles_against_builtin(rows):
     shares = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p100": 1.0}
-    got = percentiles.exact_percentiles(rows, ["k"], "v", shares, 4)
+    got = percentiles.exact_percentiles(rows, ["k"], "v", shares, max_rows=2)
     want = rows.groupBy("k").agg(*[F.percentile("v", p).alias(n) for n, p in shares.items()])
     key = lambda r: str(r["k"])
     a = [[r["k"], *[round(r[n], 9) for n in shares]] for r in sorted(got.collect(), key=key)]
