@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.operators.slices import MAX_ROWS, running_all
@@ -15,28 +17,29 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
     """Interpolated percentiles ``{new column: share}`` of ``value`` per key.
 
     The built-in exact percentile holds all distinct values of a group in one buffer. Here values
-    are counted, the counts added up along the value, and of each group only the values
-    on both sides of each wanted place are kept.
+    are counted, the counts added up along the value, and of each group only the values on both
+    sides of each wanted place are kept.
     """
     known = df.where(F.col(value).isNotNull())
-    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    # Counting from 0, a value takes the places from _upto - _n to _upto - 1.
-    placed = running_all(counts.withColumn("_rows", F.col("_n")), keys, [value],
-                         {"_upto": ("_rows", "sum")}, max_rows=max_rows)
-    totals = (counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
-              .withColumnsRenamed({k: f"_t_{k}" for k in keys}))
-    same = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]
-    with_total = placed.join(totals, same)
+    n = F.count(F.lit(1))
+    counts = known.groupBy(*keys, value).agg(n.alias("_n"), n.alias("_rows"), n.alias("_each"))
+    placed = running_all(counts, keys, [value],
+                         {"_upto": ("_rows", "sum"), "_all": ("_each", "total")},
+                         max_rows=max_rows)
 
-    outputs = []
-    for name, share in percentiles.items():
-        place = F.lit(share) * (F.col("_all") - 1)
-        low, high = F.floor(place), F.ceil(place)
+    def holds(place: Column) -> Column:
+        """Counting from 0, a value takes the places from _upto - _n to _upto - 1."""
+        return (place >= F.col("_upto") - F.col("_n")) & (place < F.col("_upto"))
 
-        def at(index):
-            inside = (index >= F.col("_upto") - F.col("_n")) & (index < F.col("_upto"))
-            return F.max(F.when(inside, F.col(value)))
+    def around(share: float) -> tuple[Column, Column, Column]:
+        place = F.lit(share) * (F.col("_all") - 1)
+        return place, F.floor(place), F.ceil(place)
 
-        weight = F.max(place - low)
-        outputs.append((at(low) + (at(high) - at(low)) * weight).alias(name))
-    return with_total.groupBy(*keys).agg(*outputs)
+    wanted = [holds(side) for share in percentiles.values() for side in around(share)[1:]]
+    outputs = []
+    for name, share in percentiles.items():
+        place, low, high = around(share)
+        at_low = F.max(F.when(holds(low), F.col(value)))
+        at_high = F.max(F.when(holds(high), F.col(value)))
+        outputs.append((at_low + (at_high - at_low) * F.max(place - low)).alias(name))
+    return placed.where(reduce(or_, wanted)).groupBy(*keys).agg(*outputs)

@@ -90,10 +90,10 @@ def number_chains(runs: DataFrame, policy: DataFrame, max_rows: int = MAX_ROWS)
     the schedule's retry interval after its end; any other run opens a new chain.
     """
     key, order = ["schedule_id"], ["start", "run_id"]
-    rows = slice_hot_keys(runs, key, order, max_rows)
+    waits = policy.select("schedule_id", "retry_interval_seconds")
+    rows = slice_hot_keys(runs, key, order, max_rows).join(waits, key, "left")
     rows = previous_values(rows, key, order,
                            {"_before_end": "end", "_before_outcome": "outcome"}, max_rows=None)
-    rows = rows.join(policy.select("schedule_id", "retry_interval_seconds"), "schedule_id", "left")
     wait = seconds(F.col("retry_interval_seconds"))
     retry = ((F.col("_before_outcome") == "failed")
              & (F.col("start") <= F.col("_before_end") + wait))

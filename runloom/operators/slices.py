@@ -110,7 +110,9 @@ def with_carried(df: DataFrame, keys: Sequence[str], totals: Sequence[Column],
     others = (Window.partitionBy(*keys).orderBy(F.desc(SLICE) if backwards else F.asc(SLICE))
               .rowsBetween(Window.unboundedPreceding, -1))
     seeds = per_slice.select(*keys, SLICE, *carry(others), F.lit(1).alias(CARRIED))
-    return rows.unionByName(seeds, allowMissingColumns=True)
+    # Rows that come in partitioned by key alone would count as well placed for a window over key
+    # and slice, and stay together; hence the explicit shuffle.
+    return rows.unionByName(seeds, allowMissingColumns=True).repartition(*keys, SLICE)
 
 
 def within(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -151,35 +153,50 @@ def next_values(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         {name: F.lead(source).over(w) for name, source in columns.items()}), max_rows)
 
 
-_TOTALS = {"sum": F.sum, "max": F.max, "min": F.min}
+_AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def _over(how: str, column: str, w: WindowSpec) -> Column:
     if how == "last":
         return F.last(column, ignorenulls=True).over(w)
-    return _TOTALS[how](column).over(w)
+    return _AGGREGATES[how](column).over(w)
 
 
 def running_all(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                 outputs: dict[str, tuple[str, str]], include_current: bool = True,
                 max_rows: int | None = MAX_ROWS) -> DataFrame:
-    """Running values along the order: ``{new column: (column, "sum"|"max"|"min"|"last")}``.
+    """Running values along the order: ``{new column: (column, how)}``.
 
-    ``last`` is the last value that is not NULL. Each source column may be used once.
+    ``how`` is ``sum``, ``max``, ``min``, ``last`` (the last value that is not NULL), or ``total``
+    (the sum over the whole key, the same on each of its rows). Each source column is used once.
     """
-    def total(column: str, how: str) -> Column:
+    def of_slice(column: str, how: str) -> Column:
         if how == "last":
             return F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(*order)))
-        return _TOTALS[how](column)
+        return _AGGREGATES["sum" if how == "total" else how](column)
+
+    def carried(column: str, how: str, earlier: WindowSpec) -> Column:
+        if how == "total":
+            return F.sum(f"_of_{column}").over(Window.partitionBy(*keys)).alias(column)
+        return _over(how, f"_of_{column}", earlier).alias(column)
 
     sliced = slice_hot_keys(df, keys, order, max_rows)
     seeded = with_carried(
-        sliced, keys, [total(c, how).alias(f"_total_{c}") for c, how in outputs.values()],
-        lambda w: [_over(how, f"_total_{c}", w).alias(c) for c, how in outputs.values()])
-    frame = within(sliced, keys, order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow if include_current else -1)
+        sliced, keys, [of_slice(c, how).alias(f"_of_{c}") for c, how in outputs.values()],
+        lambda w: [carried(c, how, w) for c, how in outputs.values()])
+    ordered = within(sliced, keys, order)
+    frame = ordered.rowsBetween(Window.unboundedPreceding,
+                                Window.currentRow if include_current else -1)
+
+    def of_row(column: str, how: str) -> Column:
+        if how != "total":
+            return _over(how, column, frame)
+        if SLICE in sliced.columns:
+            return F.first(column).over(ordered)  # the carried row's
+        return F.sum(column).over(Window.partitionBy(*keys))
+
     return rows_only(seeded.withColumns(
-        {out: _over(how, c, frame) for out, (c, how) in outputs.items()}), max_rows)
+        {out: of_row(c, how) for out, (c, how) in outputs.items()}), max_rows)
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, how: str,
@@ -188,25 +205,30 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
     return running_all(df, keys, order, {out: (value, how)}, include_current, max_rows)
 
 
+def _counted(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({name: F.lit(1).cast("long") for name in names})
+
+
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                out: str = "row_number", max_rows: int = MAX_ROWS) -> DataFrame:
-    """1, 2, ... along the order within each key."""
-    return running(df.withColumn("_one", F.lit(1).cast("long")), keys, order, "_one", "sum", out,
-                   max_rows=max_rows).drop("_one")
+                out: str = "row_number", size: str | None = None,
+                max_rows: int | None = MAX_ROWS) -> DataFrame:
+    """1, 2, ... along the order within each key; ``size`` names a column for the key's row count."""
+    outputs = {out: ("_one", "sum")} | ({size: ("_each", "total")} if size else {})
+    return running_all(_counted(df, "_one", "_each"), keys, order, outputs,
+                       max_rows=max_rows).drop("_one", "_each")
 
 
 def ntiles(df: DataFrame, keys: Sequence[str], order: Sequence[str], tiles: int,
-           out: str = "ntile", max_rows: int = MAX_ROWS) -> DataFrame:
+           out: str = "ntile", max_rows: int | None = MAX_ROWS) -> DataFrame:
     """The rows of each key in ``tiles`` runs of about equal length, the longer ones first."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
-    numbered = _null_safe_join(row_numbers(df, keys, order, "_place", max_rows), sizes, keys)
-    short = F.floor(F.col("_all") / tiles)
-    longer = F.col("_all") % tiles
+    numbered = row_numbers(df, keys, order, "_place", "_size", max_rows)
+    place, size = F.col("_place"), F.col("_size")
+    short = F.floor(size / tiles)
+    longer = size % tiles
     in_longer = longer * (short + 1)
-    place = F.col("_place")
     tile = F.when(place <= in_longer, F.ceil(place / (short + 1))).otherwise(
         longer + F.ceil((place - in_longer) / F.greatest(short, F.lit(1))))
-    return numbered.withColumn(out, tile.cast("int")).drop("_place", "_all")
+    return numbered.withColumn(out, tile.cast("int")).drop("_place", "_size")
 
 
 def ranks(df: DataFrame, keys: Sequence[str], value: str, descending: bool = False,
@@ -217,13 +239,12 @@ def ranks(df: DataFrame, keys: Sequence[str], value: str, descending: bool = Fal
     added up along the value, and the ranks are joined back to the rows: a value that a third of
     all rows share is one row of the counts, and AQE splits it in the join.
     """
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    up = running_all(counts.withColumn("_rows", F.col("_n"))
-                     .withColumn("_values", F.lit(1).cast("long")), keys, [value],
-                     {"_upto": ("_rows", "sum"), "_dense": ("_values", "sum")}, max_rows=max_rows)
-    whole = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"),
-                                      F.count(F.lit(1)).alias("_distinct"))
-    table = _null_safe_join(up.select(*keys, value, "_n", "_upto", "_dense"), whole, keys)
+    n = F.count(F.lit(1))
+    counts = df.groupBy(*keys, value).agg(n.alias("_n"), n.alias("_rows"), n.alias("_each"))
+    table = running_all(
+        _counted(counts, "_values", "_value"), keys, [value],
+        {"_upto": ("_rows", "sum"), "_dense": ("_values", "sum"), "_all": ("_each", "total"),
+         "_distinct": ("_value", "total")}, max_rows=max_rows)
     upto, dense = F.col("_upto"), F.col("_dense")
     if descending:
         upto, dense = F.col("_all") - upto + F.col("_n"), F.col("_distinct") - dense + 1
@@ -294,6 +315,5 @@ def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], lim
         w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
         return (df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= highest_limit)
                 .where(F.col("_rn") <= F.col(limit)).drop("_rn"))
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
-    numbered = _null_safe_join(row_numbers(df, keys, order, "_rn", max_rows), sizes, keys)
-    return (numbered.where(F.col("_all") - F.col("_rn") < F.col(limit)).drop("_rn", "_all"))
+    numbered = row_numbers(df, keys, order, "_rn", "_size", max_rows)
+    return numbered.where(F.col("_size") - F.col("_rn") < F.col(limit)).drop("_rn", "_size")
