@@ -33,36 +33,35 @@ class MetricRule:
 
 # Patterns, names and types that exported metrics must match. The first rule that
 # matches wins; a line that matches none is dropped.
-START = r"metrics<name=(\S+)\.(\S+)\."
 DEFAULT_RULES = [
-    MetricRule(START + r"driver\.(\S+)\.StreamingMetrics\.streaming\.(\S+)><>Value",
+    MetricRule(r"metrics<name=(\S+)\.(\S+)\.driver\.(\S+)\.StreamingMetrics\.streaming\.(\S+)><>Value",
                "spark_streaming_driver_$4", "UNTYPED", ".StreamingMetrics.streaming."),
-    MetricRule(START + r"driver\.spark\.streaming\.(\S+)\.(\S+)><>Value",
+    MetricRule(r"metrics<name=(\S+)\.(\S+)\.driver\.spark\.streaming\.(\S+)\.(\S+)><>Value",
                "spark_structured_streaming_driver_$4", "UNTYPED", ".driver.spark.streaming.",
                query_group=3),
-    MetricRule(START + r"(\S+)\.executor\.(\S+)><>Value",
+    MetricRule(r"metrics<name=(\S+)\.(\S+)\.(\S+)\.executor\.(\S+)><>Value",
                "spark_executor_$4", "GAUGE", ".executor.", executor_group=3),
-    MetricRule(START + r"driver\.(BlockManager|DAGScheduler|jvm)\.(\S+)><>Value",
+    MetricRule(r"metrics<name=(\S+)\.(\S+)\.driver\.(BlockManager|DAGScheduler|jvm)\.(\S+)><>Value",
                "spark_driver_$3_$4", "GAUGE", ".driver."),
-    MetricRule(START + r"driver\.DAGScheduler\.(.*)><>Count",
+    MetricRule(r"metrics<name=(\S+)\.(\S+)\.driver\.DAGScheduler\.(.*)><>Count",
                "spark_driver_DAGScheduler_$3_count", "COUNTER", ".driver.DAGScheduler."),
-    MetricRule(START + r"driver\.HiveExternalCatalog\.(.*)><>Count",
+    MetricRule(r"metrics<name=(\S+)\.(\S+)\.driver\.HiveExternalCatalog\.(.*)><>Count",
                "spark_driver_HiveExternalCatalog_$3_count", "COUNTER",
                ".driver.HiveExternalCatalog."),
-    MetricRule(START + r"driver\.CodeGenerator\.(.*)><>Count",
+    MetricRule(r"metrics<name=(\S+)\.(\S+)\.driver\.CodeGenerator\.(.*)><>Count",
                "spark_driver_CodeGenerator_$3_count", "COUNTER", ".driver.CodeGenerator."),
-    MetricRule(START + r"driver\.LiveListenerBus\.(.*)><>Count",
+    MetricRule(r"metrics<name=(\S+)\.(\S+)\.driver\.LiveListenerBus\.(.*)><>Count",
                "spark_driver_LiveListenerBus_$3_count", "COUNTER", ".driver.LiveListenerBus."),
-    MetricRule(START + r"driver\.LiveListenerBus\.(.*)><>Value",
+    MetricRule(r"metrics<name=(\S+)\.(\S+)\.driver\.LiveListenerBus\.(.*)><>Value",
                "spark_driver_LiveListenerBus_$3", "GAUGE", ".driver.LiveListenerBus."),
-    MetricRule(START + r"(.*)\.executor\.(.*)><>Count",
+    MetricRule(r"metrics<name=(\S+)\.(\S+)\.(.*)\.executor\.(.*)><>Count",
                "spark_executor_$4_count", "COUNTER", ".executor.", executor_group=3),
-    MetricRule(START + r"([0-9]+)\.(jvm|NettyBlockTransfer)\.(.*)><>Value",
+    MetricRule(r"metrics<name=(\S+)\.(\S+)\.([0-9]+)\.(jvm|NettyBlockTransfer)\.(.*)><>Value",
                "spark_executor_$4_$5", "GAUGE", "><>Value", executor_group=3),
-    MetricRule(START + r"([0-9]+)\.HiveExternalCatalog\.(.*)><>Count",
+    MetricRule(r"metrics<name=(\S+)\.(\S+)\.([0-9]+)\.HiveExternalCatalog\.(.*)><>Count",
                "spark_executor_HiveExternalCatalog_$4_count", "COUNTER",
                ".HiveExternalCatalog.", executor_group=3),
-    MetricRule(START + r"([0-9]+)\.CodeGenerator\.(.*)><>Count",
+    MetricRule(r"metrics<name=(\S+)\.(\S+)\.([0-9]+)\.CodeGenerator\.(.*)><>Count",
                "spark_executor_CodeGenerator_$4_count", "COUNTER", ".CodeGenerator.",
                executor_group=3),
 ]

@@ -47,7 +47,7 @@ def mean_and_spread(df: DataFrame, key: str, value: str) -> DataFrame:
                                       / (F.col("n") - 1))).alias("sd"))
 
 
-@F.udtf(returnType="place int, chars int")
+@F.udtf(returnType="place int, chars int", useArrow=True)
 class SplitLines:
     """A table function: one row per line of a text."""
 

@@ -186,7 +186,7 @@ def orc_roundtrip(spark, d):
     return files.read_files(spark, "orc", path).where("c_acctbal > 0")
 
 
-@query("text_roundtrip", "SELECT count(*) AS lines, sum(length(props)) AS chars FROM events")
+@query("text_roundtrip", "SELECT count(*) AS lines, CAST(sum(length(props)) AS BIGINT) AS chars FROM events")
 def text_roundtrip(spark, d):
     path = scratch_dir(spark, "props_text")
     sinks.write_files(table(spark, d, "events").select(F.col("props").alias("value")), "text", path)

@@ -279,8 +279,8 @@ def win_rank(spark, d):
 
 @query("win_ntile", """
 SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice, l_suppkey,
-       ntile(3) OVER (PARTITION BY l_suppkey
-                      ORDER BY l_extendedprice, l_orderkey, l_partkey, l_linenumber) AS third
+       CAST(ntile(3) OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_partkey,
+                           l_linenumber) AS INTEGER) AS third
 FROM lineitem""")
 def win_ntile(spark, d):
     lines = table(spark, d, "lineitem").select(
@@ -353,7 +353,7 @@ def topk(spark, d):
 
 
 @query("topk_per_group", """
-SELECT o_custkey, o_orderkey, o_totalprice, place FROM (
+SELECT o_custkey, o_orderkey, o_totalprice, CAST(place AS INTEGER) AS place FROM (
     SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)
            AS place FROM orders) WHERE place <= 3""")
 def topk_per_group(spark, d):
@@ -444,7 +444,7 @@ def explode_split(spark, d):
 
 
 @query("explode_position", """
-SELECT lang, place, count(*) AS texts, CAST(sum(length(line)) AS BIGINT) AS chars
+SELECT lang, CAST(place AS INTEGER) AS place, count(*) AS texts, CAST(sum(length(line)) AS BIGINT) AS chars
 FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line,
              unnest(range(0, len(string_split(text, chr(10))))) AS place FROM documents)
 GROUP BY 1, 2""")
@@ -474,7 +474,7 @@ def table_sample(spark, d):
 
 FUNCTIONS = {
     "fn_string": ("""
-SELECT c_custkey, upper(c_mktsegment) AS up, lower(c_name) AS low, length(c_name) AS n,
+SELECT c_custkey, upper(c_mktsegment) AS up, lower(c_name) AS low, CAST(length(c_name) AS INT) AS n,
        substring(c_name, 10, 9) AS digits, concat(c_name, '/', c_mktsegment) AS joined,
        concat_ws('-', c_mktsegment, c_name) AS dashed, lpad(c_mktsegment, 12, '*') AS padded,
        rpad(c_mktsegment, 12, '.') AS filled, trim('  x ') AS trimmed, reverse(c_name) AS backwards,
@@ -484,12 +484,13 @@ SELECT c_custkey, upper(c_mktsegment) AS up, lower(c_name) AS low, length(c_name
        starts_with(c_mktsegment, 'BUILD') AS building, md5(c_name) AS digest
 FROM {customer}""", ["customer"], {"starts_with": "startswith"}),
     "fn_date": ("""
-SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS dd,
-       quarter(o_orderdate) AS q, dayofyear(o_orderdate) AS doy, CAST(weekofyear(o_orderdate) AS INT) AS wk,
+SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m,
+       CAST(day(o_orderdate) AS INT) AS dd, CAST(quarter(o_orderdate) AS INT) AS q,
+       CAST(dayofyear(o_orderdate) AS INT) AS doy, CAST(weekofyear(o_orderdate) AS INT) AS wk,
        last_day(o_orderdate) AS month_end, CAST(o_orderdate AS DATE) AS day,
        o_orderdate + INTERVAL 36 HOUR AS later,
        CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start,
-       hour(o_orderdate) AS h
+       CAST(hour(o_orderdate) AS INT) AS h
 FROM {orders}""", ["orders"], {}),
     "fn_math": ("""
 SELECT l_orderkey, l_partkey, l_linenumber, CAST(floor(l_quantity / 3) AS BIGINT) AS f,
@@ -516,9 +517,9 @@ for _name, (_sql, _tables, _spark_names) in FUNCTIONS.items():
 
 
 @query("fn_array", """
-SELECT vec_id, len(embedding) AS n,
+SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n,
        round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 6) AS norm2,
-       len(list_filter(embedding, lambda x: x > 0)) AS positive,
+       CAST(len(list_filter(embedding, lambda x: x > 0)) AS INTEGER) AS positive,
        embedding[1] AS first_value, list_max(embedding) AS highest,
        list_contains(list_transform(embedding, lambda x: x > 0.2), true) AS any_large,
        list_sort(embedding)[1:3] AS lowest_three
@@ -580,7 +581,8 @@ def fn_json_path(spark, d):
 
 
 @query("fn_hash", """
-SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256, length(text) AS n, strlen(text) AS bytes
+SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256, CAST(length(text) AS INTEGER) AS n,
+       CAST(strlen(text) AS INTEGER) AS bytes
 FROM documents""")
 def fn_hash(spark, d):
     return table(spark, d, "documents").select(
@@ -608,7 +610,7 @@ def udf_pandas_agg(spark, d):
 
 
 @query("udtf_split", """
-SELECT doc_id, place, length(line) AS chars
+SELECT doc_id, CAST(place AS INTEGER) AS place, CAST(length(line) AS INTEGER) AS chars
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
              unnest(range(0, len(string_split(text, chr(10))))) AS place FROM documents)""")
 def udtf_split(spark, d):
