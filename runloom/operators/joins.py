@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.operators.slices import (MAX_ROWS, rows_only, slice_hot_keys, with_carried,
@@ -42,16 +42,24 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
                width: float, on: Sequence[str] = ()) -> DataFrame:
     """Pairs with ``low <= point < high``.
 
-    Both sides are put on a grid of cells ``width`` wide: a point is in one cell, a range in each
-    cell it touches. The cell number turns the range condition into an equi-join, which the planner
-    can broadcast, sort-merge, and split where a cell is hot. Choose ``width`` near the usual range.
+    Both sides are put on a grid: a point is in one cell, a range in the one or two cells it touches.
+    Cells are ``width`` wide, and twice, four times, ... as wide for longer ranges, so that no range
+    is spread over many cells; a point is placed once per cell size that occurs (a few numbers, read
+    before the join). The cell turns the range condition into an equi-join, which the planner can
+    broadcast, sort-merge, and split where a cell is hot.
     """
-    cell = "_cell"
-    first = F.floor(F.col(low) / F.lit(width)).cast("long")
-    last = F.floor(F.col(high) / F.lit(width)).cast("long")
+    def cell(value: Column, level: Column) -> Column:
+        return F.floor(value / (F.lit(float(width)) * F.pow(F.lit(2.0), level))).cast("long")
+
+    longer = F.ceil(F.log2((F.col(high) - F.col(low)) / F.lit(float(width))))
     placed = (ranges.where(F.col(low) < F.col(high))
-              .withColumn(cell, F.explode(F.sequence(first, last))))
-    keyed = points.withColumn(cell, F.floor(F.col(point) / F.lit(width)).cast("long"))
-    return (keyed.join(placed, [*on, cell])
+              .withColumn("_level", F.greatest(longer, F.lit(0)).cast("int")))
+    levels = sorted(row[0] for row in placed.select("_level").distinct().collect())
+    first, last = cell(F.col(low), F.col("_level")), cell(F.col(high), F.col("_level"))
+    placed = placed.withColumn("_cell", F.explode(F.sequence(first, last)))
+    keyed = (points.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in levels])
+                                                   .cast("array<int>")))
+             .withColumn("_cell", cell(F.col(point), F.col("_level"))))
+    return (keyed.join(placed, [*on, "_level", "_cell"])
             .where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high)))
-            .drop(cell))
+            .drop("_level", "_cell"))

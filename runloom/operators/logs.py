@@ -45,26 +45,26 @@ def number_lines(lines: DataFrame) -> DataFrame:
     Lines before the first head of a file have no opening line.
     """
     split = ["file", "block"]
+    key = F.col("line_key")
     flagged = lines.withColumn("_head", is_head(F.col("line")))
-    # Keys of one split follow each other without gaps, so a line's place needs no sort.
+    # Keys of one split follow each other without gaps, so a line's place in it needs no sort.
     totals = (flagged.groupBy(*split)
-              .agg(F.min("line_key").alias("_first"),
-                   F.count(F.lit(1)).alias("_n"),
-                   F.max(F.when(F.col("_head"), F.col("line_key"))).alias("_last")))
+              .agg(F.count(F.lit(1)).alias("_n"),
+                   (F.max(F.when(F.col("_head"), key)) - F.min(key) + 1).alias("_last")))
     earlier = (Window.partitionBy("file").orderBy("block")
                .rowsBetween(Window.unboundedPreceding, -1))
     carried = (totals
                .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-               .withColumn("_shift", F.col("_before") - F.col("_first") + 1)
-               .withColumn("_open", F.last(F.col("_last") + F.col("_shift"),
+               .withColumn("_open", F.last(F.col("_before") + F.col("_last"),
                                            ignorenulls=True).over(earlier))
-               .select(*split, "_shift", "_open"))
-    opened = F.last(F.when(F.col("_head"), F.col("line_key")), ignorenulls=True).over(
-        Window.partitionBy(*split).orderBy("line_key"))
-    return (flagged.withColumn("_opened", opened)
+               .select(*split, "_before", "_open"))
+    along = Window.partitionBy(*split).orderBy(key)
+    first = F.first(key).over(along)
+    opened = F.last(F.when(F.col("_head"), key), ignorenulls=True).over(along)
+    return (flagged.withColumns({"_place": key - first + 1, "_opened": opened - first + 1})
             .join(carried, split)
-            .select("file", (F.col("line_key") + F.col("_shift")).alias("line_no"),
-                    F.coalesce(F.col("_opened") + F.col("_shift"), F.col("_open"))
+            .select("file", (F.col("_before") + F.col("_place")).alias("line_no"),
+                    F.coalesce(F.col("_before") + F.col("_opened"), F.col("_open"))
                     .alias("event_line"),
                     "line"))
 

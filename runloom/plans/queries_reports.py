@@ -129,8 +129,9 @@ def clustered_write(spark, d):
 
 @query("table_scan", "SELECT * FROM orders")
 def table_scan(spark, d):
-    name, path = new_table(spark, "orders_copy")
-    sinks.write_table(table(spark, d, "orders"), name, path)
+    """A named table over files that are there already; nothing is copied."""
+    name, _ = new_table(spark, "orders")
+    spark.sql(f"CREATE TEMPORARY VIEW {name} USING parquet OPTIONS (path '{d}/orders.parquet')")
     return spark.sql(f"SELECT * FROM {name}")
 
 

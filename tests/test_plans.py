@@ -93,3 +93,39 @@ def test_clustered_write_uses_a_rebalance(spark, sf_dir):
     day = R.add_weekday(S.trips(spark, sf_dir), "tpep_pickup_datetime")
     text = plan_of(sinks.cluster_for_write(day, "day_of_week", "VendorID", 4))
     assert "REBALANCE_PARTITIONS_BY_COL" in text and "rangepartitioning" not in text
+
+
+@pytest.mark.parametrize("hint,node", [("BROADCAST", "BroadcastHashJoin"),
+                                       ("MERGE", "SortMergeJoin"),
+                                       ("SHUFFLE_HASH", "ShuffledHashJoin")])
+def test_join_hints(spark, sf_dir, hint, node):
+    from runloom.plans.registry import table
+    out = spark.sql(f"SELECT /*+ {hint}(c) */ o_orderkey, c_name FROM {{orders}} o "
+                    "JOIN {customer} c ON o_custkey = c_custkey",
+                    orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer"))
+    assert node in plan_of(out)
+    assert out.count() == table(spark, sf_dir, "orders").count()
+
+
+def test_views_cache_and_distribution(spark, sf_dir):
+    from runloom.plans.jobs import run_statements
+    from runloom.session import open_session
+    child = open_session(spark)
+    out = run_statements(child, f"""
+        CREATE TEMPORARY VIEW o USING parquet OPTIONS (path '{sf_dir}/orders.parquet');
+        CREATE TEMPORARY VIEW priced AS SELECT o_custkey, o_totalprice FROM o WHERE o_totalprice > 0;
+        CACHE LAZY TABLE priced;
+        SELECT o_custkey, o_totalprice FROM priced DISTRIBUTE BY o_custkey SORT BY o_custkey;""")
+    assert "InMemoryRelation" in plan_of(out) and "hashpartitioning(o_custkey" in plan_of(out)
+    assert out.count() == child.table("priced").count()
+    child.sql("UNCACHE TABLE priced")
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    from runloom.sources import sinks
+    for name in ("left_b", "right_b"):
+        sinks.write_table(spark.range(1000).withColumnRenamed("id", f"{name}_id"), name,
+                          str(tmp_path / name), bucket_by=(4, f"{name}_id"))
+    joined = spark.table("left_b").hint("merge").join(
+        spark.table("right_b"), spark.table("left_b").left_b_id == spark.table("right_b").right_b_id)
+    assert "Exchange" not in plan_of(joined) and joined.count() == 1000

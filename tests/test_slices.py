@@ -139,14 +139,18 @@ def test_asof_join_equal_times_and_no_match(spark):
         assert {r["id"]: r["found"] for r in got.collect()} == {1: 11, 2: None, 3: None, 4: 14}
 
 
-def test_range_join_is_half_open_and_spans_cells(spark):
-    points = spark.createDataFrame([(0.0,), (4.99,), (5.0,), (12.0,), (30.0,)], "p double")
-    ranges = spark.createDataFrame([("a", 0.0, 5.0), ("b", 5.0, 30.0), ("c", 3.0, 3.0)],
-                                   "name string, lo double, hi double")
-    for width in (1.0, 5.0, 100.0):
+def test_range_join_is_half_open_for_ranges_of_any_length(spark):
+    points = spark.createDataFrame([(0.0,), (4.99,), (5.0,), (12.0,), (30.0,), (-7.5,)], "p double")
+    ranges = spark.createDataFrame(
+        [("a", 0.0, 5.0), ("b", 5.0, 30.0), ("c", 3.0, 3.0), ("all", -1e9, 1e9), ("n", -8.0, -7.5)],
+        "name string, lo double, hi double")
+    want = [(-7.5, "all"), (0.0, "a"), (0.0, "all"), (4.99, "a"), (4.99, "all"), (5.0, "all"),
+            (5.0, "b"), (12.0, "all"), (12.0, "b"), (30.0, "all")]
+    for width in (0.5, 5.0, 100.0):
         got = joins.range_join(points, ranges, "p", "lo", "hi", width).collect()
-        assert sorted((r["p"], r["name"]) for r in got) == [
-            (0.0, "a"), (4.99, "a"), (5.0, "b"), (12.0, "b")]
+        assert sorted((r["p"], r["name"]) for r in got) == want
+    none = joins.range_join(points, ranges.where("name = 'c'"), "p", "lo", "hi", 1.0)
+    assert none.count() == 0
 
 
 def test_exact_percentiles_against_builtin(rows):
