@@ -16,8 +16,9 @@ from runloom.operators.status import latest_phase
 def stream_metrics(lines: DataFrame, rules: Sequence[MetricRule] = DEFAULT_RULES,
                    width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """Normalised gauges rolled up per window; samples later than ``lateness`` are dropped."""
-    metrics = normalize_metrics(lines.withColumn("ts", F.col("ts").cast("timestamp")), rules)
-    return gauge_rollup(metrics.withWatermark("ts", lateness), width)
+    # The watermark comes first: every line moves it on, whether or not a rule takes it.
+    timed = lines.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    return gauge_rollup(normalize_metrics(timed, rules), width)
 
 
 def upsert_batches(changes: DataFrame, out_path: str, checkpoint: str,
