@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,13 +17,13 @@ LABELS = ["app_namespace", "app_id", "query_name", "executor_id"]
 class MetricRule:
     """``name`` may use ``$n`` for the n-th group; ``labels`` maps a label to its group number.
 
-    ``literal`` is text that every matching line holds: a cheap test before the pattern.
+    ``literals`` are texts that every matching line holds: cheap tests before the pattern.
     """
 
     pattern: str
     name: str
     type: str
-    literal: str
+    literals: tuple[str, ...]
     query_group: int | None = None
     executor_group: int | None = None
 
@@ -35,34 +37,40 @@ class MetricRule:
 # matches wins; a line that matches none is dropped.
 DEFAULT_RULES = [
     MetricRule(r"metrics<name=(\S+)\.(\S+)\.driver\.(\S+)\.StreamingMetrics\.streaming\.(\S+)><>Value",
-               "spark_streaming_driver_$4", "UNTYPED", ".StreamingMetrics.streaming."),
+               "spark_streaming_driver_$4", "UNTYPED",
+               (".StreamingMetrics.streaming.", "><>Value")),
     MetricRule(r"metrics<name=(\S+)\.(\S+)\.driver\.spark\.streaming\.(\S+)\.(\S+)><>Value",
-               "spark_structured_streaming_driver_$4", "UNTYPED", ".driver.spark.streaming.",
+               "spark_structured_streaming_driver_$4", "UNTYPED",
+               (".driver.spark.streaming.", "><>Value"),
                query_group=3),
     MetricRule(r"metrics<name=(\S+)\.(\S+)\.(\S+)\.executor\.(\S+)><>Value",
-               "spark_executor_$4", "GAUGE", ".executor.", executor_group=3),
+               "spark_executor_$4", "GAUGE", (".executor.", "><>Value"), executor_group=3),
     MetricRule(r"metrics<name=(\S+)\.(\S+)\.driver\.(BlockManager|DAGScheduler|jvm)\.(\S+)><>Value",
-               "spark_driver_$3_$4", "GAUGE", ".driver."),
+               "spark_driver_$3_$4", "GAUGE", (".driver.", "><>Value")),
     MetricRule(r"metrics<name=(\S+)\.(\S+)\.driver\.DAGScheduler\.(.*)><>Count",
-               "spark_driver_DAGScheduler_$3_count", "COUNTER", ".driver.DAGScheduler."),
+               "spark_driver_DAGScheduler_$3_count", "COUNTER",
+               (".driver.DAGScheduler.", "><>Count")),
     MetricRule(r"metrics<name=(\S+)\.(\S+)\.driver\.HiveExternalCatalog\.(.*)><>Count",
                "spark_driver_HiveExternalCatalog_$3_count", "COUNTER",
-               ".driver.HiveExternalCatalog."),
+               (".driver.HiveExternalCatalog.", "><>Count")),
     MetricRule(r"metrics<name=(\S+)\.(\S+)\.driver\.CodeGenerator\.(.*)><>Count",
-               "spark_driver_CodeGenerator_$3_count", "COUNTER", ".driver.CodeGenerator."),
+               "spark_driver_CodeGenerator_$3_count", "COUNTER",
+               (".driver.CodeGenerator.", "><>Count")),
     MetricRule(r"metrics<name=(\S+)\.(\S+)\.driver\.LiveListenerBus\.(.*)><>Count",
-               "spark_driver_LiveListenerBus_$3_count", "COUNTER", ".driver.LiveListenerBus."),
+               "spark_driver_LiveListenerBus_$3_count", "COUNTER",
+               (".driver.LiveListenerBus.", "><>Count")),
     MetricRule(r"metrics<name=(\S+)\.(\S+)\.driver\.LiveListenerBus\.(.*)><>Value",
-               "spark_driver_LiveListenerBus_$3", "GAUGE", ".driver.LiveListenerBus."),
+               "spark_driver_LiveListenerBus_$3", "GAUGE",
+               (".driver.LiveListenerBus.", "><>Value")),
     MetricRule(r"metrics<name=(\S+)\.(\S+)\.(.*)\.executor\.(.*)><>Count",
-               "spark_executor_$4_count", "COUNTER", ".executor.", executor_group=3),
+               "spark_executor_$4_count", "COUNTER", (".executor.", "><>Count"), executor_group=3),
     MetricRule(r"metrics<name=(\S+)\.(\S+)\.([0-9]+)\.(jvm|NettyBlockTransfer)\.(.*)><>Value",
-               "spark_executor_$4_$5", "GAUGE", "><>Value", executor_group=3),
+               "spark_executor_$4_$5", "GAUGE", ("><>Value",), executor_group=3),
     MetricRule(r"metrics<name=(\S+)\.(\S+)\.([0-9]+)\.HiveExternalCatalog\.(.*)><>Count",
                "spark_executor_HiveExternalCatalog_$4_count", "COUNTER",
-               ".HiveExternalCatalog.", executor_group=3),
+               (".HiveExternalCatalog.", "><>Count"), executor_group=3),
     MetricRule(r"metrics<name=(\S+)\.(\S+)\.([0-9]+)\.CodeGenerator\.(.*)><>Count",
-               "spark_executor_CodeGenerator_$4_count", "COUNTER", ".CodeGenerator.",
+               "spark_executor_CodeGenerator_$4_count", "COUNTER", (".CodeGenerator.", "><>Count"),
                executor_group=3),
 ]
 
@@ -79,18 +87,19 @@ def clean_name(name: Column, lowercase: bool = True) -> Column:
 def first_match(line: Column, rules: Sequence[MetricRule]) -> Column:
     """Name, type and label texts of the first rule that matches, separated; NULL if none does.
 
-    A rule costs a substring test and, where that holds, one replacement that lays all texts out at
+    A rule costs substring tests and, where they hold, one replacement that lays all texts out at
     once. A text without separator means that the pattern was not found. The filter over an array
     of one is there to look at that text without working it out again.
     """
     texts = []
     for rule in rules:
         labels = rule.labels()
-        template = SEPARATOR.join([rule.name, rule.type] + [f"${labels[name]}" if name in labels else ""
-                                                       for name in LABELS])
+        template = SEPARATOR.join([rule.name, rule.type, *[
+            f"${labels[name]}" if name in labels else "" for name in LABELS]])
         laid_out = F.regexp_replace(line, f"^.*?{rule.pattern}.*$", template)
         found = F.filter(F.array(laid_out), lambda text: text.contains(SEPARATOR))
-        texts.append(F.when(line.contains(rule.literal), F.get(found, F.lit(0))))
+        possible = reduce(and_, [line.contains(literal) for literal in rule.literals])
+        texts.append(F.when(possible, F.get(found, F.lit(0))))
     return F.coalesce(*texts)
 
 

@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runloom.operators.slices import MAX_ROWS, running_all
+from runloom.operators.slices import MAX_ROWS, running_all, slice_hot_counts
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
@@ -23,9 +23,8 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
     known = df.where(F.col(value).isNotNull())
     n = F.count(F.lit(1))
     counts = known.groupBy(*keys, value).agg(n.alias("_n"), n.alias("_rows"), n.alias("_each"))
-    placed = running_all(counts, keys, [value],
-                         {"_upto": ("_rows", "sum"), "_all": ("_each", "total")},
-                         max_rows=max_rows)
+    placed = running_all(slice_hot_counts(known, counts, keys, value, max_rows), keys, [value],
+                         {"_upto": ("_rows", "sum"), "_all": ("_each", "total")}, max_rows=None)
 
     def holds(place: Column) -> Column:
         """Counting from 0, a value takes the places from _upto - _n to _upto - 1."""

@@ -40,6 +40,8 @@ def slice_hot_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     if max_rows is None:
         return df
+    if SLICE in df.columns:
+        raise ValueError("sliced already; pass max_rows=None to use the slices that are there")
     seen = Observation()
     counts = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
               .observe(seen, F.sum("_n").alias("rows")))
@@ -55,6 +57,19 @@ def slice_hot_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                   ).drop("_cuts")
 
 
+def slice_hot_counts(df: DataFrame, counts: DataFrame, keys: Sequence[str], value: str,
+                     max_rows: int = MAX_ROWS) -> DataFrame:
+    """``slice_hot_keys`` for the distinct values of ``df`` with their ``counts``.
+
+    A key has at most as many values as rows, and rows are counted without a shuffle of the values;
+    only if a key has too many rows are its values counted too.
+    """
+    most = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    if not most or most <= max_rows:
+        return counts
+    return slice_hot_keys(counts, keys, [value], max_rows)
+
+
 def _cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: list,
                 target: int) -> DataFrame:
     """Per hot key, an ascending array of order values, about ``target`` rows apart."""
@@ -242,9 +257,10 @@ def ranks(df: DataFrame, keys: Sequence[str], value: str, descending: bool = Fal
     n = F.count(F.lit(1))
     counts = df.groupBy(*keys, value).agg(n.alias("_n"), n.alias("_rows"), n.alias("_each"))
     table = running_all(
-        _counted(counts, "_values", "_value"), keys, [value],
+        _counted(slice_hot_counts(df, counts, keys, value, max_rows), "_values", "_value"),
+        keys, [value],
         {"_upto": ("_rows", "sum"), "_dense": ("_values", "sum"), "_all": ("_each", "total"),
-         "_distinct": ("_value", "total")}, max_rows=max_rows)
+         "_distinct": ("_value", "total")}, max_rows=None).drop(SLICE)
     upto, dense = F.col("_upto"), F.col("_dense")
     if descending:
         upto, dense = F.col("_all") - upto + F.col("_n"), F.col("_distinct") - dense + 1

@@ -63,15 +63,18 @@ def stream_session(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        root = tempfile.mkdtemp(prefix="runloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        return root
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    """The folder every executor can reach, as named by the cluster.
+
+    In local mode, where a machine-local folder is reachable, one is made if none is named.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="runloom-"))
+        root = context.getCheckpointDir()
+    return root.rstrip("/")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

@@ -88,8 +88,8 @@ def test_first_rule_wins_and_empty_label_is_absent(spark):
 
 
 @pytest.mark.parametrize("rule", R.DEFAULT_RULES, ids=lambda r: r.name)
-def test_literal_is_in_every_match(rule):
-    assert rule.literal.replace(".", r"\.") in rule.pattern
+def test_literals_are_in_every_match(rule):
+    assert all(text.replace(".", r"\.") in rule.pattern for text in rule.literals)
     assert max(int(n) for n in re.findall(r"\$(\d)", rule.name)) <= re.compile(rule.pattern).groups
 
 

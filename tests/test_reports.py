@@ -2,6 +2,7 @@
 
 import datetime
 import glob
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,6 +222,26 @@ def test_scratch_is_below_the_shared_folder(spark):
     assert a != b and a.startswith(shared_dir(spark) + "/")
 
 
+def test_shared_folder_is_made_in_local_mode_only():
+    class Context:
+        def __init__(self, master):
+            self.master, self.folder = master, None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder + "/"
+
+    def session(master):
+        return SimpleNamespace(conf={}, sparkContext=Context(master))
+
+    local = session("local[2]")
+    assert shared_dir(local) == shared_dir(local) and not shared_dir(local).endswith("/")
+    with pytest.raises(ValueError):
+        shared_dir(session("yarn"))
+
+
 def test_sum_overflow_is_an_error(spark):
     df = spark.createDataFrame([(datetime.datetime(2024, 1, 1), 1.0, 1.0, 2 ** 63 - 1)] * 2,
                                "t timestamp, a double, d double, n long")
