@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.llm.batches import flat_computed, fresh, name_column, text_column, written
-from runloom.llm.features import WORD, WordHashes, runs
+from runloom.llm.features import WORD, WordHashes, runs, word_spans
 
 SEED_WORDS = 3
 RARE_SHARE = 1e-3
@@ -239,19 +239,6 @@ def aligned(rows: DataFrame, shared, fields: list[T.StructField], least: float)
     return flat_computed(rows, fields, start)
 
 
-def word_spans(text: str) -> list[tuple[int, int]]:
-    """The code points of the words of ``text.lower()``; a letter may become two in lower case."""
-    low = text.lower()
-    spans = [m.span() for m in WORD.finditer(low)]
-    if len(low) == len(text):
-        return spans
-    place = []
-    for i, letter in enumerate(text):
-        place += [i] * len(letter.lower())
-    place.append(len(text))
-    return [(place[a], place[b - 1] + 1) for a, b in spans]
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` that match no test item, with the columns they had.
 

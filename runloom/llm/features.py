@@ -57,3 +57,15 @@ def runs(hashes: np.ndarray, size: int) -> np.ndarray:
     if count <= 0:
         return np.zeros(0, np.uint64)
     return mixed(*[hashes[i:i + count] for i in range(size)])
+
+
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """The code points of the words of ``text.lower()``; a letter may become two in lower case."""
+    low = text.lower()
+    spans = [m.span() for m in WORD.finditer(low)]
+    if len(low) == len(text):
+        return spans
+    place = []
+    for i, letter in enumerate(text):
+        place += [i] * len(letter.lower())
+    return [(place[a], place[b - 1] + 1) for a, b in spans]

@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runloom.llm import bpe_tables, decontamination, pii, simhash, token_files, toxicity
+from runloom.llm import (
+    bpe_tables,
+    decontamination,
+    licenses,
+    main_text,
+    neighbours,
+    pii,
+    quotations,
+    simhash,
+    token_files,
+    toxicity,
+)
 from runloom.plans.registry import table
 from runloom.session import scratch_dir
 
@@ -33,6 +44,11 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.query_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op2_quotations", quotations.ORACLE)
+def op2_quotations(spark, sf_dir):
+    return quotations.reply_order(table(spark, sf_dir, "conversations"))
+
+
 @query("op3_token_files")
 def op3_token_files(spark, sf_dir):
     path = scratch_dir(spark, "tokens")
@@ -41,6 +57,11 @@ def op3_token_files(spark, sf_dir):
     return token_files.read_documents(spark, path)
 
 
+@query("op4_neighbours")
+def op4_neighbours(spark, sf_dir):
+    return neighbours.query_rows(table(spark, sf_dir, "embeddings"))
+
+
 @query("op5_simhash")
 def op5_simhash(spark, sf_dir):
     return simhash.query_rows(table(spark, sf_dir, "documents"))
@@ -51,6 +72,16 @@ def op6_pii(spark, sf_dir):
     return pii.query_rows(table(spark, sf_dir, "documents"))
 
 
+@query("op7_licenses")
+def op7_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op8_main_text")
+def op8_main_text(spark, sf_dir):
+    return main_text.query_rows(table(spark, sf_dir, "pages"))
+
+
 @query("op9_decontamination")
 def op9_decontamination(spark, sf_dir):
     return decontamination.matches(table(spark, sf_dir, "documents"),
