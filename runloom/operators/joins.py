@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,10 @@ from runloom.operators.slices import (MAX_ROWS, rows_only, slice_hot_keys, with_
                                       within)
 
 
+# The level of ranges without an end.
+OPEN = -1
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str,
               right_order: str, columns: dict[str, str],
               max_rows: int = MAX_ROWS) -> DataFrame:
@@ -18,8 +24,9 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str,
 
     ``columns`` maps output names to columns of ``right``; ``right_order`` settles equal times. Both
     inputs are merged into one ordered sequence per key: linear, and whole for left rows
-    without a match (NULL).
+    without a match (NULL). As in any join on conditions, NULL keys and NULL times match nothing.
     """
+    right = right.where(reduce(and_, [F.col(c).isNotNull() for c in [*keys, ts]]))
     newest = F.struct(*[F.col(source).alias(out) for out, source in columns.items()])
     sides = (left.withColumn("_side", F.lit(1))
              .unionByName(right.select(*keys, ts, newest.alias("_found"),
@@ -34,6 +41,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str,
         lambda w: [F.last("_newest", ignorenulls=True).over(w).alias("_found")])
     w = within(sliced, keys, order)
     found = F.last("_found", ignorenulls=True).over(w)
+    # NULL keys have no right rows; a NULL time is first in its key, before every right row.
     return (rows_only(seeded.withColumn("_hit", found), max_rows).where(F.col("_side") == 1)
             .select(*left.columns, *[F.col(f"_hit.{out}").alias(out) for out in columns]))
 
@@ -47,19 +55,30 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     is spread over many cells; a point is placed once per cell size that occurs (a few numbers, read
     before the join). The cell turns the range condition into an equi-join, which the planner can
     broadcast, sort-merge, and split where a cell is hot.
+
+    A range that is open on one or both sides (infinite ends) is a level of its own with one cell for
+    all points. NULL ends match nothing, like NULL points.
     """
+    infinite = F.lit(float("inf"))
     def cell(value: Column, level: Column) -> Column:
         return F.floor(value / (F.lit(float(width)) * F.pow(F.lit(2.0), level))).cast("long")
 
-    longer = F.ceil(F.log2((F.col(high) - F.col(low)) / F.lit(float(width))))
+    span = F.col(high).cast("double") - F.col(low).cast("double")
+    closed = span < infinite
+    longer = F.ceil(F.log2(span / F.lit(float(width))))
     placed = (ranges.where(F.col(low) < F.col(high))
-              .withColumn("_level", F.greatest(longer, F.lit(0)).cast("int")))
+              .withColumn("_level", F.when(closed, F.greatest(longer, F.lit(0)).cast("int"))
+                          .otherwise(F.lit(OPEN))))
     levels = sorted(row[0] for row in placed.select("_level").distinct().collect())
     first, last = cell(F.col(low), F.col("_level")), cell(F.col(high), F.col("_level"))
-    placed = placed.withColumn("_cell", F.explode(F.sequence(first, last)))
+    one = F.array(F.lit(0).cast("long"))
+    placed = placed.withColumn("_cell", F.explode(
+        F.when(F.col("_level") == OPEN, one).otherwise(F.sequence(first, last))))
     keyed = (points.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in levels])
                                                    .cast("array<int>")))
-             .withColumn("_cell", cell(F.col(point), F.col("_level"))))
+             .where((F.col("_level") == OPEN) | (F.abs(F.col(point).cast("double")) < infinite))
+             .withColumn("_cell", F.when(F.col("_level") == OPEN, F.lit(0).cast("long"))
+                         .otherwise(cell(F.col(point), F.col("_level")))))
     return (keyed.join(placed, [*on, "_level", "_cell"])
             .where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high)))
             .drop("_level", "_cell"))

@@ -69,16 +69,17 @@ def number_lines(lines: DataFrame) -> DataFrame:
                     "line"))
 
 
-def assemble_log_events(lines: DataFrame, max_lines: int = 100_000) -> DataFrame:
+def assemble_log_events(lines: DataFrame, max_lines: int | None = None) -> DataFrame:
     """One row per log event: the head's fields, and all its lines as one message.
 
-    An event longer than ``max_lines`` comes as several rows, numbered by ``part``, so that no
-    message outgrows a row; nothing is cut off. Lines before a file's first head form an event
-    without time, level and logger.
+    With ``max_lines`` a longer event comes as several rows, numbered by ``part``, each with the
+    head's time, level and logger; without it every event is one row, part 0, however long. Lines
+    before a file's first head form an event without time, level and logger.
     """
     numbered = number_lines(lines)
     start = F.coalesce(F.col("event_line"), F.lit(1))
-    part = F.floor((F.col("line_no") - start) / F.lit(max_lines))
+    part = (F.floor((F.col("line_no") - start) / F.lit(max_lines)) if max_lines
+            else F.lit(0).cast("long"))
     # Only heads are parsed; an event's other lines go on as they are.
     parts = F.when(F.col("line_no") == F.col("event_line"), split_head(F.col("line")))
     numbered = numbered.select("file", F.coalesce("event_line", F.lit(0)).alias("event_line"),
@@ -90,6 +91,11 @@ def assemble_log_events(lines: DataFrame, max_lines: int = 100_000) -> DataFrame
     grouped = pieces.groupBy("file", "event_line", "part").agg(
         F.max("ts").alias("ts"), F.max("level").alias("level"), F.max("logger").alias("logger"),
         F.sort_array(F.collect_list(F.struct("line_no", "message"))).alias("_lines"))
+    if max_lines:
+        heads = (pieces.where(F.col("line_no") == F.col("event_line"))
+                 .select("file", "event_line", "ts", "level", "logger"))
+        grouped = (grouped.drop("ts", "level", "logger")
+                   .join(heads, ["file", "event_line"], "left"))
     return grouped.select(
         "file", "event_line", "part", "ts", "level", "logger",
         F.array_join(F.col("_lines.message"), "\n").alias("message"),

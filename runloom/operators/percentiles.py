@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runloom.operators.slices import MAX_ROWS, running_all, slice_hot_counts
+from runloom.operators.slices import MAX_ROWS, _null_safe_join, running_all, slice_hot_counts
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
@@ -18,7 +18,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
 
     The built-in exact percentile holds all distinct values of a group in one buffer. Here values
     are counted, the counts added up along the value, and of each group only the values on both
-    sides of each wanted place are kept.
+    sides of each wanted place are kept. A group without values has NULL percentiles.
     """
     known = df.where(F.col(value).isNotNull())
     n = F.count(F.lit(1))
@@ -41,4 +41,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
         at_low = F.max(F.when(holds(low), F.col(value)))
         at_high = F.max(F.when(holds(high), F.col(value)))
         outputs.append((at_low + (at_high - at_low) * F.max(place - low)).alias(name))
-    return placed.where(reduce(or_, wanted)).groupBy(*keys).agg(*outputs)
+    found = placed.where(reduce(or_, wanted)).groupBy(*keys).agg(*outputs)
+    # One row per group and task, whatever its values; the join keeps groups that have none.
+    groups = df.select(*keys).distinct()
+    return _null_safe_join(groups, found, keys, "left")

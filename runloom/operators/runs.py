@@ -9,6 +9,9 @@ from runloom.functions.times import epoch_seconds, seconds, to_epoch
 from runloom.operators.slices import (MAX_ROWS, SLICE, newest_per_key, previous_values,
                                       running, slice_hot_keys)
 
+# Slots of a schedule that one row is spread into at most.
+SLOTS_AT_ONCE = 10_000
+
 # Stands for the end of a run that has none yet.
 _NO_END = "9999-12-31 00:00:00"
 
@@ -25,9 +28,15 @@ def missed_slots(schedules: DataFrame, runs: DataFrame, t0: str, t1: str) -> Dat
     every = F.col("every_seconds")
     active = (schedules.where(~F.coalesce("suspend", F.lit(False)) & (every > 0))
               .select("schedule_id", "every_seconds"))
-    grid = (active.where(last > first)
-            .withColumn("slot", F.explode(F.sequence(
-                F.lit(0).cast("long"), F.ceil((last - first) / every) - 1))))
+    # A fine grid over a long time is many slots: chunks of slots are dealt out before they are spread.
+    slots = F.ceil((last - first) / every)
+    chunks = (active.where(last > first)
+              .withColumn("_chunk", F.explode(F.sequence(
+                  F.lit(0).cast("long"), F.floor((slots - 1) / SLOTS_AT_ONCE))))
+              .repartition("schedule_id", "_chunk"))
+    low = F.col("_chunk") * SLOTS_AT_ONCE
+    grid = (chunks.withColumn("slot", F.explode(F.sequence(
+        low, F.least(low + SLOTS_AT_ONCE, slots) - 1))).drop("_chunk"))
     # Distinct (schedule, slot) pairs are formed before the shuffle, so a schedule with very many
     # runs sends on no more rows than it has slots.
     started = (runs.where((F.col("start") >= begin) & (F.col("start") < until))
@@ -76,10 +85,13 @@ def retained_runs(runs: DataFrame, schedules: DataFrame) -> DataFrame:
     outcome = F.col("outcome")
     limit = F.coalesce(F.when(outcome == "failed", F.col("_failed"))
                        .otherwise(F.col("_successful")), F.lit(1))
-    finished = (runs.where(outcome.isin("failed", "successful"))
-                .join(limits, "schedule_id", "left").withColumn("_limit", limit)
-                .drop("_successful", "_failed"))
-    return newest_per_key(finished, ["schedule_id", "outcome"], ["start", "run_id"], "_limit",
+    key, order = ["schedule_id", "outcome"], ["start", "run_id"]
+    # No schedule keeps more than the highest limit, so only so many runs meet the limits at all.
+    finished = runs.where(outcome.isin("failed", "successful")).withColumn(
+        "_limit", F.lit(max(highest, 1)))
+    newest = newest_per_key(finished, key, order, "_limit", max(highest, 1)).drop("_limit")
+    return newest_per_key(newest.join(limits, "schedule_id", "left").withColumn("_limit", limit)
+                          .drop("_successful", "_failed"), key, order, "_limit",
                           max(highest, 1)).drop("_limit")
 
 

@@ -298,7 +298,8 @@ def moving_range(df: DataFrame, keys: Sequence[str], position: str, reach: int,
     ``outputs`` is ``{new column: (column, "sum"|"max"|"min"|"count")}``; ``position`` is a whole
     number, seconds say. Rows of one key and position are added up first, so a burst of any size is
     at most ``slice_width + reach`` rows of a slice. A slice must be at least as wide as the reach:
-    each position is then needed in its own slice and at most the next.
+    each position is then needed in its own slice and at most the next. Rows of a key without a
+    position are a frame of their own.
     """
     if reach > slice_width:
         raise ValueError("a slice must be at least as wide as the frame")
@@ -309,13 +310,15 @@ def moving_range(df: DataFrame, keys: Sequence[str], position: str, reach: int,
     own = F.floor(F.col(position) / F.lit(slice_width))
     place = F.pmod(F.col(position), F.lit(slice_width))
     slices = F.when(place >= slice_width - reach, F.array(own, own + 1)).otherwise(F.array(own))
-    copies = added.withColumn("_own", own).withColumn(SLICE, F.explode(slices))
+    copies = added.where(F.col(position).isNotNull()).withColumn("_own", own).withColumn(SLICE, F.explode(slices))
     w = (Window.partitionBy(*keys, SLICE).orderBy(position)
          .rangeBetween(-reach, Window.currentRow))
     frames = (copies.withColumns({out: merge[how](f"_part_{out}").over(w)
                                   for out, (_, how) in outputs.items()})
               .where(F.col("_own") == F.col(SLICE)).select(*keys, position, *outputs))
-    return _null_safe_join(df, frames, [*keys, position])
+    nowhere = added.where(F.col(position).isNull()).select(
+        *keys, position, *[F.col(f"_part_{out}").alias(out) for out in outputs])
+    return _null_safe_join(df, frames.union(nowhere), [*keys, position])
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: str,

@@ -8,23 +8,47 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-# What a semicolon may sit in without ending a statement: quotes and comments.
+# What a semicolon may sit in without ending a statement: quotes, comments, and blocks of words.
 _PIECES = re.compile(
-    r"""'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|`[^`]*`|--[^\n]*|/\*.*?\*/|;|[^'"`;/-]+|.""", re.S)
+    r"""'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|`[^`]*`|--[^\n]*|/\*|\*/|;|\w+|[^'"`;/*\-\w]+|.""", re.S)
+# Words that open and close what END ends; a script block begins a statement with BEGIN.
+_OPENS = ("BEGIN", "CASE", "IF", "LOOP", "WHILE", "REPEAT", "FOR")
 
 
 def split_statements(text: str) -> list[str]:
-    """The statements of a SQL text, in order, without comments between them and empty ones."""
-    statements, current = [], ""
-    for piece in _PIECES.findall(text):
-        if piece == ";":
+    """The statements of a SQL text, in order, without comments between them and empty ones.
+
+    Comments may nest; hints stay. A ``BEGIN ... END`` block, which begins its statement, stays whole.
+    """
+    statements, current, comment, depth = [], "", 0, 0
+    pieces = _PIECES.findall(text)
+    before = ""
+    for i, piece in enumerate(pieces):
+        if comment:
+            comment += (piece == "/*") - (piece == "*/")
+            continue
+        hint = piece == "/*" and i + 1 < len(pieces) and pieces[i + 1].startswith("+")
+        if piece == "/*" and not hint:
+            comment, current = 1, current + " "
+            continue
+        if piece.startswith("--"):
+            current += " "
+            continue
+        word = piece.upper()
+        if not depth and word == "BEGIN" and not current.strip():
+            depth = 1
+        elif depth and word in _OPENS and before != "END" and (word in ("BEGIN", "CASE") or before in (
+                "", ";", "BEGIN", "THEN", "ELSE", "DO", "LOOP", ":")):
+            depth += 1
+        elif depth and word == "END":
+            depth -= 1
+        if piece == ";" and not depth:
             statements.append(current)
             current = ""
-        elif not piece.startswith("--") and not (piece.startswith("/*")
-                                                 and not piece.startswith("/*+")):
-            current += piece
         else:
-            current += " "
+            current += piece
+        if piece.strip():
+            before = word
     statements.append(current)
     return [s.strip() for s in statements if s.strip()]
 
@@ -33,7 +57,8 @@ def run_statements(spark: SparkSession, statements: str | Iterable[str] | None,
                    params: Mapping[str, Any] | None = None) -> DataFrame:
     """Run statements one after the other in one session; return the last one's result.
 
-    The first failure stops the job. ``params`` fill named markers such as ``:since``.
+    Queries before the last run too, over all their rows, though nobody sees what they return. The
+    first failure stops the job. ``params`` fill named markers such as ``:since``.
     """
     if statements is None:
         raise ValueError("a SQL job needs sql")
@@ -41,6 +66,9 @@ def run_statements(spark: SparkSession, statements: str | Iterable[str] | None,
         statements = split_statements(statements)
     result = None
     for statement in statements:
+        if result is not None and result.columns:
+            # A command has run already and holds its few rows; a query has only been planned.
+            result.write.format("noop").mode("overwrite").save()
         used = {k: v for k, v in (params or {}).items() if re.search(rf":{k}\b", statement)}
         result = spark.sql(statement, args=used) if used else spark.sql(statement)
     if result is None:

@@ -334,22 +334,23 @@ def retry_chains(spark, d):
 # --- dependencies ----------------------------------------------------------------------------
 
 @query("dependency_usage", f"""
-SELECT jar, count(DISTINCT app) AS apps, count(*) AS uses,
+SELECT kind, name, count(DISTINCT app) AS apps, count(*) AS uses,
        count(*) FILTER (source = 'own') AS own_uses,
        count(*) FILTER (source = 'catalog') AS catalog_uses,
        count(*) FILTER (source = 'env_set') AS env_set_uses
-FROM ({S.DEPENDENCIES_SQL}) GROUP BY jar""")
+FROM ({S.DEPENDENCIES_SQL}) GROUP BY kind, name""")
 def dependency_usage(spark, d):
     return D.dependency_usage(S.dependencies(spark, d))
 
 
-@query("dependency_order", f"""
-WITH deps AS ({S.DEPENDENCIES_SQL}),
-lengths AS (SELECT app, count(*) FILTER (source = 'own') AS own,
-                   count(*) FILTER (source = 'catalog') AS catalog FROM deps GROUP BY app)
-SELECT d.app, d.source, d.position, d.jar,
-       d.position + CASE source WHEN 'own' THEN 0 WHEN 'catalog' THEN own ELSE own + catalog END
-       AS place
-FROM deps d JOIN lengths l ON d.app = l.app""")
+DEPENDENCY_ORDER_SQL = f"""
+SELECT app, source, position, kind, name, row_number() OVER (
+         PARTITION BY app, kind
+         ORDER BY CASE source WHEN 'own' THEN 1 WHEN 'catalog' THEN 2 ELSE 3 END, position, name) - 1
+         AS place
+FROM ({S.DEPENDENCIES_SQL})"""
+
+
+@query("dependency_order", DEPENDENCY_ORDER_SQL)
 def dependency_order(spark, d):
     return D.dependency_order(S.dependencies(spark, d))

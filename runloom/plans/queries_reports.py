@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from runloom import schemas
+from runloom.plans import jobs
 from runloom.plans import report as R
 from runloom.plans import stand_ins as S
 from runloom.plans.registry import query, table
-from runloom.session import scratch_dir
-from runloom.sources import files, sinks
+from runloom.session import open_session, scratch_dir
+from runloom.sources import connectors, files, sinks
 from runloom.sources.generated import hashed_points, pi_estimate
 
 REPORT_SQL = """
@@ -212,3 +213,50 @@ def insert_overwrite(spark, d):
     sinks.insert_overwrite(sinks.cluster_for_write(weekend, "day_of_week", "VendorID"), name)
     return (spark.table(name).groupBy("day_of_week")
             .agg(F.count(F.lit(1)).alias("trips"), F.sum("passenger_count").alias("passengers")))
+
+
+# The shape of a scheduled report job: declare, derive and partition, report in a second namespace.
+JOB_SCRIPT = """-- a report job; /* it runs again over its own output */
+CREATE DATABASE IF NOT EXISTS {name} LOCATION '{path}/db';
+DROP TABLE IF EXISTS {name}.trips;
+CREATE TABLE {name}.trips USING parquet PARTITIONED BY (day_of_week) AS
+  SELECT *, dayofweek(tpep_pickup_datetime) AS day_of_week FROM given_trips;
+SELECT * FROM {name}.trips /* read /* whole */ by the job, */;
+USE {name};
+DROP TABLE IF EXISTS report;
+CREATE TABLE report USING parquet AS
+  SELECT day_of_week, avg(total_amount) AS avg_amount, avg(trip_distance) AS avg_trip_distance,
+         sum(passenger_count) AS total_passengers
+  FROM trips GROUP BY day_of_week;
+SELECT * FROM report;
+"""
+
+
+def job_script(spark, d, name: str) -> tuple[str, str]:
+    """The script over the given trips, with names of its own, and its database."""
+    S.trips(spark, d).createOrReplaceTempView("given_trips")
+    database = f"{name}_{uuid.uuid4().hex[:12]}"
+    return JOB_SCRIPT.format(name=database, path=scratch_dir(spark, name)), database
+
+
+@query("sql_job_report", REPORT_SQL)
+def sql_job_report(spark, d):
+    child = open_session(spark)
+    script, _ = job_script(child, d, "sql_job")
+    return rounded(jobs.run_statements(child, script))
+
+
+@query("sql_file_job", REPORT_SQL)
+def sql_file_job(spark, d):
+    """The script from a file; then its report is copied into another namespace and read there."""
+    child = open_session(spark)
+    script, database = job_script(child, d, "sql_file")
+    path = scratch_dir(spark, "sql_file_text")
+    sinks.write_files(child.createDataFrame([(script,)], "value string").coalesce(1), "text", path)
+    jobs.run_sql_file(child, path)
+    copied = f"{database}_copy"
+    child.sql(f"CREATE DATABASE {copied} LOCATION '{scratch_dir(spark, 'sql_copy')}'")
+    for _ in range(2):
+        connectors.copy_table(child, f"spark_catalog.{database}.report", f"spark_catalog.{copied}.report")
+    connectors.use_namespace(child, f"spark_catalog.{copied}")
+    return rounded(child.table("report"))

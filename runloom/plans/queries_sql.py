@@ -162,6 +162,43 @@ def join_asof(spark, d):
                        {"click_id": "event_id", "click_ts": "ts"})
 
 
+@query("join_asof_nulls", """
+WITH e AS (SELECT event_id, nullif(user_id % 50, 3) AS k,
+                  CASE WHEN event_id % 7 <> 0 THEN ts END AS ts, event_type FROM events),
+clicks AS (SELECT * FROM e WHERE event_type = 'click'),
+best AS (
+  SELECT p.event_id, max({'ts': c.ts, 'id': c.event_id}) AS b
+  FROM e p JOIN clicks c ON p.k = c.k AND c.ts <= p.ts WHERE p.event_type = 'purchase' GROUP BY 1)
+SELECT p.event_id, p.k, p.ts, b.id AS click_id, b.ts AS click_ts
+FROM (SELECT * FROM e WHERE event_type = 'purchase') p LEFT JOIN best USING (event_id)""")
+def join_asof_nulls(spark, d):
+    events = table(spark, d, "events").select(
+        "event_id", F.nullif(F.col("user_id") % 50, F.lit(3)).alias("k"),
+        F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts"), "event_type")
+    purchases = events.where("event_type = 'purchase'").drop("event_type")
+    clicks = events.where("event_type = 'click'").drop("event_type")
+    return J.asof_join(purchases, clicks, ["k"], "ts", "event_id",
+                       {"click_id": "event_id", "click_ts": "ts"})
+
+
+@query("join_range_open", """
+SELECT p_partkey, count(*) AS lines
+FROM (SELECT DISTINCT l_quantity FROM lineitem) l JOIN (
+  SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '-infinity'::DOUBLE WHEN 1 THEN p_size ELSE 10 END AS low,
+         CASE p_partkey % 5 WHEN 0 THEN 'infinity'::DOUBLE WHEN 1 THEN NULL ELSE p_size + 5 END AS high
+  FROM part) b ON l_quantity >= low AND l_quantity < high
+GROUP BY 1""")
+def join_range_open(spark, d):
+    key, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    endless = F.lit(float("inf"))
+    bands = table(spark, d, "part").select(
+        "p_partkey", F.when(key % 4 == 0, -endless).when(key % 4 == 1, size).otherwise(10.0).alias("low"),
+        F.when(key % 5 == 0, endless).when(key % 5 != 1, size + 5).alias("high"))
+    quantities = table(spark, d, "lineitem").select("l_quantity").distinct()
+    return (J.range_join(quantities, bands, "l_quantity", "low", "high", 4.0).groupBy("p_partkey")
+            .agg(F.count(F.lit(1)).alias("lines")))
+
+
 # --- aggregates ------------------------------------------------------------------------------
 
 AGG_SQL = """
@@ -340,6 +377,37 @@ def win_range_frame(spark, d):
     return out.select("event_id", "user_id", "events_6h", F.round("value_6h", 4).alias("value_6h"))
 
 
+@query("win_range_frame_nulls", """
+SELECT event_id, k, count(*) OVER w AS events_6h, round(sum(value) OVER w, 4) AS value_6h
+FROM (SELECT *, user_id % 50 AS k,
+             CASE WHEN event_id % 5 <> 0 THEN CAST(floor(epoch(ts)) AS BIGINT) END AS sec FROM events)
+WINDOW w AS (PARTITION BY k ORDER BY sec RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW)""")
+def win_range_frame_nulls(spark, d):
+    events = _events(spark, d)
+    timed = events.select("event_id", "value", (F.col("user_id") % 50).alias("k"), F.when(
+        F.col("event_id") % 5 != 0, epoch_seconds(events, "ts")).alias("sec"))
+    out = W.moving_range(timed, ["k"], "sec", 21600,
+                         {"events_6h": ("event_id", "count"), "value_6h": ("value", "sum")}, 86400)
+    return out.select("event_id", "k", "events_6h", F.round("value_6h", 4).alias("value_6h"))
+
+
+@query("win_first_last_nth", """
+SELECT event_id, user_id, first_value(event_type) OVER w AS first_type,
+       last_value(event_type) OVER w AS last_type, nth_value(event_type, 3) OVER w AS third_type
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+def win_first_last_nth(spark, d):
+    """Over whole keys the first, last and third values are one row per key, joined back."""
+    events = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    place = F.struct("ts", "event_id")
+    ends = events.groupBy("user_id").agg(F.min_by("event_type", place).alias("first_type"),
+                                         F.max_by("event_type", place).alias("last_type"))
+    third = (W.row_numbers(events, ["user_id"], BY_TIME, "place").where("place = 3")
+             .select("user_id", F.col("event_type").alias("third_type")))
+    return (events.select("event_id", "user_id").join(ends, "user_id")
+            .join(third, "user_id", "left"))
+
+
 # --- top-k -----------------------------------------------------------------------------------
 
 TOPK_SQL = """
@@ -609,6 +677,41 @@ def udf_pandas_agg(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "sd")})
 
 
+@query("agg_percentile_nulls", """
+SELECT k, round(quantile_cont(v, 0.5), 6) AS p50
+FROM (SELECT nullif(l_suppkey % 9, 4) AS k, CASE WHEN l_suppkey % 9 <> 2 THEN l_extendedprice END AS v
+      FROM lineitem) GROUP BY 1""")
+def agg_percentile_nulls(spark, d):
+    nine = F.col("l_suppkey") % 9
+    lines = table(spark, d, "lineitem").select(
+        F.nullif(nine, F.lit(4)).alias("k"), F.when(nine != 2, F.col("l_extendedprice")).alias("v"))
+    return P.exact_percentiles(lines, ["k"], "v", {"p50": 0.5}).withColumn("p50", F.round("p50", 6))
+
+
+@query("udf_pandas_agg_nulls", """
+SELECT k, count(v) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS sd
+FROM (SELECT nullif(user_id % 9, 4) AS k, CASE WHEN user_id % 9 <> 2 THEN value + 1e9 END AS v
+      FROM events) GROUP BY 1""")
+def udf_pandas_agg_nulls(spark, d):
+    nine = F.col("user_id") % 9
+    rows = table(spark, d, "events").select(
+        F.nullif(nine, F.lit(4)).alias("k"), F.when(nine != 2, F.col("value") + 1e9).alias("v"))
+    out = udfs.mean_and_spread(rows, "k", "v")
+    return out.withColumns({c: F.round(c, 4) for c in ("mean", "sd")})
+
+
+@query("udtf_split_nulls", """
+SELECT doc_id, CAST(place AS INTEGER) AS place, CAST(length(line) AS INTEGER) AS chars
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+             unnest(range(0, len(string_split(text, chr(10))))) AS place
+      FROM documents WHERE doc_id % 3 <> 0)""")
+def udtf_split_nulls(spark, d):
+    spark.udtf.register("split_lines", udfs.SplitLines)
+    docs = table(spark, d, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("text")).alias("text"))
+    return spark.sql("SELECT doc_id, place, chars FROM {docs}, LATERAL split_lines(text)", docs=docs)
+
+
 @query("udtf_split", """
 SELECT doc_id, CAST(place AS INTEGER) AS place, CAST(length(line) AS INTEGER) AS chars
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,

@@ -271,6 +271,7 @@ FROM events"""
 # --- dependencies: one per line item ---------------------------------------------------------
 
 DEP_SOURCES = ["own", "catalog", "env_set"]
+DEP_KINDS = ["jar", "file", "py_file", "package", "excluded_package", "repository"]
 
 
 def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,10 +279,12 @@ def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("app-"), F.col("l_orderkey").cast("string")).alias("app"),
         _pick(DEP_SOURCES, F.col("l_linenumber") % 3).alias("source"),
         F.col("l_linenumber").alias("position"),
-        F.concat(F.lit("jar-"), F.col("l_partkey").cast("string")).alias("jar"))
+        _pick(DEP_KINDS, (F.col("l_partkey") % 12 % 6).cast("int")).alias("kind"),
+        F.concat(F.lit("dep-"), F.col("l_partkey").cast("string")).alias("name"))
 
 
 DEPENDENCIES_SQL = f"""
 SELECT 'app-' || l_orderkey AS app, {_sql_list(DEP_SOURCES)}[l_linenumber % 3 + 1] AS source,
-       l_linenumber AS position, 'jar-' || l_partkey AS jar
+       l_linenumber AS position, {_sql_list(DEP_KINDS)}[l_partkey % 12 % 6 + 1] AS kind,
+       'dep-' || l_partkey AS name
 FROM lineitem"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,9 +64,40 @@ def use_namespace(spark: SparkSession, namespace: str, create: bool = False) ->
 
 
 def copy_table(spark: SparkSession, source: str, target: str) -> None:
-    """Copy between catalogs; both are full names. The target is replaced."""
-    spark.sql(f"DROP TABLE IF EXISTS {target}")
-    spark.table(source).writeTo(target).create()
+    """Copy between catalogs; both are full names. The target is replaced.
+
+    The copy is written beside the target, which is only dropped when the copy is whole: a missing
+    source, a failed write or a copy onto itself leaves the target as it was. The renaming happens
+    inside the target's namespace.
+    """
+    rows = spark.table(source)  # raises here if there is no such table
+    wanted = _full_name(spark, target)
+    if [p.lower() for p in _full_name(spark, source)] == [p.lower() for p in wanted]:
+        raise ValueError(f"{source} cannot be copied onto itself")
+    catalog, *namespace, name = wanted
+    beside = [catalog, *namespace, f"{name}_{uuid.uuid4().hex[:12]}"]
+    try:
+        rows.writeTo(_quoted(beside)).create()
+        spark.sql(f"DROP TABLE IF EXISTS {_quoted(wanted)}")
+        # The new name is one of the same catalog.
+        spark.sql(f"ALTER TABLE {_quoted(beside)} RENAME TO {_quoted([*namespace, name])}")
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {_quoted(beside)}")
+        raise
+
+
+def _full_name(spark: SparkSession, name: str) -> list[str]:
+    """Catalog, namespace and table, the current ones filled in, without quotes."""
+    parts = [p.replace("`", "") for p in re.findall(r"`[^`]*`|[^.`]+", name)]
+    if len(parts) == 1:
+        parts.insert(0, spark.catalog.currentDatabase())
+    if len(parts) == 2:
+        parts.insert(0, spark.catalog.currentCatalog())
+    return parts
+
+
+def _quoted(parts: list[str]) -> str:
+    return ".".join(f"`{p}`" for p in parts)
 
 
 def jdbc_options(url: str, table: str, driver: str, partition_col: str | None = None,

@@ -57,15 +57,21 @@ def write_table(df: DataFrame, table: str, path: str | None = None, fmt: str = "
 
 
 def insert_overwrite(df: DataFrame, table: str) -> None:
-    """Replace only the partitions that ``df`` holds rows for."""
-    conf, mode = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
-    columns = df.sparkSession.table(table).columns
-    before = conf.get(mode)
-    conf.set(mode, "dynamic")
-    try:
-        df.select(*columns).write.mode("overwrite").insertInto(table)
-    finally:
-        conf.set(mode, before)
+    """Replace only the partitions of a file-based table that ``df`` holds rows for.
+
+    The mode is an option of this one write, to the table's own folder; a setting of the session
+    would change what other jobs of the session do meanwhile.
+    """
+    spark = df.sparkSession
+    rows = df.select(*spark.table(table).columns)
+    about = {r["col_name"]: r["data_type"]
+             for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+    parts = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts)
+     .format(about["Provider"]).save(about["Location"]))
+    if parts:
+        spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+    spark.catalog.refreshTable(table)
 
 
 def publish(df: DataFrame, path: str, version: int) -> None:

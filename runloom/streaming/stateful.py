@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def track_activity(events: DataFrame, key: str, value: str) -> DataFrame:
-    """Count, sum and highest value per key, updated as rows arrive.
+    """Count of rows, sum and highest value per key, updated as rows arrive; NULL without values.
 
     Rows are added up per key inside each Arrow batch before they are shuffled to the state, so a
     key with a third of the rows sends it one row per batch.
@@ -22,16 +22,19 @@ def track_activity(events: DataFrame, key: str, value: str) -> DataFrame:
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             grouped = batch.groupby("key", dropna=False)["value"]
-            yield pd.DataFrame({"n": grouped.size(), "total": grouped.sum(),
+            yield pd.DataFrame({"n": grouped.size(), "total": grouped.sum(min_count=1),
                                 "highest": grouped.max()}).reset_index()
 
     def update(group: tuple, batches: Iterator[pd.DataFrame],
                state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total, highest = state.get if state.exists else (0, 0.0, float("-inf"))
+        n, total, highest = state.get if state.exists else (0, None, None)
         for batch in batches:
             n += int(batch["n"].sum())
-            total += float(batch["total"].sum())
-            highest = max(highest, float(batch["highest"].max()))
+            known = batch.dropna(subset=["highest"])
+            if len(known):
+                total = (total or 0.0) + float(known["total"].sum())
+                top = float(known["highest"].max())
+                highest = top if highest is None else max(highest, top)
         state.update((n, total, highest))
         yield pd.DataFrame({"key": [group[0]], "n": [n], "total": [total], "highest": [highest]})
 

@@ -172,6 +172,7 @@ def test_events_of_several_lines_over_many_splits(spark, tmp_path, max_bytes):
         numbered = L.number_lines(lines).where(F.col("file").endswith("a.log")).collect()
         events = L.assemble_log_events(lines).collect()
         parts = L.assemble_log_events(lines, max_lines=10).where("logger IS NULL OR logger != 'A'")
+        assert parts.where("logger = 'B' AND level = 'INFO' AND ts IS NOT NULL").count() == 5
         parts = parts.where(F.col("file").endswith("a.log") & (F.col("event_line") == 6)).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -188,6 +189,16 @@ def test_events_of_several_lines_over_many_splits(spark, tmp_path, max_bytes):
     assert "\n".join(r["message"] for r in parts).split("\n") == ["second"] + one[6:46]
 
 
+def test_an_event_of_any_length_is_one_row_with_its_head(spark, tmp_path):
+    frames = "".join(f"  at frame {i}\n" for i in range(200_000))
+    (tmp_path / "a.log").write_text(f"24/01/01 00:00:01 ERROR A: first\n{frames}"
+                                    "24/01/01 00:00:02 DEBUG B: second\n")
+    events = L.assemble_log_events(files.read_lines(spark, str(tmp_path)))
+    [kept] = events.where("level = 'ERROR'").collect()
+    assert kept["n_lines"] == 200_001 and kept["part"] == 0
+    assert kept["message"] == "first\n" + frames[:-1]
+
+
 # --- status ----------------------------------------------------------------------------------
 
 def status(spark, **columns):
@@ -344,11 +355,29 @@ def test_every_seconds(spark):
 
 def test_dependencies_keep_duplicates_and_order(spark):
     deps = spark.createDataFrame(
-        [("a", "env_set", 0, "m.jar"), ("a", "own", 0, "x.jar"), ("a", "catalog", 0, "i.jar"),
-         ("a", "catalog", 1, "i.jar"), ("a", "own", 1, "i.jar"), ("b", "catalog", 0, "i.jar")],
+        [("a", "env_set", 5, "jar", "m.jar"), ("a", "own", 3, "jar", "x.jar"),
+         ("a", "catalog", 0, "jar", "i.jar"), ("a", "catalog", 0, "jar", "i.jar"),
+         ("a", "own", 7, "jar", "i.jar"), ("b", "catalog", 0, "jar", "i.jar"),
+         ("a", "own", 1, "package", "p"), ("a", "catalog", 1, "package", "q")],
         schemas.DEPENDENCIES)
-    placed = D.dependency_order(deps).where("app = 'a'").orderBy("place").collect()
-    assert [(r["place"], r["jar"]) for r in placed] == [
-        (0, "x.jar"), (1, "i.jar"), (2, "i.jar"), (3, "i.jar"), (4, "m.jar")]
-    usage = {r["jar"]: r for r in D.dependency_usage(deps).collect()}
+    for most in (1, 2, 100):
+        placed = D.dependency_order(deps, most).where("app = 'a'").orderBy("kind", "place").collect()
+        assert [(r["kind"], r["place"], r["name"]) for r in placed] == [
+            ("jar", 0, "x.jar"), ("jar", 1, "i.jar"), ("jar", 2, "i.jar"), ("jar", 3, "i.jar"),
+            ("jar", 4, "m.jar"), ("package", 0, "p"), ("package", 1, "q")]
+    usage = {r["name"]: r for r in D.dependency_usage(deps).collect()}
     assert (usage["i.jar"]["apps"], usage["i.jar"]["uses"], usage["i.jar"]["catalog_uses"]) == (2, 4, 3)
+
+
+def test_places_of_the_stand_in_have_no_gaps(spark, sf_dir):
+    from runloom.plans import stand_ins
+    placed = D.dependency_order(stand_ins.dependencies(spark, sf_dir))
+    order = F.when(F.col("source") == "own", 1).when(F.col("source") == "catalog", 2).otherwise(3)
+    per_list = placed.groupBy("app", "kind").agg(
+        F.sort_array(F.collect_list("place")).alias("places"),
+        F.transform(F.sort_array(F.collect_list(F.struct("place", order.alias("o")))),
+                    lambda x: x["o"]).alias("sources"))
+    wrong = per_list.where((F.col("places") != F.sequence(F.lit(0).cast("long"),
+                                                          F.size("places").cast("long") - 1))
+                           | (F.col("sources") != F.sort_array("sources")))
+    assert per_list.count() > 0 and wrong.count() == 0

@@ -173,6 +173,35 @@ def test_split_statements():
         "SELECT /*+ BROADCAST(t) */ 1 - 2 / 3, 'it\\'s; fine'"]
 
 
+def test_nested_comments_and_blocks_stay_whole():
+    text = """/* a /* b; */ c; */ SELECT 1;
+    BEGIN DECLARE x INT; SET x = CASE WHEN true THEN 1 ELSE 2 END;
+      IF x > 0 THEN SELECT if(x > 1, 1, 2); END IF; END;
+    BEGIN SELECT 1; BEGIN SELECT 2; END; END; SELECT "/*" AS b, '*/' AS c -- end; of it
+    """
+    got = jobs.split_statements(text)
+    assert [s.split()[0] for s in got] == ["SELECT", "BEGIN", "BEGIN", "SELECT"]
+    assert got[0] == "SELECT 1" and got[1].endswith("END IF; END") and got[3].endswith("AS c")
+
+
+def test_a_query_in_the_middle_that_fails_stops_the_job(spark):
+    child = open_session(spark)
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        jobs.run_statements(child, "SELECT 1 / id FROM range(3); CREATE TEMPORARY VIEW after AS SELECT 1")
+    assert not child.catalog.tableExists("after")
+
+
+def test_a_copy_never_loses_its_target(spark):
+    child = open_session(spark)
+    sinks.write_table(child.range(4), "copied_from")
+    C.copy_table(child, "copied_from", "copied_to")
+    with pytest.raises(ValueError):
+        C.copy_table(child, "copied_to", "spark_catalog.default.COPIED_TO")
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+        C.copy_table(child, "no_such_source", "copied_to")
+    assert child.table("copied_to").count() == 4
+
+
 def test_statements_run_in_order_and_stop_at_the_first_failure(spark):
     child = open_session(spark)
     out = jobs.run_statements(child, """

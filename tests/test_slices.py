@@ -136,7 +136,11 @@ def test_asof_join_equal_times_and_no_match(spark):
         "rid int, k string, ts timestamp_ntz")
     for most in (1, 2, 100):
         got = joins.asof_join(left, right, ["k"], "ts", "rid", {"found": "rid"}, most)
-        assert {r["id"]: r["found"] for r in got.collect()} == {1: 11, 2: None, 3: None, 4: 14}
+        assert {r["id"]: r["found"] for r in got.collect()} == {1: 11, 2: None, 3: None, 4: None}
+    timeless = left.withColumn("ts", F.when(F.col("id") != 1, F.col("ts")))
+    late = right.withColumn("ts", F.when(F.col("rid") != 10, F.col("ts")))
+    got = joins.asof_join(timeless, late, ["k"], "ts", "rid", {"found": "rid"}).collect()
+    assert {r["id"]: r["found"] for r in got} == {1: None, 2: None, 3: None, 4: None}
 
 
 def test_range_join_is_half_open_for_ranges_of_any_length(spark):
@@ -149,6 +153,14 @@ def test_range_join_is_half_open_for_ranges_of_any_length(spark):
     for width in (0.5, 5.0, 100.0):
         got = joins.range_join(points, ranges, "p", "lo", "hi", width).collect()
         assert sorted((r["p"], r["name"]) for r in got) == want
+    inf = float("inf")
+    ends = spark.createDataFrame([("up", 5.0, inf), ("down", -inf, 5.0), ("any", -inf, inf),
+                                  ("null", None, 9.0)], "name string, lo double, hi double")
+    more = points.union(spark.createDataFrame([(None,), (inf,), (float("-inf"),)], "p double"))
+    want = sorted((p["p"], r["name"]) for p in more.collect() for r in ends.collect()
+                  if None not in (p["p"], r["lo"]) and r["lo"] <= p["p"] < r["hi"])
+    got = joins.range_join(more, ends.union(ranges.where("name = 'c'")), "p", "lo", "hi", 5.0)
+    assert sorted((r["p"], r["name"]) for r in got.collect()) == want
     none = joins.range_join(points, ranges.where("name = 'c'"), "p", "lo", "hi", 1.0)
     assert none.count() == 0
 
