@@ -32,7 +32,7 @@ SHINGLE = 3
 DISTANCE = 2
 SEED = 42
 SAMPLE = 2000
-MOST_SHARING = 64
+MOST_SHARING = 32
 PARTITIONS = (2, 3, 4)
 _MAJORITY = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 
@@ -130,9 +130,12 @@ def plan_search(distinct: DataFrame, distance: int = DISTANCE) -> tuple[list[lis
             probes = 0
             for t in range(distance + 1):
                 probes += len(list(combinations(group, t)))
-                # Pairs in the sample, and half a pair more where none was seen.
-                seen = (np.count_nonzero(apart <= t + 0.5) - len(bits) + 0.5) / max(len(bits), 1) ** 2
-                row.append(probes + max(seen, probes / 2.0 ** len(group)) * rows)
+                # Others of the sample within t bits, for each fingerprint of it; unseen values hold
+                # what evenly spread ones would. Above MOST_SHARING the detour's rows are the cost.
+                seen = (np.count_nonzero(apart <= t + 0.5, axis=1) - 1) / max(len(bits), 1)
+                candidates = np.maximum(seen, probes / 2.0 ** len(group)) * rows
+                candidates = np.where(candidates > MOST_SHARING, BITS + 1, candidates)
+                row.append(probes + (float(candidates.mean()) if len(bits) else 0.0))
             costs.append(row)
         cost, chosen = allocate(costs, distance - count + 1)
         if best is None or cost < best[0]:
