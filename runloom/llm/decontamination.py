@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.llm.batches import flat_computed, fresh, name_column, text_column, written
-from runloom.llm.features import WORD, WordHashes, runs, word_spans
+from runloom.llm.features import WORD, Vocabulary, known_runs, word_spans
 
 SEED_WORDS = 3
 RARE_SHARE = 1e-3
@@ -75,14 +75,11 @@ class Items:
     """The words of a block of test items, and the places of their runs."""
 
     def __init__(self, rows: list[tuple]):
-        words = WordHashes()
-        self.ids, self.words = [], []
-        for item_id, text in rows:
-            found = WORD.findall((text or "").lower())
-            if len(found) >= SEED_WORDS:
-                self.ids.append(item_id)
-                self.words.append(words.of(found)[0])
-        grams = [runs(w, SEED_WORDS) for w in self.words]
+        rows = [(i, text) for i, text in rows if len(WORD.findall(text.lower())) >= SEED_WORDS]
+        self.vocabulary = Vocabulary([text for _, text in rows])
+        self.ids = [i for i, _ in rows]
+        self.words = [self.vocabulary.hashes(text) for _, text in rows]
+        grams = [known_runs(w, SEED_WORDS)[1] for w in self.words]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         self.place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else flat
@@ -104,18 +101,19 @@ class Items:
         self.rows, self.first = rows, np.searchsorted(self.gram[rows],
                                                       np.arange(len(self.grams) + 1))
 
-    def found(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``grams`` that hold a run of an item, and the numbers of those runs."""
+    def found(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in a text's words that hold a run of an item, and the numbers of those runs."""
+        places, grams = known_runs(words, SEED_WORDS)
         if not len(self.grams) or not len(grams):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        places = np.flatnonzero(self.grams[at] == grams)
-        return places, at[places]
+        hit = self.grams[at] == grams
+        return places[hit], at[hit]
 
 
 def windows_of(items: Items, words: np.ndarray) -> list[tuple[int, int, int]]:
     """Item, start and end of the windows of a text around its seeds; near windows are one."""
-    places, grams = items.found(runs(words, SEED_WORDS))
+    places, grams = items.found(words)
     spans: dict[int, list[tuple[int, int]]] = {}
     for place, gram in zip(places.tolist(), grams.tolist(), strict=True):
         for row in items.rows[items.first[gram]:items.first[gram + 1]].tolist():
@@ -182,13 +180,12 @@ def document_counts(rows: DataFrame, items: Items) -> tuple[dict[int, int], int]
     shared = rows.sparkSession.sparkContext.broadcast(items)
 
     def start():
-        words, mine = WordHashes(), shared.value
+        mine = shared.value
 
         def work(_, texts):
             held = np.zeros(len(mine.grams), np.int64)
             for text in texts:
-                grams = runs(words.of(WORD.findall(text.lower()))[0], SEED_WORDS)
-                held[np.unique(mine.found(grams)[1])] += 1
+                held[np.unique(mine.found(mine.vocabulary.hashes(text))[1])] += 1
             some = np.flatnonzero(held)
             return [-1, *some.tolist()], [len(texts), *held[some].tolist()]
         return work
@@ -202,7 +199,7 @@ def document_counts(rows: DataFrame, items: Items) -> tuple[dict[int, int], int]
 
 def aligned(rows: DataFrame, shared, fields: list[T.StructField], least: float) -> DataFrame:
     def start():
-        words, items = WordHashes(), shared.value
+        items = shared.value
 
         def work(doc_ids, texts):
             waiting: list[tuple[int, int, int, np.ndarray]] = []
@@ -220,7 +217,7 @@ def aligned(rows: DataFrame, shared, fields: list[T.StructField], least: float)
                 waiting, cells = [], 0
 
             for row, text in enumerate(texts):
-                hashes = words.of(WORD.findall(text.lower()))[0]
+                hashes = items.vocabulary.hashes(text)
                 for item, begin, end in windows_of(items, hashes):
                     waiting.append((row, item, begin, hashes[begin:end]))
                     cells += end - begin

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from itertools import repeat
 
 import numpy as np
 import xxhash
 
 WORD = re.compile(r"\w+")
-MOST_WORDS = 1_000_000
+MOST_WORDS = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,12 +52,30 @@ def mixed(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def runs(hashes: np.ndarray, size: int) -> np.ndarray:
-    """The hash of every run of ``size`` words."""
+class Vocabulary:
+    """The words of some short texts that are looked for; any other word is as good as another."""
+
+    def __init__(self, texts: Sequence[str]):
+        words = {w for text in texts for w in WORD.findall(text.lower())}
+        self.known = {w: xxhash.xxh64_intdigest(w) or 1 for w in words}
+
+    def hashes(self, text: str) -> np.ndarray:
+        """The hash of each known word of a text, 0 for the others."""
+        words = WORD.findall(text.lower())
+        return np.fromiter(map(self.known.get, words, repeat(0)), np.uint64, len(words))
+
+
+def known_runs(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places and hashes of all runs of ``size`` known words."""
     count = len(hashes) - size + 1
     if count <= 0:
-        return np.zeros(0, np.uint64)
-    return mixed(*[hashes[i:i + count] for i in range(size)])
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    known = hashes != 0
+    whole = known[:count].copy()
+    for i in range(1, size):
+        whole &= known[i:i + count]
+    places = np.flatnonzero(whole)
+    return places, mixed(*[hashes[places + i] for i in range(size)])
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:

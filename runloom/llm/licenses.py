@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from runloom.llm.batches import flat_computed, name_column, text_column
-from runloom.llm.features import WORD, WordHashes, runs, word_spans
+from runloom.llm.features import Vocabulary, known_runs, word_spans
 from runloom.llm.license_texts import TEMPLATES
 
 RUN = 3
@@ -35,12 +35,12 @@ class Templates:
     """The words of all templates and the inverted index of their fingerprints."""
 
     def __init__(self, templates: Sequence[tuple[str, str]] = TEMPLATES):
-        hashes = WordHashes()
+        self.vocabulary = Vocabulary([text for _, text in templates])
         self.names = [name for name, _ in templates]
-        self.words = [hashes.of(WORD.findall(text.lower()))[0] for _, text in templates]
+        self.words = [self.vocabulary.hashes(text) for _, text in templates]
         rows = []
         for i, words in enumerate(self.words):
-            grams = runs(words, RUN)
+            grams = known_runs(words, RUN)[1]
             chosen = set()
             for at in range(max(1, len(grams) - WINDOW + 1)):
                 some = grams[at:at + WINDOW]
@@ -56,13 +56,13 @@ class Templates:
 
     def candidates(self, words: np.ndarray) -> list[tuple[int, int]]:
         """Template and the place where it would begin, one for each group of like places."""
-        grams = runs(words, RUN)
-        if not len(grams):
+        places, grams = known_runs(words, RUN)
+        if not len(grams) or not len(self.grams):
             return []
         at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        places = np.flatnonzero(self.grams[at] == grams)
+        hit = self.grams[at] == grams
         begins: dict[int, list[int]] = {}
-        for place, gram in zip(places.tolist(), at[places].tolist(), strict=True):
+        for place, gram in zip(places[hit].tolist(), at[hit].tolist(), strict=True):
             for _, template, own in self.rows[self.first[gram]:self.first[gram + 1]]:
                 begins.setdefault(template, []).append(place - own)
         out = []
@@ -147,7 +147,7 @@ def scan(docs: DataFrame, least: float = LEAST_COVERAGE,
     wanted = list(templates)
 
     def start():
-        words, known = WordHashes(), Templates(wanted)
+        known = Templates(wanted)
 
         def work(doc_ids, texts):
             waiting, found = [], {}
@@ -165,7 +165,7 @@ def scan(docs: DataFrame, least: float = LEAST_COVERAGE,
                 waiting = []
 
             for row, text in enumerate(texts):
-                hashes = words.of(WORD.findall(text.lower()))[0]
+                hashes = known.vocabulary.hashes(text)
                 waiting += [(row, t, begin, hashes) for t, begin in known.candidates(hashes)]
                 if len(waiting) >= AT_ONCE:
                     waiting.sort(key=lambda w: len(known.words[w[1]]))
