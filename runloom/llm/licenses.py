@@ -4,8 +4,8 @@ Every template's word runs are hashed, and of each window of ``WINDOW`` runs the
 an inverted index (run hash to template and place). A text looks up all of its runs, so any stretch of
 ``WINDOW + RUN - 1`` words that it shares with a template meets at least one of that template's
 fingerprints. Meetings that would place the template at about the same spot are one candidate; there the
-whole template is aligned with the words within ``BAND`` places of the diagonal, and what matched is
-reported with its span.
+whole template is aligned with the words within ``BAND`` places of the diagonal (half the template, if
+that is less, so that one place does not hide the next), and what matched is reported with its span.
 
 The index has the size of the templates, which are fixed, so it goes along with the code.
 """
@@ -70,7 +70,7 @@ class Templates:
             found.sort()
             group = [found[0]]
             for begin in [*found[1:], None]:
-                if begin is not None and begin - group[0] <= BAND:
+                if begin is not None and begin - group[0] <= reach(len(self.words[template])):
                     group.append(begin)
                     continue
                 out.append((template, group[len(group) // 2]))
@@ -78,6 +78,11 @@ class Templates:
         return out
 
 
+def reach(size: int) -> int:
+    """How far words may be off the diagonal: less than to the next place of a short template."""
+    return min(BAND, size // 2)
+
+
 def align_banded(templates: list[np.ndarray], texts: list[np.ndarray],
                  begins: list[int]) -> list[tuple[int, int, int]]:
     """Matched words, start and end in the text of each template's best local alignment in its band.
@@ -97,12 +102,13 @@ def align_banded(templates: list[np.ndarray], texts: list[np.ndarray],
             right[i, low - begin + BAND:high - begin + BAND] = text[low:high]
             inside[i, low - begin + BAND:high - begin + BAND] = True
     columns = np.arange(wide, dtype=np.int64)
+    near = np.abs(columns - BAND) <= np.array([reach(len(t)) for t in templates])[:, None]
     ramp = columns * (GAP * _SCORE)
     before = np.broadcast_to(columns, (count, wide)).copy()
     best, ends = np.zeros(count, np.int64), np.zeros(count, np.int64)
     rows = np.arange(count)
     for i in range(long):
-        same = (right[:, i:i + wide] == left[:, i:i + 1]) & inside[:, i:i + wide]
+        same = (right[:, i:i + wide] == left[:, i:i + 1]) & inside[:, i:i + wide] & near
         cell = before + np.where(same, MATCH * _SCORE + _MATCHED, -MISS * _SCORE)
         cell[:, :-1] = np.maximum(cell[:, :-1], before[:, 1:] - GAP * _SCORE)
         cell = np.maximum(cell, i + 1 + columns)  # score 0, starting behind this word
