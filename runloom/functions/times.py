@@ -24,6 +24,27 @@ def epoch_seconds(df: DataFrame, name: str) -> Column:
     return to_epoch(F.col(name), df.schema[name].dataType)
 
 
+def epoch_micros(df: DataFrame, name: str) -> Column:
+    """Microseconds since 1970 of a column, whatever the session's time zone."""
+    value, kind = F.col(name), df.schema[name].dataType
+    if not isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(value.cast("timestamp"))
+    # SECOND holds the fraction too.
+    parts = F.extract(F.lit("SECOND"), value) * 1_000_000
+    return (to_epoch(value, kind) - F.second(value)) * 1_000_000 + parts.cast("long")
+
+
+def packed_order(df: DataFrame, ts: str, tiebreak: str) -> Column:
+    """One number that orders like (ts, tiebreak), missing values first.
+
+    A number fits the buffer of a hash aggregate; a maximum by a struct makes Spark sort its input.
+    ``tiebreak`` is a whole number; every step of the time is wider than all of them.
+    """
+    time = F.coalesce(epoch_micros(df, ts), F.lit(-10**17)).cast("decimal(18,0)")
+    tie = F.coalesce(F.col(tiebreak).cast("long"), F.lit(-2**63)).cast("decimal(20,0)")
+    return (time * F.lit("20000000000000000000").cast("decimal(20,0)") + tie).cast("decimal(38,0)")
+
+
 def seconds(n: Column) -> Column:
     """An interval of ``n`` seconds, fractions included."""
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), n)

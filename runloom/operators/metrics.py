@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions.metric_rules import (DEFAULT_RULES, LABELS, SEPARATOR, MetricRule,
                                             first_match, read_match)
+from runloom.functions.times import packed_order
 from runloom.operators.slices import MAX_ROWS, previous_values
 
 SERIES = ["metric", "type", *LABELS]
@@ -43,7 +44,7 @@ def gauge_rollup(metrics: DataFrame, width: str = "1 hour") -> DataFrame:
     """
     return (metrics.where(F.col("type") == "GAUGE")
             .groupBy(*SERIES, F.window("ts", width).alias("_window"))
-            .agg(F.max_by("value", F.struct("ts", "sample_id")).alias("last_value"),
+            .agg(F.max_by("value", packed_order(metrics, "ts", "sample_id")).alias("last_value"),
                  F.min("value").alias("min_value"),
                  F.max("value").alias("max_value"),
                  F.avg("value").alias("avg_value"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.functions.naming import owner_class, repair_name
-from runloom.functions.times import seconds
+from runloom.functions.times import packed_order, seconds
 
 # Fixed value: the label that names the job or session an application belongs to.
 INSTANCE_LABEL = "app.kubernetes.io/instance"
@@ -77,24 +77,24 @@ def app_runtime(status: DataFrame) -> DataFrame:
     The times are those of the newest record; an application that has not ended has no runtime.
     Times arrive as text; text that is not a time counts as missing.
     """
-    newest = F.max_by(F.struct("last_submission_attempt_time", "termination_time"),
-                      F.struct("ts", "event_id")).alias("_newest")
-    begun = F.try_to_timestamp(F.col("_newest.last_submission_attempt_time"))
-    ended = F.try_to_timestamp(F.col("_newest.termination_time"))
-    return (status.groupBy(*APP)
+    begun = F.try_to_timestamp(F.col("last_submission_attempt_time"))
+    ended = F.try_to_timestamp(F.col("termination_time"))
+    runtime = F.unix_seconds(ended) - F.unix_seconds(begun)
+    # Numbers by a number: a hash aggregate, and no sort of the input.
+    return (status.withColumns({"_runtime": runtime, "_order": packed_order(status, "ts", "event_id")})
+            .groupBy(*APP)
             .agg(F.max("execution_attempts").alias("execution_attempts"),
-                 F.max("submission_attempts").alias("submission_attempts"), newest)
-            .withColumn("runtime_seconds", F.unix_seconds(ended) - F.unix_seconds(begun))
-            .drop("_newest"))
+                 F.max("submission_attempts").alias("submission_attempts"),
+                 F.max_by("_runtime", "_order").alias("runtime_seconds")))
 
 
 def executor_state_counts(status: DataFrame,
                           states: Sequence[str] = EXECUTOR_STATES) -> DataFrame:
     """Executors by state in each application's newest record; ``other`` holds unlisted states.
 
-    Counted inside each newest record, so the executors are never spread out into rows.
+    Counted inside each record, so the executors are never spread out into rows; the newest record's
+    counts are numbers, which a hash aggregate can hold.
     """
-    newest = latest_status(status.select(*APP, "ts", "event_id", "executor_state"))
     values = F.map_values("executor_state")
 
     def count(keep: Callable[[Column], Column]) -> Column:
@@ -105,9 +105,11 @@ def executor_state_counts(status: DataFrame,
         return lambda s: s == name
 
     known = list(states)
-    return newest.select(
-        *APP, *[count(is_state(name)).alias(name.lower()) for name in known],
-        count(lambda s: ~s.isin(known)).alias("other"))
+    counts = {name.lower(): count(is_state(name)) for name in known}
+    counts["other"] = count(lambda s: ~s.isin(known))
+    rows = status.select(*APP, packed_order(status, "ts", "event_id").alias("_order"),
+                         *[value.alias(name) for name, value in counts.items()])
+    return rows.groupBy(*APP).agg(*[F.max_by(name, "_order").alias(name) for name in counts])
 
 
 def classify_owner(status: DataFrame) -> DataFrame:

@@ -53,6 +53,9 @@ def test_aggregates_are_partial_before_their_shuffle(spark, sf_dir):
     for name in ("weekday_report", "latest_phase", "gauge_rollup", "executor_states"):
         text = plan(spark, sf_dir, name)
         assert "partial_" in text and text.count("Exchange") == 1, name
+    for name in ("weekday_report", "gauge_rollup", "executor_states", "app_runtime"):
+        text = plan(spark, sf_dir, name)
+        assert "SortAggregate" not in text and not re.search(r"\bSort\b", text), name
 
 
 def test_retention_limits_rows_before_the_shuffle(spark, sf_dir):
