@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.functions.times import epoch_seconds, seconds, to_epoch
@@ -96,35 +96,64 @@ def retained_runs(runs: DataFrame, schedules: DataFrame) -> DataFrame:
 
 
 def number_chains(runs: DataFrame, policy: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Give every run the number of its retry chain within its schedule.
-
-    A run continues the chain of the run before it if that one failed and this one started within
-    the schedule's retry interval after its end; any other run opens a new chain.
+    """Give every run the number of its retry chain within its schedule, and why it continues it.
+
+    ``retry_type`` says what is retried: ``Never`` nothing, ``OnFailure`` (also if the type is missing)
+    failed runs and failed submissions, ``Always`` successful runs too. A run continues the chain of
+    the run before it if that one is retried and this one started within the interval after its end:
+    the submission interval after a failed submission, else the retry interval. ``continues`` is
+    ``submission`` or ``run``; a run that opens a new chain has none. An interval that is missing
+    lets nothing continue.
     """
     key, order = ["schedule_id"], ["start", "run_id"]
-    waits = policy.select("schedule_id", "retry_interval_seconds")
+    waits = policy.select("schedule_id", "retry_type", "retry_interval_seconds",
+                          "submission_interval_seconds")
     rows = slice_hot_keys(runs, key, order, max_rows).join(waits, key, "left")
     rows = previous_values(rows, key, order,
                            {"_before_end": "end", "_before_outcome": "outcome"}, max_rows=None)
-    wait = seconds(F.col("retry_interval_seconds"))
-    retry = ((F.col("_before_outcome") == "failed")
-             & (F.col("start") <= F.col("_before_end") + wait))
-    rows = rows.withColumn("_opens", F.when(retry, 0).otherwise(1))
-    rows = rows.drop("_before_end", "_before_outcome", "retry_interval_seconds")
+    kind = F.coalesce("retry_type", F.lit("OnFailure"))
+    before = F.col("_before_outcome")
+
+    def soon(interval: str) -> Column:
+        return F.col("start") <= F.col("_before_end") + seconds(F.col(interval))
+
+    retried = ((before == "failed") & kind.isin("OnFailure", "Always")) | (
+        (before == "successful") & (kind == "Always"))
+    resubmitted = (before == "submission_failed") & kind.isin("OnFailure", "Always")
+    rows = rows.withColumn("continues", F.when(
+        resubmitted & soon("submission_interval_seconds"), F.lit("submission")).when(
+        retried & soon("retry_interval_seconds"), F.lit("run")))
+    rows = rows.withColumn("_opens", F.when(F.col("continues").isNotNull(), 0).otherwise(1))
+    rows = rows.drop("_before_end", "_before_outcome", "retry_type", "retry_interval_seconds",
+                     "submission_interval_seconds")
     return (running(rows, key, order, "_opens", "sum", "chain", max_rows=None)
             .drop("_opens", SLICE))
 
 
 def retry_chains(runs: DataFrame, policy: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """One row per retry chain; ``exceeded`` if it holds more retries than the schedule allows."""
+    """One row per retry chain; ``exceeded`` if it holds more retries than the schedule allows.
+
+    Runs and submissions have limits of their own, none allowed by default. Under ``Always`` runs
+    are repeated without end, so only submissions can exceed theirs.
+    """
+    def continued(how: str) -> Column:
+        return F.count_if(F.coalesce(F.col("continues") == how, F.lit(False)))
+
     chains = (number_chains(runs, policy, max_rows)
               .groupBy("schedule_id", "chain")
               .agg(F.count(F.lit(1)).alias("runs"),
                    F.min("start").alias("first_start"),
                    F.max("end").alias("last_end"),
-                   F.max_by("outcome", F.struct("start", "run_id")).alias("last_outcome")))
-    allowed = policy.select("schedule_id", F.coalesce("max_retries", F.lit(0)).alias("max_retries"))
-    return (chains.withColumn("retries", F.col("runs") - 1)
-            .join(allowed, "schedule_id", "left")
-            .withColumn("exceeded", F.col("retries") > F.coalesce("max_retries", F.lit(0)))
-            .drop("max_retries"))
+                   F.max_by("outcome", F.struct("start", "run_id")).alias("last_outcome"),
+                   continued("run").alias("retries"),
+                   continued("submission").alias("submission_retries")))
+    allowed = policy.select(
+        "schedule_id", F.col("max_retries").alias("_runs"),
+        F.col("max_submission_retries").alias("_submissions"),
+        F.coalesce(F.col("retry_type") == "Always", F.lit(False)).alias("_always"))
+    none = F.lit(0)
+    too_many = ((F.col("retries") > F.coalesce("_runs", none))
+                & ~F.coalesce("_always", F.lit(False))) | (
+        F.col("submission_retries") > F.coalesce("_submissions", none))
+    return (chains.join(allowed, "schedule_id", "left").withColumn("exceeded", too_many)
+            .drop("_runs", "_submissions", "_always"))

@@ -291,6 +291,12 @@ def overlapping_runs(spark, d):
     return U.overlapping_runs(S.runs(spark, d), S.schedules(spark, d))
 
 
+@query("overlapping_runs_sliced", OVERLAPS_SQL)
+def overlapping_runs_sliced(spark, d):
+    """The same with keys cut into slices, as for a schedule with more runs than a task should get."""
+    return U.overlapping_runs(S.runs(spark, d), S.schedules(spark, d), max_rows=8)
+
+
 @query("overlap_counts", f"""
 SELECT schedule_id, policy, count(*) AS overlaps, CAST(sum(finding::INT) AS BIGINT) AS findings
 FROM ({OVERLAPS_SQL}) GROUP BY 1, 2""")
@@ -310,25 +316,52 @@ def retained_runs(spark, d):
     return U.retained_runs(S.runs(spark, d), S.schedules(spark, d))
 
 
-@query("retry_chains", f"""
-WITH ordered AS (
+RETRY_CHAINS_SQL = f"""
+WITH runs AS (
+    SELECT * REPLACE (CASE WHEN run_id % 11 = 0 AND outcome <> 'running' THEN 'submission_failed'
+                           ELSE outcome END AS outcome) FROM ({S.RUNS_SQL})),
+ordered AS (
     SELECT *, lag(end_ts) OVER w AS before_end, lag(outcome) OVER w AS before_outcome
-    FROM ({S.RUNS_SQL}) WINDOW w AS (PARTITION BY schedule_id ORDER BY start_ts, run_id)),
+    FROM runs WINDOW w AS (PARTITION BY schedule_id ORDER BY start_ts, run_id)),
 flagged AS (
-    SELECT o.*, s.max_retries,
-           CASE WHEN before_outcome = 'failed'
-                 AND start_ts <= before_end + to_seconds(retry_interval_seconds) THEN 0 ELSE 1 END
-           AS opens
+    SELECT o.*, s.max_retries, s.max_submission_retries, coalesce(retry_type, 'OnFailure') AS kind,
+           CASE WHEN kind <> 'Never' AND before_outcome = 'submission_failed'
+                     AND start_ts <= before_end + to_seconds(submission_interval_seconds)
+                THEN 'submission'
+                WHEN ((kind <> 'Never' AND before_outcome = 'failed')
+                      OR (kind = 'Always' AND before_outcome = 'successful'))
+                     AND start_ts <= before_end + to_seconds(retry_interval_seconds) THEN 'run' END
+           AS continues
     FROM ordered o LEFT JOIN ({S.SCHEDULES_SQL}) s ON o.schedule_id = s.schedule_id),
 numbered AS (
-    SELECT *, CAST(sum(opens) OVER (PARTITION BY schedule_id ORDER BY start_ts, run_id
-                   ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chain FROM flagged)
+    SELECT *, CAST(sum(CASE WHEN continues IS NULL THEN 1 ELSE 0 END) OVER (
+                       PARTITION BY schedule_id ORDER BY start_ts, run_id
+                       ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chain FROM flagged)
 SELECT schedule_id, chain, count(*) AS runs, min(start_ts) AS first_start, max(end_ts) AS last_end,
-       last(outcome ORDER BY start_ts, run_id) AS last_outcome, count(*) - 1 AS retries,
-       count(*) - 1 > coalesce(max(max_retries), 0) AS exceeded
-FROM numbered GROUP BY 1, 2""")
+       last(outcome ORDER BY start_ts, run_id) AS last_outcome,
+       count(*) FILTER (continues = 'run') AS retries,
+       count(*) FILTER (continues = 'submission') AS submission_retries,
+       (count(*) FILTER (continues = 'run') > coalesce(max(max_retries), 0) AND max(kind) <> 'Always')
+       OR count(*) FILTER (continues = 'submission') > coalesce(max(max_submission_retries), 0)
+       AS exceeded
+FROM numbered GROUP BY 1, 2"""
+
+
+def _submitted_runs(spark, d):
+    failed = (F.col("run_id") % 11 == 0) & (F.col("outcome") != "running")
+    return S.runs(spark, d).withColumn(
+        "outcome", F.when(failed, F.lit("submission_failed")).otherwise(F.col("outcome")))
+
+
+@query("retry_chains", RETRY_CHAINS_SQL)
 def retry_chains(spark, d):
-    return U.retry_chains(S.runs(spark, d), S.schedules(spark, d))
+    return U.retry_chains(_submitted_runs(spark, d), S.schedules(spark, d))
+
+
+@query("retry_chains_sliced", RETRY_CHAINS_SQL)
+def retry_chains_sliced(spark, d):
+    """The same with keys cut into slices, as for a schedule with more runs than a task should get."""
+    return U.retry_chains(_submitted_runs(spark, d), S.schedules(spark, d), max_rows=8)
 
 
 # --- dependencies ----------------------------------------------------------------------------

@@ -226,15 +226,28 @@ def agg_distinct(spark, d):
         F.count_distinct("l_partkey").alias("parts"))
 
 
-@query("agg_percentile", """
+PERCENTILE_SQL = """
 SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 6) AS p25,
        round(quantile_cont(l_extendedprice, 0.5), 6) AS p50,
        round(quantile_cont(l_extendedprice, 0.99), 6) AS p99
-FROM lineitem GROUP BY 1""")
+FROM lineitem GROUP BY 1"""
+
+
+@query("agg_percentile", PERCENTILE_SQL)
 def agg_percentile(spark, d):
+    return _price_percentiles(spark, d, W.MAX_ROWS)
+
+
+@query("agg_percentile_sliced", PERCENTILE_SQL)
+def agg_percentile_sliced(spark, d):
+    """The same with the three keys cut into slices, as for more rows than a task should get."""
+    return _price_percentiles(spark, d, 500)
+
+
+def _price_percentiles(spark, d, max_rows):
     lines = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
     out = P.exact_percentiles(lines, ["l_returnflag"], "l_extendedprice",
-                              {"p25": 0.25, "p50": 0.5, "p99": 0.99})
+                              {"p25": 0.25, "p50": 0.5, "p99": 0.99}, max_rows)
     return out.withColumns({c: F.round(c, 6) for c in ("p25", "p50", "p99")})
 
 
@@ -313,16 +326,29 @@ def unpivot(spark, d):
 
 # --- windows ---------------------------------------------------------------------------------
 
-@query("win_rank", """
+WIN_RANK_SQL = """
 SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag, l_extendedprice,
        rank() OVER w AS rank, dense_rank() OVER w AS dense_rank,
        round(percent_rank() OVER w, 9) AS percent_rank, round(cume_dist() OVER w, 9) AS cume_dist
-FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC)""")
+FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC)"""
+
+
+@query("win_rank", WIN_RANK_SQL)
 def win_rank(spark, d):
     """Three keys only: a plain window would be three tasks."""
+    return _ranked_lines(spark, d, W.MAX_ROWS)
+
+
+@query("win_rank_sliced", WIN_RANK_SQL)
+def win_rank_sliced(spark, d):
+    """The same with the three keys cut into slices, as for more rows than a task should get."""
+    return _ranked_lines(spark, d, 500)
+
+
+def _ranked_lines(spark, d, max_rows):
     lines = table(spark, d, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_extendedprice")
-    out = W.ranks(lines, ["l_returnflag"], "l_extendedprice", descending=True)
+    out = W.ranks(lines, ["l_returnflag"], "l_extendedprice", descending=True, max_rows=max_rows)
     return out.withColumns({c: F.round(c, 9) for c in ("percent_rank", "cume_dist")})
 
 

@@ -223,6 +223,7 @@ SELECT 'ns' || ((s_suppkey + CASE WHEN s_nationkey = 3 THEN 1 ELSE 0 END) % 5) A
 FROM supplier"""
 
 POLICIES = ["Allow", "Forbid", "Replace"]
+RETRY_TYPES = ["Never", "Always", "OnFailure"]
 
 
 def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +236,10 @@ def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(nation % 4 != 0, nation % 5).cast("int").alias("successful_limit"),
         F.when(nation % 3 != 0, nation % 7).cast("int").alias("failed_limit"),
         (F.lit(3600) * (key % 12)).alias("retry_interval_seconds"),
-        (key % 2).cast("int").alias("max_retries"))
+        (key % 2).cast("int").alias("max_retries"),
+        F.when(key % 5 != 0, _pick(RETRY_TYPES, (key % 3).cast("int"))).alias("retry_type"),
+        (F.lit(1800) * (key % 7)).alias("submission_interval_seconds"),
+        F.when(key % 6 != 0, key % 3).cast("int").alias("max_submission_retries"))
 
 
 SCHEDULES_SQL = f"""
@@ -243,7 +247,10 @@ SELECT s_suppkey AS schedule_id, 3600 * (1 + s_suppkey % 24) AS every_seconds,
        s_nationkey = 0 AS suspend, {_sql_list(POLICIES)}[s_suppkey % 3 + 1] AS concurrency_policy,
        CASE WHEN s_nationkey % 4 <> 0 THEN s_nationkey % 5 END AS successful_limit,
        CASE WHEN s_nationkey % 3 <> 0 THEN s_nationkey % 7 END AS failed_limit,
-       3600 * (s_suppkey % 12) AS retry_interval_seconds, s_suppkey % 2 AS max_retries
+       3600 * (s_suppkey % 12) AS retry_interval_seconds, s_suppkey % 2 AS max_retries,
+       CASE WHEN s_suppkey % 5 <> 0 THEN {_sql_list(RETRY_TYPES)}[s_suppkey % 3 + 1] END AS retry_type,
+       1800 * (s_suppkey % 7) AS submission_interval_seconds,
+       CASE WHEN s_suppkey % 6 <> 0 THEN s_suppkey % 3 END AS max_submission_retries
 FROM supplier"""
 
 

@@ -76,6 +76,9 @@ SCHEDULES = T.StructType([
     T.StructField("failed_limit", T.IntegerType()),
     T.StructField("retry_interval_seconds", T.LongType()),
     T.StructField("max_retries", T.IntegerType()),
+    T.StructField("retry_type", T.StringType()),
+    T.StructField("submission_interval_seconds", T.LongType()),
+    T.StructField("max_submission_retries", T.IntegerType()),
 ])
 
 RUNS = T.StructType([

@@ -282,7 +282,9 @@ def test_name_collisions_per_namespace(spark):
 # --- schedules and runs ----------------------------------------------------------------------
 
 def schedules(spark, rows):
-    return spark.createDataFrame(rows, schemas.SCHEDULES)
+    """Schedules from their first columns; the rest is NULL."""
+    width = len(schemas.SCHEDULES)
+    return spark.createDataFrame([(*row, *[None] * (width - len(row))) for row in rows], schemas.SCHEDULES)
 
 
 def runs(spark, rows):
@@ -329,18 +331,31 @@ def test_retention_defaults_to_one(spark):
 
 
 def test_retry_chains(spark):
-    plans = schedules(spark, [(1, 60, False, None, None, None, 300, 1),
-                              (2, 60, False, None, None, None, None, None)])
+    plans = schedules(spark, [
+        (1, 60, False, None, None, None, 300, 1, None, None, None),
+        (2, 60, False, None, None, None, None, None, "OnFailure", None, None),
+        (3, 60, False, None, None, None, 300, 9, "Never", 300, 9),
+        (4, 60, False, None, None, None, 300, 0, "Always", 300, 9),
+        (5, 60, False, None, None, None, 60, 9, "OnFailure", 600, 1)])
     data = [(1, 1, at(0), at(1), "failed"), (1, 2, at(6), at(7), "failed"),
             (1, 3, at(8), at(9), "successful"), (1, 4, at(10), at(11), "failed"),
             (1, 5, at(17), at(18), "failed"), (2, 6, at(0), at(1), "failed"),
-            (2, 7, at(1), at(2), "failed")]
+            (2, 7, at(1), at(2), "failed"),
+            (3, 8, at(0), at(1), "failed"), (3, 9, at(1), at(2), "submission_failed"),
+            (3, 10, at(2), at(3), "failed"),
+            (4, 11, at(0), at(1), "successful"), (4, 12, at(2), at(3), "failed"),
+            (4, 13, at(4), at(5), "successful"),
+            (5, 14, at(0), at(1), "submission_failed"), (5, 15, at(9), at(10), "submission_failed"),
+            (5, 16, at(15), at(16), "failed"), (5, 17, at(30), at(31), "successful")]
     for most in (1, 3, 10 ** 6):
         got = U.retry_chains(runs(spark, data), plans, most).collect()
         assert sorted((r["schedule_id"], r["chain"], r["runs"], r["retries"], r["exceeded"])
                       for r in got) == [(1, 1, 3, 2, True), (1, 2, 1, 0, False),
                                         (1, 3, 1, 0, False), (2, 1, 1, 0, False),
-                                        (2, 2, 1, 0, False)]
+                                        (2, 2, 1, 0, False), (3, 1, 1, 0, False),
+                                        (3, 2, 1, 0, False), (3, 3, 1, 0, False),
+                                        (4, 1, 3, 2, False), (5, 1, 3, 0, True),
+                                        (5, 2, 1, 0, False)]
 
 
 def test_every_seconds(spark):
