@@ -74,17 +74,39 @@ def insert_overwrite(df: DataFrame, table: str) -> None:
     spark.catalog.refreshTable(table)
 
 
-def publish(df: DataFrame, path: str, version: int) -> None:
-    """Write a small report as version ``version`` below ``path``.
+def publish(df: DataFrame, path: str, version: int, keep: int = 3) -> None:
+    """Write a small report as version ``version`` below ``path``, and drop all but the newest ``keep``.
 
     Earlier versions stay in place until the new one is complete, so a reader always finds one;
-    writing the same version again replaces it.
+    writing the same version again replaces it. A reader that takes longer than ``keep`` versions
+    needs a higher one.
     """
     df.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+    for old in _versions(df.sparkSession, path)[:-keep]:
+        files, place = _folder(df.sparkSession, f"{path}/version={old}")
+        files.delete(place, True)
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
-    """The newest published version. Finding it reads directory names, not data."""
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == newest).drop("version")
+    """The newest whole published version, found by listing the folder."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.parquet(f"{path}/version={versions[-1]}")
+
+
+def _folder(spark: SparkSession, path: str):
+    """A path on whatever file system it names, and that file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the versions whose write has been committed, ascending."""
+    files, place = _folder(spark, path)
+    if not files.exists(place):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(place)]
+    found = [n for n in names if n.startswith("version=")]
+    return sorted(int(n.removeprefix("version=")) for n in found
+                  if files.exists(_folder(spark, f"{path}/{n}/_SUCCESS")[1]))

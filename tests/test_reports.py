@@ -103,6 +103,14 @@ def test_published_versions(spark, tmp_path):
     for version in (0, 1, 1):
         sinks.publish(spark.range(version + 2), path, version)
     assert sinks.read_published(spark, path).count() == 3
+    (tmp_path / "pub" / "version=9").mkdir()  # a write that never ended
+    for version in range(2, 8):
+        sinks.publish(spark.range(version), path, version)
+    assert sinks.read_published(spark, path).count() == 7
+    assert sorted(p.name for p in (tmp_path / "pub").iterdir()) == [
+        "version=5", "version=6", "version=7", "version=9"]
+    with pytest.raises(FileNotFoundError):
+        sinks.read_published(spark, str(tmp_path / "none"))
 
 
 def test_pi_is_repeatable(spark):
