@@ -184,7 +184,7 @@ def stream_state(spark, d):
     spark = stream_session(spark)
     path = scratch_dir(spark, "stream_state")
     tracked = stateful.track_activity(stream(spark, d, "events"), "user_id", "value")
-    O.upsert_batches(tracked, f"{path}/changes", f"{path}/checkpoint",
+    O.upsert_batches(tracked, f"{path}/changes", f"{path}/checkpoint", ["key"],
                      every=None).awaitTermination()
     merged = stateful.read_activity(spark.read.parquet(f"{path}/changes"))
     return merged.withColumn("total", F.round("total", 4))

@@ -21,29 +21,63 @@ def stream_metrics(lines: DataFrame, rules: Sequence[MetricRule] = DEFAULT_RULES
     return gauge_rollup(normalize_metrics(timed, rules), width)
 
 
-def upsert_batches(changes: DataFrame, out_path: str, checkpoint: str,
-                   every: str | None = "1 minute") -> StreamingQuery:
+def upsert_batches(changes: DataFrame, out_path: str, checkpoint: str, keys: Sequence[str],
+                   every: str | None = "1 minute", merge_every: int = 100) -> StreamingQuery:
     """Write the changed rows of each micro-batch into a folder named by its number.
 
     A batch that is repeated after a failure replaces its own folder. Readers keep, of several rows
-    of one key, that of the highest batch.
+    of one key, that of the highest batch. Every ``merge_every`` batches the folders before are merged
+    into one with the newest row of each key, so there are never more than that many.
     """
     trigger = {"processingTime": every} if every else {"availableNow": True}
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
+        if batch_id and batch_id % merge_every == 0:
+            merge_batches(batch.sparkSession, out_path, batch_id, keys)
         batch.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return (changes.writeStream.outputMode("update").trigger(**trigger)
             .option("checkpointLocation", checkpoint).foreachBatch(upsert).start())
 
 
+def merge_batches(spark: SparkSession, out_path: str, before: int, keys: Sequence[str]) -> None:
+    """Merge the folders of all batches below ``before`` into that of the last of them.
+
+    May be repeated at any point: the merged rows are whole before the first folder goes, and what is
+    left over from an earlier attempt is put in place first.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(out_path).getFileSystem(spark._jsc.hadoopConfiguration())
+    merged, last = f"{out_path}/_merged", f"{out_path}/batch={before - 1}"
+
+    def settle() -> None:
+        if files.exists(place(f"{merged}/_SUCCESS")):
+            files.delete(place(last), True)
+            files.rename(place(merged), place(last))
+
+    settle()
+    numbers = sorted(int(n.removeprefix("batch=")) for n in (
+        s.getPath().getName() for s in files.listStatus(place(out_path))) if n.startswith("batch="))
+    old = [n for n in numbers if n < before]
+    if len(old) > 1:
+        rows = spark.read.option("basePath", out_path).parquet(*[f"{out_path}/batch={n}" for n in old])
+        rest = [c for c in rows.columns if c not in (*keys, "batch")]
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_newest"))
+        (newest.select(*keys, *[F.col("_newest")[c].alias(c) for c in rest])
+         .write.mode("overwrite").parquet(merged))
+        settle()
+        for n in old:
+            if n != before - 1:
+                files.delete(place(f"{out_path}/batch={n}"), True)
+
+
 def stream_latest_phase(events: DataFrame, out_path: str, checkpoint: str, key: Sequence[str],
                         every: str | None = "1 minute", **columns) -> StreamingQuery:
     """Keep the newest phase of each key up to date below ``out_path``, for ``read_latest_phase``.
 
     The state holds one record per key. ``every=None`` takes in what is there and stops.
     """
-    return upsert_batches(latest_phase(events, key, **columns), out_path, checkpoint, every)
+    return upsert_batches(latest_phase(events, key, **columns), out_path, checkpoint, key, every)
 
 
 def read_latest_phase(spark: SparkSession, out_path: str, key: Sequence[str]) -> DataFrame:

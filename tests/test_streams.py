@@ -98,10 +98,33 @@ def test_own_state_is_kept_between_batches(session, tmp_path):
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
     for rows in ([(1, 2.0), (1, 5.0), (2, -1.0)], [(1, 3.0)]):
         feed.add(rows)
-        ops.upsert_batches(stateful.track_activity(feed.stream(), "k", "v"), out, checkpoint,
+        ops.upsert_batches(stateful.track_activity(feed.stream(), "k", "v"), out, checkpoint, ["key"],
                            every=None).awaitTermination()
     got = stateful.read_activity(session.read.parquet(out)).collect()
     assert sorted(map(tuple, got)) == [(1, 3, 10.0, 5.0), (2, 1, -1.0, -1.0)]
+    feed.add([(7, None)])
+    ops.upsert_batches(stateful.track_activity(feed.stream(), "k", "v"), out, checkpoint, ["key"],
+                       every=None).awaitTermination()
+    got = {r["key"]: tuple(r) for r in stateful.read_activity(session.read.parquet(out)).collect()}
+    assert got[7] == (7, 1, None, None)
+
+
+def test_folders_of_batches_stay_few(session, tmp_path):
+    feed = Feed(session, tmp_path, "event_id long, ts timestamp, app string, state string")
+    out, checkpoint = tmp_path / "out", str(tmp_path / "cp")
+    for n in range(7):
+        feed.add([(n, at(n), f"app{n % 3}", f"S{n}")])
+        phases = A.latest_phase(feed.stream(), ["app"])
+        ops.upsert_batches(phases, str(out), checkpoint, ["app"], every=None,
+                           merge_every=3).awaitTermination()
+        assert len([p for p in out.iterdir() if p.name.startswith("batch=")]) <= 4
+    want = {"app0": "S6", "app1": "S4", "app2": "S5"}
+    assert {r["app"]: r["phase"] for r in ops.read_latest_phase(session, str(out), ["app"]).collect()} == want
+    # Repeated, also after an attempt that ended between dropping a folder and replacing it.
+    ops.merge_batches(session, str(out), 7, ["app"])
+    (out / "batch=6").rename(out / "_merged")
+    ops.merge_batches(session, str(out), 7, ["app"])
+    assert {r["app"]: r["phase"] for r in ops.read_latest_phase(session, str(out), ["app"]).collect()} == want
 
 
 def test_log_filters_on_a_stream_equal_batch(session, tmp_path):
