@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from runloom.session import scratch_dir
 
 # Rows that Python works on at a time; an Arrow batch is cut into such pieces.
-ROWS_AT_ONCE = 2000
+ROWS_AT_ONCE = 500
 
 
 def fresh(df: DataFrame, name: str, also: Sequence[str] = ()) -> str:
@@ -34,12 +34,21 @@ def text_column(name: str = "text") -> Column:
     return F.coalesce(name_column(name).cast("string"), F.lit(""))
 
 
+def whole_texts(texts: Sequence[str | None]) -> list[str]:
+    """The texts of a batch; a null is an empty text."""
+    return [t or "" for t in texts]
+
+
+def _array(values, kind: pa.DataType) -> pa.Array:
+    return values if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
 def with_computed(df: DataFrame, inputs: Sequence[str], fields: Sequence[T.StructField],
                   start: Callable[[], Callable]) -> DataFrame:
     """``df`` plus columns that Python computes from the ``inputs``, some rows at a time.
 
-    ``start`` runs once in a task and returns a function from lists of input values to a list of
-    values for each new field.
+    ``start`` runs once in a task and returns a function from lists of input values to the values of
+    each new field, a list or an Arrow array. Columns that are no inputs pass as they are.
     """
     schema = T.StructType([*df.schema.fields, *fields])
     names = [f.name for f in schema.fields]
@@ -49,11 +58,15 @@ def with_computed(df: DataFrame, inputs: Sequence[str], fields: Sequence[T.Struc
     def run(found):
         work = start()
         for batch in found:
+            piece = new = columns = None
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 piece = batch.slice(at, ROWS_AT_ONCE)
                 new = work(*[piece.column(i).to_pylist() for i in places])
-                columns = [pa.array(values, kind) for values, kind in zip(new, kinds, strict=True)]
+                columns = [_array(values, kind) for values, kind in zip(new, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*piece.columns, *columns], names=names)
+            # Batches of very different sizes would otherwise leave the worker as large as the sum.
+            del batch, piece, new, columns
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -68,12 +81,15 @@ def flat_computed(df: DataFrame, fields: Sequence[T.StructField],
     def run(found):
         work = start()
         for batch in found:
+            piece = new = None
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 piece = batch.slice(at, ROWS_AT_ONCE)
                 new = work(*[c.to_pylist() for c in piece.columns])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(values, kind) for values, kind in zip(new, kinds, strict=True)],
+                    [_array(values, kind) for values, kind in zip(new, kinds, strict=True)],
                     names=names)
+            del batch, piece, new
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -18,9 +18,10 @@ import numpy as np
 import regex
 from tokenizers import pre_tokenizers
 
-from runloom.llm.chunks import ChunkIds, as_ids
+from runloom.llm.chunks import LETTERS, ChunkIds, as_ids
 
 SHORT = 48
+KEPT = 120_000  # chunks that a task remembers, twice over
 NONE = np.int32(2**31 - 1)
 
 # Letters and signs for which the pattern library and the tokenizers agree on what they are; other
@@ -31,6 +32,10 @@ USUAL = regex.compile(
     "一-龥가-힣]*")
 
 
+# A blank and a word: one piece.
+WORD = regex.compile(f" ?[{LETTERS}]+")
+
+
 def byte_letters() -> dict[str, int]:
     """The vocabulary's letter of each byte: itself if it can be seen, else one from 256 on."""
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -70,12 +75,13 @@ class Bpe:
         self.split_exactly = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self.specials = regex.compile("(" + "|".join(
             regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
-        self.chunks = ChunkIds(self.encode_chunks)
         self.decimal = {i: str(i).encode() for i in self.bytes_of}
 
     # Pieces of text
 
     def pieces(self, text: str) -> list[str]:
+        if WORD.fullmatch(text):
+            return [text]
         if USUAL.fullmatch(text):
             return self.pattern.findall(text)
         return [text[a:b] for _, (a, b) in self.split_exactly.pre_tokenize_str(text)]
@@ -197,8 +203,12 @@ class Bpe:
 
     # Texts
 
-    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        return [as_ids(raw) for raw in self.chunks.many(texts)]
+    def memory(self) -> ChunkIds:
+        """A new memory of encoded chunks, for one task: what it holds goes when the task ends."""
+        return ChunkIds(self.encode_chunks, list(self.special), KEPT)
+
+    def encode(self, texts: Sequence[str], memory: ChunkIds | None = None) -> list[np.ndarray]:
+        return [as_ids(raw) for raw in (memory or self.memory()).many(texts)]
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of some ids; bytes that are no UTF-8 become U+FFFD. Unknown ids are left out."""
@@ -219,7 +229,7 @@ _LOADED: dict[str, Bpe] = {}
 
 
 def bpe_for(path: str, pattern: str) -> Bpe:
-    """One encoder in a worker process, shared by its tasks."""
+    """One table of merges in a worker process, shared by its tasks."""
     if path not in _LOADED:
         _LOADED[path] = Bpe(path, pattern)
     return _LOADED[path]

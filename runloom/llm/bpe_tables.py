@@ -4,11 +4,19 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runloom.llm.batches import flat_computed, fresh, name_column, text_column, with_computed
+from runloom.llm.batches import (
+    flat_computed,
+    fresh,
+    name_column,
+    text_column,
+    whole_texts,
+    with_computed,
+)
 from runloom.llm.bpe import bpe_for
 
 
@@ -18,14 +26,21 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, into: str = "ids"
     A null text is empty and has no ids. All columns and rows stay; if ``into`` is taken, the new
     column gets underscores at its end.
     """
-    text, out = fresh(docs, "whole_text"), fresh(docs, into)
+    out = fresh(docs, into)
     field = T.StructField(out, T.ArrayType(T.IntegerType()))
 
     def start():
         bpe = bpe_for(path, pattern)
-        return lambda texts: [[ids.tolist() for ids in bpe.encode(texts)]]
+        memory = bpe.memory()
 
-    return with_computed(docs.withColumn(text, text_column()), [text], [field], start).drop(text)
+        def work(texts):
+            ids = bpe.encode(whole_texts(texts), memory)
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+        return work
+
+    return with_computed(docs, ["text"], [field], start)
 
 
 def decode_ids(rows: DataFrame, ids: str, path: str, pattern: str, into: str = "text") -> DataFrame:
@@ -51,10 +66,11 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def start():
         bpe = bpe_for(path, pattern)
+        memory = bpe.memory()
 
         def work(doc_ids, texts):
             sizes, ids_digests, text_digests = [], [], []
-            for ids in bpe.encode(texts):
+            for ids in bpe.encode(texts, memory):
                 some = ids.tolist()
                 sizes.append(len(some))
                 ids_digests.append(hashlib.sha256(bpe.decimals(some)).hexdigest())
@@ -66,7 +82,3 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         return work
 
     return flat_computed(rows, fields, start)
-
-
-def n_tokens(column: str) -> F.Column:
-    return F.size(name_column(column))

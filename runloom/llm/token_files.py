@@ -20,15 +20,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-from runloom.llm.batches import ROWS_AT_ONCE, flat_computed, name_column, text_column
+from runloom.llm.batches import flat_computed, name_column, text_column
 from runloom.llm.chunks import ChunkIds, as_ids
 
 END_ID = 2
 MAGIC = b"DAC1"
 STEP = 512  # bits between two entries of a rank directory
 SEGMENT_TOKENS = 1 << 18
+KEPT = 600_000  # chunks that a worker process remembers, twice over
+ROWS = 2000  # texts encoded at a time: more texts have fewer distinct chunks each
 ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint32)
 
 
@@ -91,6 +93,7 @@ class Segment:
 
     def slice(self, start: int, end: int) -> np.ndarray:
         """The ids from ``start`` to before ``end``; only their own chunks are read."""
+        end = min(end, len(self))
         if start >= end:
             return np.zeros(0, np.uint32)
         pieces = []
@@ -110,40 +113,50 @@ class Segment:
 
 
 def library_encoder(path: str) -> ChunkIds:
-    """Ids as the tokenizers library gives them, no special tokens added."""
+    """Ids as the tokenizers library gives them, no special tokens added.
+
+    Chunks are put one after the other and encoded in one call, those that do not begin with a blank
+    or a line end behind a line end: the library cuts there, so the ids' lengths in bytes tell which
+    chunk they belong to.
+    """
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    stops = [t for t in tokenizer.get_added_tokens_decoder().items()
-             if t[1].special and not (t[1].lstrip or t[1].rstrip or t[1].single_word)]
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    letters = pre_tokenizers.ByteLevel.alphabet()
+    sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)
+    for token, i in tokenizer.get_vocab().items():
+        # One letter of the vocabulary is one byte.
+        sizes[i] = len(token) if all(c in letters for c in token) else 0
 
-    def ids(encoding) -> bytes:
-        return np.array(encoding.ids, "<u4").tobytes()
+    def one(chunk) -> bytes:
+        return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(chunks):
-        if not stops:
-            return [ids(e) for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        # One call for many chunks with a special token between them, at which the library cuts.
-        stop, mark = stops[0][0], stops[0][1].content
         out = [None] * len(chunks)
         plain = []
+        everything = " ".join(chunks)
+        marked = any(s in everything for s in special)
         for i, chunk in enumerate(chunks):
-            if any(t.content in chunk for _, t in stops) or not chunk:
-                out[i] = ids(tokenizer.encode(chunk, add_special_tokens=False))
+            # White space at an end of a chunk would grow together with what is put there.
+            if (not chunk or chunk[-1].isspace() or (chunk[0] not in " \n" and chunk[0].isspace())
+                    or (marked and any(s in chunk for s in special))):
+                out[i] = one(chunk)
             else:
                 plain.append(i)
         for at in range(0, len(plain), 5000):
             some = plain[at:at + 5000]
-            found = np.array(tokenizer.encode(mark.join([chunks[i] for i in some]),
-                                              add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(found == stop)
+            led = [chunks[i] if chunks[i][0] in " \n" else "\n" + chunks[i] for i in some]
+            found = np.array(tokenizer.encode("".join(led), add_special_tokens=False).ids, "<u4")
+            ends = np.cumsum([len(c.encode()) for c in led])
+            cuts = (np.searchsorted(np.cumsum(sizes[found]), ends, side="left") + 1).tolist()
             raw, begin = found.tobytes(), 0
-            for i, end in zip(some, [*cuts.tolist(), len(found)], strict=True):
-                out[i] = raw[4 * begin:4 * end]
-                begin = end + 1
+            for i, whole, end in zip(some, led, cuts, strict=True):
+                out[i] = raw[4 * (begin + (whole is not chunks[i])):4 * end]
+                begin = end
         return out
 
-    return ChunkIds(encode)
+    return ChunkIds(encode, special, KEPT)
 
 
 _ENCODERS: dict[str, ChunkIds] = {}
@@ -190,8 +203,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 [pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
         for batch in found:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                piece = batch.slice(at, ROWS_AT_ONCE)
+            for at in range(0, batch.num_rows, ROWS):
+                piece = batch.slice(at, ROWS)
                 texts = piece.column(1).to_pylist()
                 for doc_id, ids in zip(piece.column(0).to_pylist(), encoder.many(texts),
                                        strict=True):
@@ -231,10 +244,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             out = ([], [], [], [])
             for base, docs, stops, payload in zip(starts, doc_ids, ends, codes, strict=True):
                 segment, begin = Segment(payload), 0
+                # All documents are wanted, so all levels are walked once.
+                ids = segment.slice(0, len(segment)).astype("<u4").tobytes()
                 for doc, stop in zip(docs, stops, strict=True):
-                    ids = segment.slice(begin, stop)
                     for column, value in zip(out, (doc, base + begin, stop - begin, zlib.crc32(
-                            ids.astype("<u4").tobytes())), strict=True):
+                            ids[4 * begin:4 * stop])), strict=True):
                         column.append(value)
                     begin = stop
             return out
