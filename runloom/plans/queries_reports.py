@@ -77,6 +77,16 @@ def csv_scan(spark, d):
         "tpep_pickup_datetime", F.col("tpep_pickup_datetime").cast("timestamp_ntz"))
 
 
+@query("csv_scan_full", S.FULL_TRIPS_SQL)
+def csv_scan_full(spark, d):
+    """All 18 columns of the trip files, with fields that are hard on a CSV reader."""
+    path = scratch_dir(spark, "full_trips_csv")
+    sinks.write_csv(S.full_trips(spark, d), path)
+    rows = files.read_csv(spark, path, schemas.TRIPS)
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz")
+                             for c in ("tpep_pickup_datetime", "tpep_dropoff_datetime")})
+
+
 @query("csv_report_roundtrip", REPORT_SQL)
 def csv_report_roundtrip(spark, d):
     path = scratch_dir(spark, "report_csv")

@@ -40,6 +40,38 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRIPS_SQL = ("SELECT " + ", ".join(f"{source} AS {name}" for name, source in TRIP_COLUMNS.items())
              + " FROM lineitem")
 
+# All 18 columns, with NULLs, quotes, separators, blanks and empty texts; the same SQL in both engines.
+FULL_TRIPS = {
+    "VendorID": "CAST(nullif(l_suppkey, 3) AS BIGINT)",
+    "tpep_pickup_datetime": "CASE WHEN l_orderkey % 13 <> 0 THEN l_shipdate END",
+    "tpep_dropoff_datetime": "CASE WHEN l_orderkey % 17 <> 0 THEN l_shipdate END",
+    "passenger_count": "CAST(nullif(l_linenumber, 2) AS BIGINT)",
+    "trip_distance": "CASE WHEN l_linenumber <> 5 THEN l_quantity END",
+    "RatecodeID": "CAST(l_partkey % 7 AS BIGINT)",
+    "store_and_fwd_flag": "CASE l_partkey % 6 WHEN 0 THEN 'a, b' WHEN 1 THEN 'say \"x\"' WHEN 2 THEN '' "
+                          "WHEN 3 THEN ' padded ' WHEN 4 THEN 'N; é' END",
+    "dropoff_longitude": "-l_extendedprice",
+    "dropoff_latitude": "CASE WHEN l_partkey % 9 <> 0 THEN l_discount END",
+    "payment_type": "CAST(l_linenumber AS BIGINT)",
+    "fare_amount": "l_extendedprice",
+    "extra": "l_discount",
+    "mta_tax": "l_tax",
+    "tip_amount": "CASE WHEN l_returnflag = 'R' THEN l_quantity END",
+    "tolls_amount": "CAST(0 AS DOUBLE)",
+    "improvement_surcharge": "CASE WHEN l_partkey % 2 = 0 THEN l_tax END",
+    "total_amount": "l_extendedprice",
+    "congestion_surcharge": "nullif(l_quantity, 7)",
+}
+
+
+def full_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        *[f"{source} AS {name}" for name, source in FULL_TRIPS.items()])
+
+
+FULL_TRIPS_SQL = ("SELECT " + ", ".join(f"{source} AS {name}" for name, source in FULL_TRIPS.items())
+                  + " FROM lineitem")
+
 # --- metric samples: one exporter line per event --------------------------------------------
 
 METRIC_TAILS = [

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    """CSV with a header row, replacing what an earlier run left at ``path``."""
-    df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+    """CSV with a header row, replacing what an earlier run left at ``path``.
+
+    Blanks around a text are part of it; the writer would cut them off unless told otherwise.
+    """
+    (df.write.mode("overwrite").option("header", True).option("sep", sep)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
