@@ -77,9 +77,13 @@ def csv_scan(spark, d):
         "tpep_pickup_datetime", F.col("tpep_pickup_datetime").cast("timestamp_ntz"))
 
 
-@query("csv_scan_full", S.FULL_TRIPS_SQL)
+@query("csv_scan_full", f"""
+SELECT * REPLACE (nullif(store_and_fwd_flag, '') AS store_and_fwd_flag) FROM ({S.FULL_TRIPS_SQL})""")
 def csv_scan_full(spark, d):
-    """All 18 columns of the trip files, with fields that are hard on a CSV reader."""
+    """All 18 columns of the trip files, with fields that are hard on a CSV reader.
+
+    An empty text comes back as NULL: Spark's reader takes an empty field for one, quoted or not.
+    """
     path = scratch_dir(spark, "full_trips_csv")
     sinks.write_csv(S.full_trips(spark, d), path)
     rows = files.read_csv(spark, path, schemas.TRIPS)
