@@ -19,7 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runloom.llm.batches import flat_computed, fresh, name_column, text_column, with_computed
+from runloom.llm.batches import (
+    flat_computed,
+    fresh,
+    name_column,
+    text_column,
+    whole_texts,
+    with_computed,
+)
 
 # What HTML counts as blocks, as tags without an end, and as tags with raw text inside.
 BLOCKS = frozenset("""address article aside blockquote body br button caption center dd details dialog dir
@@ -303,13 +310,12 @@ def extract(pages: DataFrame, into: str = "text") -> DataFrame:
 
     All rows and columns stay; if ``into`` is taken, the new column gets underscores at its end.
     """
-    whole, out = fresh(pages, "whole_html"), fresh(pages, into)
+    out = fresh(pages, into)
 
     def start():
-        return lambda sources: [[main_text(s) for s in sources]]
+        return lambda sources: [[main_text(s) for s in whole_texts(sources)]]
 
-    rows = pages.withColumn(whole, text_column("html"))
-    return with_computed(rows, [whole], [T.StructField(out, T.StringType())], start).drop(whole)
+    return with_computed(pages, ["html"], [T.StructField(out, T.StringType())], start)
 
 
 def query_rows(pages: DataFrame) -> DataFrame:

@@ -192,51 +192,63 @@ def revealing_terms(rows: DataFrame) -> DataFrame:
         F.collect_list("term").alias("terms"), F.collect_list("remove").alias("actions")), "terms")
 
 
-def find_spans(docs: DataFrame, into: tuple[str, str, str, str]) -> DataFrame:
-    """``docs`` plus the starts, ends, kinds and actions of all spans of every whole text.
-
-    Null texts are empty and have no spans; all rows and columns stay. Actions are replace for base
-    spans, and generalise or remove for terms. ``into`` names the new columns, which must be free.
-    """
-    text, text_hash = fresh(docs, "whole_text", into), fresh(docs, "text_hash", into)
-    rows = docs.withColumn(text, text_column()).withColumn(text_hash, F.xxhash64(text))
-    found = revealing_terms(rows.select(F.col(text).alias("text"), F.col(text_hash).alias("text_hash")))
-    terms, actions, key = (fresh(rows, n, into) for n in ("found_terms", "found_actions", "found_hash"))
+def with_terms(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` plus the terms to sanitise in each text and whether to remove them, and their names."""
+    text_hash = fresh(docs, "found_hash")
+    rows = docs.withColumn(text_hash, F.xxhash64(text_column()))
+    found = revealing_terms(docs.select(text_column().alias("text"))
+                            .withColumn("text_hash", F.xxhash64("text")))
+    terms, actions, key = (fresh(rows, n) for n in ("found_terms", "found_actions", "found_hash"))
     found = found.select(F.col("text_hash").alias(key), F.col("terms").alias(terms),
                          F.col("actions").alias(actions))
     # Few texts have such terms; if the table is small, Spark broadcasts it by its written size.
-    joined = rows.join(found, F.col(text_hash) == F.col(key), "left").drop(key)
+    joined = rows.join(found, F.col(text_hash) == F.col(key), "left").drop(key, text_hash)
+    return joined, terms, actions
+
+
+def spans_of(text: str, terms: list[str] | None, removes: list[bool] | None
+             ) -> list[tuple[int, int, str, str]]:
+    """All spans of a text with their actions: replace, and for terms generalise or remove."""
+    spans = [(*s, "replace") for s in base_spans(text)]
+    if terms:
+        wanted = dict(zip(terms, removes, strict=True))
+        for match in _outside(text, [s[:3] for s in spans]):
+            word = match[0].lower()
+            if word in wanted:
+                spans.append((*match.span(), "term", "remove" if wanted[word] else "generalise"))
+        spans.sort(key=_order)
+    return spans
+
+
+def find_spans(docs: DataFrame) -> DataFrame:
+    """``doc_id, starts, ends, kinds, actions`` of all spans of every whole text, in order.
+
+    Null texts are empty and have no spans; repeated rows stay, a null doc_id stays null.
+    """
+    rows, terms, actions = with_terms(docs.select(name_column("doc_id").alias("doc_id"),
+                                                  text_column().alias("text")))
+    kinds = (T.LongType(), T.LongType(), T.StringType(), T.StringType())
+    names = ("starts", "ends", "kinds", "actions")
 
     def start():
-        def work(texts, lists, removes):
+        def work(doc_ids, texts, lists, removes):
             out = ([], [], [], [])
-            for whole, some, remove in zip(texts, lists, removes, strict=True):
-                spans = [(*s, "replace") for s in base_spans(whole)]
-                if some:
-                    wanted = dict(zip(some, remove, strict=True))
-                    base = [s[:3] for s in spans]
-                    for match in _outside(whole, base):
-                        word = match[0].lower()
-                        if word in wanted:
-                            spans.append((*match.span(), "term",
-                                          "remove" if wanted[word] else "generalise"))
-                    spans.sort(key=_order)
+            for text, some, remove in zip(texts, lists, removes, strict=True):
+                spans = spans_of(text, some, remove)
                 for column, values in zip(out, zip(*spans, strict=True) if spans else ([],) * 4,
                                           strict=True):
                     column.append(list(values))
-            return out
+            return doc_ids, *out
         return work
 
-    kinds = (T.LongType(), T.LongType(), T.StringType(), T.StringType())
-    fields = [T.StructField(n, T.ArrayType(k)) for n, k in zip(into, kinds, strict=True)]
-    return with_computed(joined, [text, terms, actions], fields, start).drop(
-        text, text_hash, terms, actions)
+    return flat_computed(rows.select("doc_id", "text", terms, actions), [
+        rows.schema["doc_id"], *[T.StructField(n, T.ArrayType(k))
+                                 for n, k in zip(names, kinds, strict=True)]], start)
 
 
 def query_rows(docs: DataFrame) -> DataFrame:
     """Counts by kind, base_sha256 and spans of every row of ``docs``, all as the contract has them."""
-    rows = docs.select(name_column("doc_id").alias("doc_id"), text_column().alias("text"))
-    found = find_spans(rows, ("starts", "ends", "kinds", "actions")).drop("text")
+    found = find_spans(docs)
     all_spans = F.transform(F.arrays_zip("kinds", "starts", "ends"), lambda s: F.concat_ws(
         ":", s["kinds"], s["starts"].cast("string"), s["ends"].cast("string")))
     base = F.filter(all_spans, lambda s: ~s.startswith("term:"))
@@ -273,17 +285,16 @@ def sanitise(docs: DataFrame) -> DataFrame:
     Columns stay as they are, but for text and, if there is one, n_chars, which follows the new text;
     null texts stay null.
     """
-    names = [fresh(docs, n) for n in ("span_starts", "span_ends", "span_kinds", "span_actions")]
-    found = find_spans(docs, tuple(names))
-    new = fresh(found, "new_text")
+    rows, terms, actions = with_terms(docs)
+    new = fresh(rows, "new_text")
 
     def start():
-        def work(texts, *spans):
-            return [[text if text is None else sanitised_text(text, list(zip(*some, strict=True)))
-                     for text, *some in zip(texts, *spans, strict=True)]]
+        def work(texts, lists, removes):
+            return [[text if text is None else sanitised_text(text, spans_of(text, some, remove))
+                     for text, some, remove in zip(texts, lists, removes, strict=True)]]
         return work
 
-    done = with_computed(found, ["text", *names], [T.StructField(new, T.StringType())], start)
+    done = with_computed(rows, ["text", terms, actions], [T.StructField(new, T.StringType())], start)
     kinds = dict(docs.dtypes)
     columns = []
     for name in docs.columns:

@@ -24,7 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runloom.llm.batches import flat_computed, fresh, name_column, text_column, written
+from runloom.llm.batches import (
+    flat_computed,
+    fresh,
+    name_column,
+    text_column,
+    whole_texts,
+    with_computed,
+    written,
+)
 from runloom.llm.components import components
 
 BITS = 64
@@ -223,29 +231,32 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept or dropped like others; a component without any doc_id keeps one row of each fingerprint.
     """
     found = written(near_duplicates(docs).select("doc_id", "fp", "component_id"), "near")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    counts = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    once = counts.filter("n = 1 and doc_id is not null").select(F.col("doc_id").alias("kept_id"))
-    key = name_column("doc_id")
-    kept_id = fresh(docs, "kept_id")
-    whole = docs.join(once.withColumnRenamed("kept_id", kept_id), key == F.col(kept_id), "left_semi")
-    again = written(counts.filter("n > 1 or doc_id is null").select("doc_id"), "repeated")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    counts = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(stays).alias("kept"))
+    key, kept_id, kept_fp = name_column("doc_id"), fresh(docs, "kept_id"), fresh(docs, "kept_fp")
+    # Mostly one row per copy: written, so that Spark knows whether it is small enough to broadcast.
+    apart = written(counts.filter("doc_id is not null and (n > 1 or kept = 0)")
+                    .select(F.col("doc_id").alias(kept_id)), "apart")
+    whole = docs.filter(key.isNotNull()).join(apart, key == F.col(kept_id), "left_anti")
+    many = counts.filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("id"))
+    again = written(found.filter(stays).join(many, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+                    .select(F.col("doc_id").alias(kept_id), F.col("fp").alias(kept_fp)).distinct(),
+                    "repeated")
     if again.isEmpty():
         return whole
-    rows = docs.join(again.withColumnRenamed("doc_id", kept_id),
-                     key.eqNullSafe(F.col(kept_id)), "left_semi")
+    rows = docs.join(again, key.eqNullSafe(F.col(kept_id)), "left_semi")
     mark = fresh(docs, "fp")
 
     def start():
-        return lambda texts: [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)]
+        return lambda texts: [np.array([fingerprint(t) for t in whole_texts(texts)],
+                                       np.uint64).view(np.int64)]
 
-    from runloom.llm.batches import with_computed
-    whole_text = fresh(docs, "whole_text")
-    marked = with_computed(rows.withColumn(whole_text, text_column()), [whole_text],
-                           [T.StructField(mark, T.LongType())], start)
+    marked = with_computed(rows, ["text"], [T.StructField(mark, T.LongType())], start)
+    marked = marked.join(again, key.eqNullSafe(F.col(kept_id)) & (F.col(mark) == F.col(kept_fp)),
+                         "left_semi")
     # Pre-aggregated before the shuffle, so a row that is repeated without end is one row per task.
     names = docs.columns
     one = (marked.groupBy(key.alias("k1"), F.col(mark).alias("k2"))
            .agg(F.min_by(F.struct(*[name_column(c) for c in names]),
-                         F.struct(F.xxhash64(whole_text), F.length(whole_text))).alias("row")))
+                         F.struct(F.xxhash64("text"), F.length("text"))).alias("row")))
     return whole.unionByName(one.select(*[F.col("row")[c].alias(c) for c in names]))

@@ -17,7 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runloom.llm.batches import flat_computed, fresh, name_column, text_column, with_computed
+from runloom.llm.batches import (
+    flat_computed,
+    fresh,
+    name_column,
+    text_column,
+    whole_texts,
+    with_computed,
+)
 from runloom.llm.features import WORD, WordHashes, mixed
 
 BITS = 20
@@ -143,7 +150,7 @@ def score(docs: DataFrame, model: dict[int, float], into: str = "score") -> Data
     """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    text, out = fresh(docs, "whole_text"), fresh(docs, into)
+    out = fresh(docs, into)
 
     def start():
         weights = np.zeros(1 << BITS)
@@ -156,7 +163,7 @@ def score(docs: DataFrame, model: dict[int, float], into: str = "score") -> Data
         def work(texts):
             if bias is None:
                 return [[0.0] * len(texts)]
-            return [[one(t) for t in texts]]
+            return [[one(t) for t in whole_texts(texts)]]
 
         def one(text):
             found = buckets(text, words)
@@ -165,8 +172,7 @@ def score(docs: DataFrame, model: dict[int, float], into: str = "score") -> Data
             return float(sigmoid(weights[told].sum() + bias))
         return work
 
-    rows = docs.withColumn(text, text_column())
-    return with_computed(rows, [text], [T.StructField(out, T.DoubleType())], start).drop(text)
+    return with_computed(docs, ["text"], [T.StructField(out, T.DoubleType())], start)
 
 
 def query_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
