@@ -26,6 +26,7 @@ RUN = 3
 WINDOW = 3
 BAND = 12
 LEAST_COVERAGE = 0.7
+WHOLE_BELOW = 15  # words: in a statement shorter than this each word counts, the name above all
 MATCH, MISS, GAP = 3, 1, 1
 AT_ONCE = 256
 _SCORE, _MATCHED = np.int64(1) << 40, np.int64(1) << 20
@@ -140,8 +141,8 @@ def scan(docs: DataFrame, least: float = LEAST_COVERAGE,
          templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """``doc_id, license, template, coverage, matched_words, start, end``, one row per place found.
 
-    coverage is the share of the template's words that the alignment matched, at least ``least``. start
-    and end are code points of the whole text, end exclusive. Of overlapping findings the one with most
+    coverage is the share of the template's words that the alignment matched, at least ``least``, and all
+    of them for templates of fewer than ``WHOLE_BELOW`` words. start and end are code points of the whole text, end exclusive. Of overlapping findings the one with most
     matched words stays. Null and empty texts hold nothing; repeated rows give repeated findings; a
     null doc_id stays null; an empty table gives no rows.
     """
@@ -166,7 +167,7 @@ def scan(docs: DataFrame, least: float = LEAST_COVERAGE,
                                          [w[2] for w in some])
                     for (row, template, _, _), (matched, a, b) in zip(some, sides, strict=True):
                         size = len(known.words[template])
-                        if matched >= least * size:
+                        if matched >= (size if size < WHOLE_BELOW else least * size):
                             found.setdefault(row, []).append((template, matched, a, b, size))
                 waiting = []
 

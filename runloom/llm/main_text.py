@@ -49,6 +49,8 @@ masthead menu menubar modal nav navbar navigation newsletter notice notices noti
 popup promo promoted recommended related respond reply replies rss search share sharing sidebar signup
 skip social sponsor sponsored subscribe tags teaser toolbar widget widgets contentinfo complementary
 navigation reader reactions alert warning""".split())
+# On an article or main element only these count: "has-sidebar" there does not make it a sidebar.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 GOOD = frozenset("article articlebody body content entry main post story text".split())
 W_START, W_LENGTH, W_SENTENCE, W_LINKS, W_WITHIN = -0.6, 1.8, 0.6, -3.0, 3.0
 W_AROUND, W_NOISE, W_GOOD, W_HEADING, W_ITEM = -9.0, -7.0, 0.8, -0.2, -0.5
@@ -154,7 +156,7 @@ class Page:
                 name = name.lower()
                 if name in ("class", "id", "role"):
                     words = {w.lower() for w in _WORDS.findall(value)}
-                    if words & NOISE and not around:
+                    if words & (COMMENTS if tag in WITHIN else NOISE) and not around:
                         score, around = score + W_NOISE, True
                     elif words & GOOD:
                         score += W_GOOD

@@ -74,7 +74,7 @@ def test_whole_edited_and_in_company(spark):
     rows = [(1, f"before {MIT} after"), (2, f"some text. {edited} more"),
             (3, "first\n" + "\nthen ".join(LINES.values()) + "\nend"),
             (4, "a license is under discussion, and so is the version of it; licensed or released"),
-            (5, " ".join(words[:20])), (6, f"{LINES['MIT']} {LINES['MIT']}")]
+            (5, " ".join(words[:20])), (7, "Released under the BSD License."), (6, f"{LINES['MIT']} {LINES['MIT']}")]
     got = {}
     for r in scan(spark, rows):
         got.setdefault(r["doc_id"], []).append(r)

@@ -48,6 +48,8 @@ LONG = "This is a sentence of the article, with enough words in it to be told fr
     (f"<article><p><b>bo<i>ld</i>er</b> t<!-- no -- > <p> -->ext {LONG}</article>",
      f"bolder text {LONG.strip()}"),
     (f"<article><p title='a > b' data-x=\"<p>\">{LONG}</p></article>", LONG.strip()),
+    (f"<article class='post has-sidebar'><p>{LONG}</p></article><article class=comment>{LONG}</article>",
+     LONG.strip()),
     (f"<div hidden>{LONG}</div><div style='display: none'>{LONG}</div><main>{LONG}</main>", LONG.strip()),
 ])
 def test_pages(page, want):
