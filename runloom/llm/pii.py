@@ -2,16 +2,16 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Removing them is not
 always enough: a term that hardly occurs without an entity tells who was meant. So the corpus is asked.
-With n documents, n(e) of them with entity e, n(t) with term t and n(e, t) with t within ``NEAR``
-words of e:
+With n different texts, n(e) of them with entity e, n(t) with term t and n(e, t) with t within
+``NEAR`` words of e:
 
     information of e      IC(e) = log2(n / n(e))
     disclosure of e by t  PMI(e, t) / IC(e), where PMI(e, t) = log2(n(e, t) n / (n(e) n(t)))
 
 In documents that hold e, terms that disclose at least ``GENERALISE`` of its information are
 generalised, and those that disclose at least ``REMOVE`` are removed. A pair counts as evidence from
-``SUPPORT`` different texts on, so copies of one text prove nothing, and an entity of fewer than
-``LEAST_BITS`` bits (one that every 32nd document holds) singles nobody out.
+``SUPPORT`` texts on. All counts are of different texts, so copies neither prove nor hide anything. An
+entity of fewer than ``LEAST_BITS`` bits (one that every 32nd text holds) singles nobody out.
 
 Counts cover all documents. Words are counted for some rows at a time before they are shuffled; pairs
 arise only around entities.
@@ -171,14 +171,14 @@ def revealing_terms(rows: DataFrame) -> DataFrame:
         return work
 
     # Only terms of pairs matter, but their number has no bound, so all are counted and then joined.
-    words = flat_computed(rows.select("text"), [T.StructField("term", T.StringType()),
-                                                T.StructField("n", T.LongType())], count)
-    documents = rows.count()
+    # Copies meet in the shuffle, after those of one task have become one row.
+    words = flat_computed(rows.select("text").distinct(), [T.StructField("term", T.StringType()),
+                                                           T.StructField("n", T.LongType())], count)
+    documents = rows.select("text_hash").distinct().count()
     frequent = words.groupBy("term").agg(F.sum("n").alias("n_t"))
     n = F.lit(float(max(documents, 1)))
     bits = F.log2(n / F.col("n_e"))
-    # Evidence counts texts, the background counts rows; a term is in as many rows as texts at least.
-    share = F.log2(F.col("n_et") * n / (F.col("n_e") * F.greatest("n_t", "n_et"))) / bits
+    share = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))) / bits
     telling = (pairs.join(frequent, "term").filter(bits >= LEAST_BITS)
                .withColumn("share", share).filter(F.col("share") >= GENERALISE)
                .select("entity", "term", (F.col("share") >= REMOVE).alias("remove")))

@@ -81,6 +81,16 @@ def test_terms_that_tell(spark):
     assert {"Quill", "Mister"} <= found
 
 
+def test_copies_hide_no_term(spark):
+    """Three texts name Quill beside one address, one of them 3000 times over; nobody else does."""
+    rows = [(i, f"common words here number{i} and more") for i in range(300)]
+    rows += [(1000 + i, f"write to Quill, q@example.com about item{i}") for i in range(3)]
+    rows += [(2000 + i, rows[-1][1]) for i in range(3000)]
+    got = dict(P.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(got) == len(rows) and not any("Quill" in t for t in got.values())
+    assert "item2" in got[2000] and got[7] == dict(rows)[7]
+
+
 def digest(spans):
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
 
