@@ -2,26 +2,25 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Removing them is not
 always enough: a term that hardly occurs without an entity tells who was meant. So the corpus is asked.
-With n different texts, n(e) of them with entity e, n(t) with term t and n(e, t) with t within
-``NEAR`` words of e:
+With n different texts, n(e) of them with entity e, n(t) with term t and n(e, t) with both:
 
     information of e      IC(e) = log2(n / n(e))
     disclosure of e by t  PMI(e, t) / IC(e), where PMI(e, t) = log2(n(e, t) n / (n(e) n(t)))
 
 In documents that hold e, terms that disclose at least ``GENERALISE`` of its information are
-generalised, and those that disclose at least ``REMOVE`` are removed. A pair counts as evidence from
-``SUPPORT`` texts on. All counts are of different texts, so copies neither prove nor hide anything. An
-entity of fewer than ``LEAST_BITS`` bits (one that every 32nd text holds) singles nobody out.
+generalised, and those that disclose at least ``REMOVE`` are removed. A term is any word outside base
+spans, wherever it stands in the text. A pair counts as evidence from ``SUPPORT`` texts on. All counts
+are of different texts, so copies neither prove nor hide anything. Only an entity that every text holds
+has no information to disclose.
 
 Counts cover all documents. Words are counted for some rows at a time before they are shuffled; pairs
-arise only around entities.
+arise only in texts with entities that have support, and are counted in each task before they meet.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -31,11 +30,10 @@ from pyspark.sql import types as T
 from runloom.llm.batches import flat_computed, fresh, name_column, text_column, with_computed, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR = 8
 SUPPORT = 3
-LEAST_BITS = 5.0
 GENERALISE, REMOVE = 0.8, 0.95
-TERM_LETTERS = 3
+MOST_COPIED = 500_000  # hashes of copied texts to broadcast; the way through, not the result
+SALTS = 16  # parts of the texts that hold one entity
 WORD = re.compile(r"\w+")
 
 # Possessive repeats and the look-behinds change nothing but the time that long runs take.
@@ -102,18 +100,11 @@ def entity(text: str, span: tuple[int, int, str]) -> str:
     return f"{span[2]}:{plain}"
 
 
-def terms_near(text: str, spans: list[tuple[int, int, str]]) -> dict[str, set[str]]:
-    """For each entity of a text the terms within NEAR words, other entities' parts left out."""
-    words = _outside(text, spans)
-    starts = [m.start() for m in words]
-    out: dict[str, set[str]] = {}
-    for span in spans:
-        at = bisect_left(starts, span[0])
-        near = out.setdefault(entity(text, span), set())
-        for match in words[max(0, at - NEAR):at + NEAR]:
-            if len(match[0]) >= TERM_LETTERS:
-                near.add(match[0].lower())
-    return out
+def terms_of(text: str, spans: list[tuple[int, int, str]]) -> set[str]:
+    """The terms of a text, parts of its entities left out."""
+    if not spans:
+        return set(map(str.lower, WORD.findall(text)))
+    return {m[0].lower() for m in _outside(text, spans)}
 
 
 def _outside(text: str, spans: list[tuple[int, int, str]]) -> list[re.Match]:
@@ -138,26 +129,30 @@ def revealing_terms(rows: DataFrame) -> DataFrame:
 
     ``rows`` has text and text_hash. The result has texts with well-supported entities only.
     """
-    def near():
+    def both():
         def work(hashes, texts):
             out = ([], [], [])
             for text_hash, text in zip(hashes, texts, strict=True):
-                spans = base_spans(text)
-                for name, terms in (terms_near(text, spans) if spans else {}).items():
-                    for column, value in zip(out, (text_hash, name, sorted(terms)), strict=True):
+                if spans := base_spans(text):
+                    names = sorted({entity(text, s) for s in spans})
+                    for column, value in zip(out, (text_hash, names, sorted(terms_of(text, spans))),
+                                             strict=True):
                         column.append(value)
             return out
         return work
 
-    fields = [T.StructField("text_hash", T.LongType()), T.StructField("entity", T.StringType()),
-              T.StructField("terms", T.ArrayType(T.StringType()))]
-    around = written(flat_computed(rows.select("text_hash", "text"), fields, near)
-                     .distinct(), "near_entities")
-    held = around.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= SUPPORT)
+    strings = T.ArrayType(T.StringType())
+    fields = [T.StructField("text_hash", T.LongType()), T.StructField("entities", strings),
+              T.StructField("terms", strings)]
+    around = written(flat_computed(rows.select("text_hash", "text"), fields, both)
+                     .distinct(), "entity_texts")
+    each = around.select("text_hash", F.explode("entities").alias("entity"))
+    held = each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= SUPPORT)
     held = written(held, "entities")
-    pairs = (around.join(held, "entity").select("entity", "n_e", F.explode("terms").alias("term"))
-             .groupBy("entity", "term").agg(F.first("n_e").alias("n_e"),
-                                            F.count(F.lit(1)).alias("n_et"))
+    known = written(_salted_join(each, held, ["entity"]), "known")
+    beside = (known.join(around.select("text_hash", "terms"), "text_hash")
+              .select("text_hash", "entity", "n_e", F.explode("terms").alias("term")))
+    pairs = (beside.groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et"))
              .filter(F.col("n_et") >= SUPPORT))
     pairs = written(pairs, "pairs")
 
@@ -165,33 +160,51 @@ def revealing_terms(rows: DataFrame) -> DataFrame:
         def work(texts):
             seen: Counter = Counter()
             for text in texts:
-                seen.update({w for w in map(str.lower, WORD.findall(text))
-                             if len(w) >= TERM_LETTERS})
+                seen.update(terms_of(text, base_spans(text)))
             return list(seen), list(seen.values())
         return work
 
     # Only terms of pairs matter, but their number has no bound, so all are counted and then joined.
-    # Copies meet in the shuffle, after those of one task have become one row.
-    words = flat_computed(rows.select("text").distinct(), [T.StructField("term", T.StringType()),
-                                                           T.StructField("n", T.LongType())], count)
-    documents = rows.select("text_hash").distinct().count()
+    texts, documents = _different(rows)
+    words = flat_computed(texts, [T.StructField("term", T.StringType()),
+                                  T.StructField("n", T.LongType())], count)
     frequent = words.groupBy("term").agg(F.sum("n").alias("n_t"))
     n = F.lit(float(max(documents, 1)))
     bits = F.log2(n / F.col("n_e"))
-    share = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))) / bits
-    telling = (pairs.join(frequent, "term").filter(bits >= LEAST_BITS)
-               .withColumn("share", share).filter(F.col("share") >= GENERALISE)
-               .select("entity", "term", (F.col("share") >= REMOVE).alias("remove")))
+    told = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t")))
+    telling = (pairs.join(frequent, "term").filter((bits > 0) & (told >= GENERALISE * bits))
+               .select("entity", "term", (told >= REMOVE * bits).alias("remove")))
     if pairs.isEmpty():  # then nothing needs to be counted
         telling = telling.limit(0)
     telling = written(telling, "telling")
-    by_text = (around.select("text_hash", "entity").join(telling, "entity")
+    by_text = (_salted_join(beside.select("text_hash", "entity", "term"), telling, ["entity", "term"])
                .groupBy("text_hash", "term").agg(F.max("remove").alias("remove")))
     # A list is as long as a text has terms that tell of its own entities.
     return written(by_text.groupBy("text_hash").agg(
         F.collect_list("term").alias("terms"), F.collect_list("remove").alias("actions")), "terms")
 
 
+def _different(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Each text once, and how many there are. Texts without copies are shuffled only if more than
+    MOST_COPIED have some."""
+    hashes = written(rows.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n")), "hashes")
+    copied = hashes.filter("n > 1").select("text_hash")
+    if copied.count() > MOST_COPIED:
+        texts = rows.select("text").distinct()
+    else:
+        copied = F.broadcast(copied)
+        texts = rows.join(copied, "text_hash", "left_anti").select("text").union(
+            rows.join(copied, "text_hash", "left_semi").select("text").distinct())
+    return texts, hashes.count()
+
+
+def _salted_join(texts: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of rows with a text_hash; the rows of one entity are dealt to SALTS tasks."""
+    parts = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mine = texts.withColumn("salt", F.pmod("text_hash", F.lit(SALTS)).cast("int"))
+    return mine.join(parts, [*keys, "salt"]).drop("salt")
+
+
 def with_terms(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """``docs`` plus the terms to sanitise in each text and whether to remove them, and their names."""
     text_hash = fresh(docs, "found_hash")

@@ -81,8 +81,10 @@ def test_terms_that_tell(spark):
     assert {"Quill", "Mister"} <= found
 
 
-def test_copies_hide_no_term(spark):
+@pytest.mark.parametrize("most_copied", [0, P.MOST_COPIED])
+def test_copies_hide_no_term(spark, monkeypatch, most_copied):
     """Three texts name Quill beside one address, one of them 3000 times over; nobody else does."""
+    monkeypatch.setattr(P, "MOST_COPIED", most_copied)
     rows = [(i, f"common words here number{i} and more") for i in range(300)]
     rows += [(1000 + i, f"write to Quill, q@example.com about item{i}") for i in range(3)]
     rows += [(2000 + i, rows[-1][1]) for i in range(3000)]
@@ -91,6 +93,21 @@ def test_copies_hide_no_term(spark):
     assert "item2" in got[2000] and got[7] == dict(rows)[7]
 
 
+def test_terms_tell_from_anywhere_in_a_text(spark):
+    """A name in the heading, an address at the end; short names; an address of a third of few texts."""
+    between = "some words that stand here in any letter of this kind and then a few more "
+    rows = [(i, f"{between} page{i}") for i in range(12)]
+    rows += [(100 + i, f"Al Zorin {between} note{i} q@example.com") for i in range(6)]
+    got = dict(P.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    for i in range(6):
+        assert got[100 + i].split() == f"{between} note{i} [EMAIL]".split()
+    assert all(got[i] == t for i, t in rows[:12])
+    # What every text holds tells nothing.
+    rows = [(i, f"Al Zorin {between} note{i} q@example.com") for i in range(6)]
+    got = dict(P.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {i: t.replace("q@example.com", "[EMAIL]") for i, t in rows}
+
+
 def digest(spans):
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
 
