@@ -1,14 +1,13 @@
-"""Benchmark passages in training text: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark passages in training text: n-gram seeds, then Smith-Waterman alignment.
 
-Words are compared without case and punctuation. Every three-word run of a test item is counted over
-all documents. An item's seeds are its runs that few documents hold, and in any case the rarer half of
-its runs, so that a passage which leaked into many documents keeps seeds too. Where a document holds a
-seed, the words around it are aligned with the item: matching words score 2, replaced, added and
-left-out words cost 1. The score is divided by that of the whole item, so an exact copy has 1.0 and a
-copy with every tenth word replaced 0.85.
+Words are compared without case and punctuation. Every three-word run of a test item is a seed, however
+many documents hold it. Where a document holds a seed, and the words around it include as many of the
+item's as the least score takes, they are aligned with the item: matching words score 2, replaced,
+added and left-out words cost 1. The score is divided by that of the whole item, so an exact copy has
+1.0 and a copy with every tenth word replaced 0.85.
 
-Test items are broadcast in blocks of about ``BLOCK_WORDS`` words, one scan of the documents for
-counts and one for alignments each; most benchmarks are one block.
+Test items are broadcast in blocks of about ``BLOCK_WORDS`` words, one scan of the documents each;
+most benchmarks are one block.
 """
 
 from __future__ import annotations
@@ -24,7 +23,6 @@ from runloom.llm.batches import flat_computed, fresh, name_column, text_column,
 from runloom.llm.features import WORD, Vocabulary, known_runs, word_spans
 
 SEED_WORDS = 3
-RARE_SHARE = 1e-3
 LEAST_SCORE = 0.5
 BLOCK_WORDS = 1_000_000
 MATCH, MISS, GAP = 2, 1, 1
@@ -83,23 +81,12 @@ class Items:
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         self.place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else flat
-        self.grams, self.gram = np.unique(flat, return_inverse=True)
-        self.seeds = np.ones(len(flat), bool)
-
-    def choose_seeds(self, counts: dict[int, int], documents: int) -> None:
-        """Rows (item, place) whose run is rare; ``counts`` are documents by run."""
-        held = np.array([counts.get(i, 0) for i in range(len(self.grams))], np.int64)[self.gram]
-        self.seeds = held <= RARE_SHARE * documents
-        for i in range(len(self.words)):
-            own = slice(*np.searchsorted(self.item, [i, i + 1]))
-            self.seeds[own] |= held[own] <= np.median(held[own])
-
-    def index(self) -> None:
-        """Rows with seeds, in the order of their runs."""
-        rows = np.flatnonzero(self.seeds)
-        rows = rows[np.argsort(self.gram[rows], kind="stable")]
-        self.rows, self.first = rows, np.searchsorted(self.gram[rows],
-                                                      np.arange(len(self.grams) + 1))
+        self.grams, gram = np.unique(flat, return_inverse=True)
+        # Rows (item, place) in the order of their runs.
+        self.rows = np.argsort(gram, kind="stable")
+        self.first = np.searchsorted(gram[self.rows], np.arange(len(self.grams) + 1))
+        self.known = np.unique(np.concatenate(self.words)) if self.words else flat
+        self.numbers = [np.searchsorted(self.known, w) for w in self.words]
 
     def found(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in a text's words that hold a run of an item, and the numbers of those runs."""
@@ -111,17 +98,30 @@ class Items:
         return places[hit], at[hit]
 
 
-def windows_of(items: Items, words: np.ndarray) -> list[tuple[int, int, int]]:
-    """Item, start and end of the windows of a text around its seeds; near windows are one."""
+def windows_of(items: Items, words: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+    """Item, start and end of the windows of a text around its seeds; near windows are one.
+
+    A score of ``least`` takes that share of the item's words at least, so windows with fewer of them
+    are left out.
+    """
     places, grams = items.found(words)
+    many = items.first[grams + 1] - items.first[grams]
+    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    rows = items.rows[np.repeat(items.first[grams], many) + step]
+    own, begins = items.item[rows], np.repeat(places, many) - items.place[rows]
+    there = np.zeros(len(items.known), bool)
+    there[np.searchsorted(items.known, words[words != 0])] = True
     spans: dict[int, list[tuple[int, int]]] = {}
-    for place, gram in zip(places.tolist(), grams.tolist(), strict=True):
-        for row in items.rows[items.first[gram]:items.first[gram + 1]].tolist():
-            item = int(items.item[row])
-            size = len(items.words[item])
-            begin = place - int(items.place[row])
-            spans.setdefault(item, []).append((max(0, begin - size // 2 - 4),
-                                               min(len(words), begin + size + size // 2 + 4)))
+    order = np.argsort(own, kind="stable")
+    own, begins = own[order], begins[order]
+    cuts = np.flatnonzero(np.diff(own, prepend=-1, append=-1)) if len(own) else own
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        item = int(own[a])
+        size = len(items.words[item])
+        if there[items.numbers[item]].sum() < least * size:
+            continue
+        spans[item] = [(max(0, x - size // 2 - 4), min(len(words), x + size + size // 2 + 4))
+                       for x in np.unique(begins[a:b]).tolist()]
     out = []
     for item, found in spans.items():
         found.sort()
@@ -135,7 +135,8 @@ def windows_of(items: Items, words: np.ndarray) -> list[tuple[int, int, int]]:
                 out.append((item, begin, end))
                 begin, end = a, b
         out.append((item, begin, end))
-    return out
+    return [w for w in out if np.isin(items.words[w[0]], words[w[1]:w[2]]).sum()
+            >= least * len(items.words[w[0]])]
 
 
 def blocks_of(benchmark: DataFrame) -> list[DataFrame]:
@@ -168,35 +169,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -
         items = Items([tuple(r) for r in block.sort("item_id", "text").collect()])
         if not items.ids:
             continue
-        items.choose_seeds(*document_counts(rows, items))
-        items.index()
         some = aligned(rows, spark.sparkContext.broadcast(items), fields, least)
         found = some if found is None else found.union(some)
     return found if found is not None else spark.createDataFrame([], T.StructType(fields))
 
 
-def document_counts(rows: DataFrame, items: Items) -> tuple[dict[int, int], int]:
-    """How many documents hold each run of the items, and how many documents there are."""
-    shared = rows.sparkSession.sparkContext.broadcast(items)
-
-    def start():
-        mine = shared.value
-
-        def work(_, texts):
-            held = np.zeros(len(mine.grams), np.int64)
-            for text in texts:
-                held[np.unique(mine.found(mine.vocabulary.hashes(text))[1])] += 1
-            some = np.flatnonzero(held)
-            return [-1, *some.tolist()], [len(texts), *held[some].tolist()]
-        return work
-
-    counted = flat_computed(rows, [T.StructField("gram", T.LongType()),
-                                   T.StructField("n", T.LongType())], start)
-    # One row for each run of the block at most.
-    counts = {r["gram"]: r["n"] for r in counted.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-    return counts, counts.pop(-1, 0)
-
-
 def aligned(rows: DataFrame, shared, fields: list[T.StructField], least: float) -> DataFrame:
     def start():
         items = shared.value
@@ -218,7 +195,7 @@ def aligned(rows: DataFrame, shared, fields: list[T.StructField], least: float)
 
             for row, text in enumerate(texts):
                 hashes = items.vocabulary.hashes(text)
-                for item, begin, end in windows_of(items, hashes):
+                for item, begin, end in windows_of(items, hashes, least):
                     waiting.append((row, item, begin, hashes[begin:end]))
                     cells += end - begin
                     if cells > CELLS // 16:

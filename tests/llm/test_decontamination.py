@@ -80,6 +80,19 @@ def test_a_passage_that_most_documents_share_is_found(spark):
     assert {r["doc_id"] for r in D.matches(docs, items).collect()} == set(range(200))
 
 
+def test_a_frequent_edited_passage_is_found(spark):
+    """Every fifth word replaced, in 1% of the documents, alone and beside exact copies."""
+    words = ITEMS[0][1].split()
+    clean = [(i, f"nothing of it here but number {i}") for i in range(400)]
+    edited = [(1000 + i, f"start{i} " + " ".join(f"x{i}" if k % 5 == 4 else w for k, w in enumerate(words)))
+              for i in range(4)]
+    exact = [(2000 + i, f"{ITEMS[0][1]} end{i}") for i in range(4)]
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for rows in (edited, edited + exact):
+        docs = spark.createDataFrame(clean + rows, "doc_id long, text string")
+        assert {r["doc_id"] for r in D.matches(docs, items).collect()} == {i for i, _ in rows}
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame(documents(), "doc_id long, text string")
     items = spark.createDataFrame([*ITEMS, (1, ITEMS[0][1]), (9, ITEMS[1][1])], "item_id long, text string")
