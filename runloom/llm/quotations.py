@@ -3,7 +3,9 @@
 A line's quote level is the number of ``>`` before its text; blanks may stand between them. Neighbouring
 lines of one level, up to a line without text, are a passage. Passages are normalised (lower case, one
 space for any white space) and hashed. A message can be quoted by any of its own lines, by any of its
-paragraphs, and as a whole, so all of these are hashed too and joined to the quoted hashes.
+paragraphs, and as a whole, so all of these are hashed too and joined to the quoted hashes. A passage
+that none of these of its own conversation equals is looked for inside messages, as a row of words
+without regard to lines and punctuation: messages with its rarest run of ``RUN`` words are candidates.
 
 The original of a passage is the first message of the same conversation that holds it before the
 quoting one, else the first message of another conversation that holds it. First holders are grouped
@@ -24,6 +26,7 @@ from runloom.llm.batches import name_column, written
 BLANKS = " \t\r\n\f"
 PREFIX = r"^[ \t]*(?:>[ \t]?)*"
 KEY = ["conv_id", "turn", "tag"]
+RUN = 4
 
 
 def normalised(text: Column) -> Column:
@@ -63,8 +66,8 @@ def passages_of(lines: DataFrame) -> DataFrame:
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "norm"))),
                                       lambda x: x["norm"]), " ")
     return (runs.groupBy(*KEY, "run", "level").agg(F.min("place").alias("place"),
-                                                   F.md5(joined).alias("hash"))
-            .drop("run"))
+                                                   joined.alias("said"))
+            .withColumn("hash", F.md5("said")).drop("run"))
 
 
 def holdings(lines: DataFrame, passages: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -92,11 +95,73 @@ def linked_quotes(quotes: DataFrame, held: DataFrame) -> DataFrame:
     other = (F.when(F.col("one.conv_id") != F.col("conv_id"), F.col("one"))
              .when(F.col("one.conv_id") == F.col("conv_id"), F.col("two")))
     return found.select(
-        *KEY, "level", "place", "hash",
+        *quotes.columns,
         F.when(same, F.col("conv_id")).otherwise(other["conv_id"]).alias("from_conv"),
         F.when(same, F.col("first_turn")).otherwise(other["first_turn"]).alias("from_turn"))
 
 
+def spoken(text: Column) -> Column:
+    """The words of a text, one blank before and behind each."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+
+
+def runs_of(words: Column, sizes: list[Column]) -> Column:
+    """All runs of so many words, hashed. The lambda's variable holds the words, split once."""
+    def of(w: Column, size: Column) -> Column:
+        return F.when(F.size(w) >= size, F.transform(
+            F.sequence(F.lit(1), F.size(w) - size + 1),
+            lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")))).otherwise(
+            F.array().cast("array<bigint>"))
+
+    return F.array_distinct(F.flatten(F.flatten(F.transform(
+        F.array(words), lambda w: F.array(*[of(w, k) for k in sizes])))))
+
+
+def holdings_inside(passages: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``conv_id, turn, hash`` of the messages whose words have those of a passage (hash, words) in a row.
+
+    Every passage meets the messages that hold its rarest run only.
+    """
+    words = F.split(F.btrim("words"), " ")
+    wanted = written(passages.select("hash", F.explode(runs_of(words, [F.least(F.lit(RUN), F.size(words))]))
+                                     .alias("run")), "wanted_runs")
+    said = (bodies.filter("conv_id is not null and turn is not null")
+            .select("conv_id", "turn", spoken(F.col("body")).alias("own")).distinct())
+    said = written(said.withColumn("id", F.md5("own")), "spoken")
+    own = F.split(F.btrim("own"), " ")
+    texts = said.select("id", "own").distinct()
+    runs = texts.select("id", F.explode(runs_of(own, [F.lit(k) for k in range(1, RUN + 1)])).alias("run"))
+    runs = written(runs.distinct().join(wanted.select("run").distinct(), "run", "left_semi"), "held_runs")
+    counts = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (wanted.join(counts, "run", "left").groupBy("hash")
+              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("least"))
+              .select("hash", F.col("least.run").alias("run")))
+    met = (rarest.join(runs, "run").join(passages, "hash").join(texts, "id")
+           .filter(F.contains("own", "words")).select("hash", "id"))
+    return said.join(met, "id").select("conv_id", "turn", "hash")
+
+
+def linked_inside(links: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``links`` with the originals that hold a passage as a part, where no own message equals it.
+
+    Fewer than RUN words link inside their own conversation only.
+    """
+    words = spoken(F.col("said"))
+    own = F.col("from_conv").eqNullSafe(F.col("conv_id")) & F.col("from_turn").isNotNull()
+    rest = (links.filter(~own).withColumn("short", F.size(F.split(F.btrim(words), " ")) < RUN)
+            .withColumnsRenamed({"from_conv": "whole_conv", "from_turn": "whole_turn"}))
+    passages = rest.select("hash", words.alias("words")).filter("btrim(words) <> ''").distinct()
+    found = linked_quotes(rest, holdings_inside(passages, bodies))
+    inside = F.col("from_conv") == F.col("conv_id")
+    taken = F.when(inside, F.struct("from_conv", "from_turn")).when(
+        F.col("whole_turn").isNotNull(), F.struct(F.col("whole_conv").alias("from_conv"),
+                                                  F.col("whole_turn").alias("from_turn"))).when(
+        ~F.col("short"), F.struct("from_conv", "from_turn"))
+    return links.filter(own).unionByName(found.withColumn("taken", taken).select(
+        *[c for c in links.columns if not c.startswith("from_")], "taken.from_conv", "taken.from_turn"))
+
+
 def reply_roots(replies: DataFrame) -> DataFrame:
     """``conv_id, turn, root_turn, depth`` for every turn that replies, by doubling its pointer.
 
@@ -153,6 +218,7 @@ def reply_order(conversations: DataFrame) -> DataFrame:
     own_lines = lines_of(bodies.select(*KEY, F.col("body").alias("text")))
     held = holdings(own_lines, passages_of(own_lines), bodies)
     links = written(linked_quotes(quotes, held), "links")
+    links = written(linked_inside(links, bodies), "links")
     linked = F.col("from_turn").isNotNull()
     same = linked & (F.col("from_conv") == F.col("conv_id"))
     rank = F.struct("level", "place", "from_conv", "from_turn")

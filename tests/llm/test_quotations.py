@@ -59,6 +59,24 @@ def test_many_quote_one_passage(spark):
     assert oracle.compare(Q.reply_order(spark.createDataFrame(rows, SCHEMA)), duck(rows), Q.ORACLE) == ""
 
 
+def test_parts_of_messages_are_linked(spark):
+    """Lines 2 and 3 of 5, a sentence of a line, a re-wrapped and trimmed part; a lone word elsewhere."""
+    rows = [(1, 0, "u", "first line of it\nthen a second one\nand a third line\nthe fourth\nand the last"),
+            (1, 1, "u", "We could meet on Monday. Or would Tuesday suit you better? Tell me."),
+            (1, 2, "u", "> then a second one\n> and a third line\nwhy these two"),
+            (1, 3, "u", "> Or would Tuesday suit you better?\nit would"),
+            (1, 4, "u", "> meet on Monday. Or would\n> Tuesday suit\nrather not"),
+            (1, 5, "u", "> why these\nbecause"),
+            (2, 0, "u", "> and a third line the fourth and\nfrom elsewhere"), (2, 1, "u", "> Tuesday\nwhich"),
+            (2, 2, "u", "> then a third line\nnobody said so")]
+    got = {(r["conv_id"], r["turn"]): r for r in Q.reply_order(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[1, t]["reply_to_turn"] for t in range(6)] == [None, None, 0, 1, 1, 2]
+    assert [got[1, t]["n_linked"] for t in range(6)] == [0, 0, 1, 1, 1, 1]
+    assert (got[1, 5]["root_turn"], got[1, 5]["depth"]) == (0, 2)
+    assert (got[2, 0]["quoted_conv"], got[2, 0]["quoted_turn"], got[2, 0]["reply_to_turn"]) == (1, 0, None)
+    assert got[2, 1]["n_linked"] == got[2, 2]["n_linked"] == 0
+
+
 def test_order_of_the_rows(spark):
     got = Q.reply_order(spark.createDataFrame(ROWS, SCHEMA)).collect()
     keys = [(r["conv_id"], r["root_turn"], r["depth"], r["turn"]) for r in got]
