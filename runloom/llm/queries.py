@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from runloom.llm import (
     bpe_tables,
+    byte_bpe,
     decontamination,
     licenses,
     main_text,
@@ -23,6 +24,7 @@ from runloom.plans.registry import table
 from runloom.session import scratch_dir
 
 VOCABULARY = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,3 +94,9 @@ def op9_decontamination(spark, sf_dir):
 def op10_bpe(spark, sf_dir):
     return bpe_tables.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY),
                               public_tokenizers.PATTERN)
+
+
+@query("op13_byte_bpe")
+def op13_byte_bpe(spark, sf_dir):
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS),
+                            public_tokenizers.PATTERN)
