@@ -19,6 +19,7 @@ from runloom.llm import (
     simhash,
     token_files,
     toxicity,
+    whitening,
 )
 from runloom.plans.registry import table
 from runloom.session import scratch_dir
@@ -96,6 +97,11 @@ def op10_bpe(spark, sf_dir):
                               public_tokenizers.PATTERN)
 
 
+@query("op11_whitening")
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query("op13_byte_bpe")
 def op13_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS),
