@@ -16,6 +16,7 @@ from runloom.llm import (
     neighbours,
     pii,
     quotations,
+    search,
     simhash,
     token_files,
     toxicity,
@@ -102,6 +103,11 @@ def op11_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+@query("op12_search", search.ORACLE)
+def op12_search(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op13_byte_bpe")
 def op13_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS),
