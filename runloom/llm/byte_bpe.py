@@ -28,7 +28,7 @@ from runloom.llm.batches import (
 from runloom.llm.chunks import ChunkIds, Kept, as_ids
 from runloom.llm.transducer import Transducer, packed
 
-KEPT = 120_000  # chunks that a task remembers, twice over
+KEPT = 200_000  # chunks that a task remembers, twice over
 AT_ONCE = 1 << 20  # ids that are turned into bytes at a time
 REPLACEMENT = "\ufffd"
 
@@ -179,29 +179,46 @@ class RankBpe:
 
         Unknown ids are left out.
         """
-        held, known = b"", self.steps
+        held = b""
         for i in ids:
-            step = known.get((held, i))
-            if step is None:
-                step = known[held, i] = self.machine.feed(
-                    held, self.raw[i] if 0 <= i < len(self.raw) else b"")
-            text, held = step
+            text, held = self._step(held, i)
             yield text
         yield self.machine.end(held)
 
+    def _step(self, held: bytes, i: int) -> tuple[str, bytes]:
+        step = self.steps.get((held, i))
+        if step is None:
+            raw = self.raw[i] if 0 <= i < len(self.raw) else b""
+            step = self.steps[held, i] = self.machine.feed(held, raw)
+        return step
+
+    def _odd_runs(self, ids: np.ndarray) -> Iterator[tuple[int, int, str]]:
+        """The runs of ids that are not whole characters each, with the text of the run."""
+        end = 0
+        for at in np.flatnonzero(self.chars[ids] < 0).tolist():
+            if at < end:
+                continue
+            held, end, out = b"", at, []
+            while end < len(ids) and (held or end == at):
+                text, held = self._step(held, int(ids[end]))
+                out.append(text)
+                end += 1
+            yield at, end, "".join(out) + self.machine.end(held)
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids; whole characters need no machine."""
         ids = ids[(ids >= 0) & (ids < len(self.raw))]
-        if (self.chars[ids] >= 0).all():
-            return self.bytes.joined(ids).decode()
-        return "".join(self.stream_text(ids.tolist()))
+        out, after = [], 0
+        for at, end, text in self._odd_runs(ids):
+            out += [self.bytes.joined(ids[after:at]).decode(), text]
+            after = end
+        return "".join(out) + self.bytes.joined(ids[after:]).decode()
 
     def count_chars(self, ids: np.ndarray) -> int:
         """The code points of the decoded text."""
         sizes = self.chars[ids]
-        if (sizes >= 0).all():
-            return int(sizes.sum())
-        return sum(map(len, self.stream_text(ids.tolist())))
+        return int(sizes.sum()) + sum(len(text) - int(sizes[at:end].sum())
+                                      for at, end, text in self._odd_runs(ids))
 
 
 class Memory:

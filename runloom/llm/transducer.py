@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 ROOT = 0
 START = -1  # what stands before the first token
+PLACES, FINAL = -1, -2  # keys of a state beside the bytes that lead on
 MOST_STATES = 200_000
 MOST_PAIRS = 2_000_000
 
@@ -83,11 +84,10 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        self.places: list[tuple] = []
-        self.number: dict[tuple, int] = {}
-        self.final: list[bytes] = []
-        self.move: dict[int, tuple[int, bytes]] = {}
-        self._state((((), START, ROOT),))
+        for state in self.number.values() if hasattr(self, "number") else ():
+            state.clear()  # states refer to each other
+        self.number: dict[tuple, dict] = {}
+        self.start = self._state(((b"", START, ROOT),))
 
     def _history(self, token: int) -> list[tuple] | None:
         """How the token's bytes are joined, from its single bytes on; None if not to the token."""
@@ -132,57 +132,57 @@ class Transducer:
             else:
                 j += 1
 
-    def _state(self, places: tuple) -> int:
+    def _state(self, places: tuple) -> dict:
+        """A state by its places: its moves by byte, its ``PLACES``, and its ``FINAL`` tokens."""
         state = self.number.get(places)
         if state is None:
-            state = self.number[places] = len(self.places)
-            self.places.append(places)
-            self.final.append(packed(next(held for held, _, node in places if node == ROOT)))
+            state = self.number[places] = {
+                PLACES: places, FINAL: next(held for held, _, node in places if node == ROOT)}
         return state
 
-    def _make_move(self, state: int, byte: int) -> tuple[int, bytes]:
+    def _make_move(self, state: dict, byte: int) -> tuple[dict, bytes]:
         found = []
         ended = None
-        for held, before, node in self.places[state]:
-            node = self.child.get(node << 8 | byte)
+        child = self.child
+        for held, before, node in state[PLACES]:
+            node = child.get(node << 8 | byte)
             if node is None:
                 continue
             found.append((held, before, node))
             if ended is None:
                 token = self.token_at.get(node)
                 if token is not None and self.follows(before, token):
-                    ended = (*held, token), token, ROOT
+                    ended = held + packed([token]), token, ROOT
         found.append(ended)
-        same = 0
-        if len(found) == 1:
-            same = len(ended[0])
-        else:
+        put = b""
+        if all(f[0] for f in found):
             first, last = min(f[0] for f in found), max(f[0] for f in found)
-            while same < len(first) and first[same] == last[same]:
-                same += 1
-        put = packed(ended[0][:same]) if same else b""
-        places = tuple([(held[same:], before, node) for held, before, node in found])
-        made = self.move[state << 8 | byte] = self._state(places), put
-        return made
+            same = 0
+            while same < len(first) and first[same:same + 4] == last[same:same + 4]:
+                same += 4
+            put = first[:same]
+            found = [(held[same:], before, node) for held, before, node in found]
+        move = state[byte] = self._state(tuple(found)), put
+        return move
 
     def encode(self, raw: bytes) -> bytes:
         """The packed ids of some bytes."""
-        if len(self.places) > self.most_states:
+        if len(self.number) > self.most_states:
             self._forget()
-        state, known, out = 0, self.move.get, b""
+        state, out = self.start, b""
         for byte in raw:
-            state, put = known(state << 8 | byte) or self._make_move(state, byte)
+            state, put = state.get(byte) or self._make_move(state, byte)
             if put:
                 out += put
-        return out + self.final[state]
+        return out + state[FINAL]
 
     def stream(self, pieces: Iterable[bytes]) -> Iterator[bytes]:
         """Packed ids of the joined ``pieces``, each put out as soon as the bytes read settle it."""
-        state = 0
+        state = self.start
         for piece in pieces:
             out = b""
             for byte in piece:
-                state, put = self.move.get(state << 8 | byte) or self._make_move(state, byte)
+                state, put = state.get(byte) or self._make_move(state, byte)
                 out += put
             yield out
-        yield self.final[state]
+        yield state[FINAL]
