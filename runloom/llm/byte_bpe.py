@@ -28,7 +28,7 @@ from runloom.llm.batches import (
 from runloom.llm.chunks import ChunkIds, Kept, as_ids
 from runloom.llm.transducer import Transducer, packed
 
-KEPT = 200_000  # chunks that a task remembers, twice over
+KEPT = 200_000  # chunks that a worker remembers, twice over
 AT_ONCE = 1 << 20  # ids that are turned into bytes at a time
 REPLACEMENT = "\ufffd"
 
@@ -222,7 +222,7 @@ class RankBpe:
 
 
 class Memory:
-    """What one task remembers: ids of chunks, and of pieces of texts that are not cut into chunks."""
+    """What is remembered from text to text: ids of chunks, and of pieces of texts that are not cut into chunks."""
 
     def __init__(self, bpe: RankBpe):
         self.bpe = bpe
@@ -245,13 +245,14 @@ class Memory:
         return out
 
 
-_LOADED: dict[tuple[str, str], RankBpe] = {}
+_LOADED: dict[tuple[str, str], tuple[RankBpe, Memory]] = {}
 
 
-def ranks_for(path: str, pattern: str) -> RankBpe:
-    """One set of tables in a worker process, shared by its tasks."""
+def tables_for(path: str, pattern: str) -> tuple[RankBpe, Memory]:
+    """One set of tables and one bounded memory in a worker process, shared by its tasks."""
     if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = RankBpe(path, pattern)
+        bpe = RankBpe(path, pattern)
+        _LOADED[path, pattern] = bpe, bpe.memory()
     return _LOADED[path, pattern]
 
 
@@ -264,8 +265,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, into: str = "ids"
     out = fresh(docs, into)
 
     def start():
-        bpe = ranks_for(path, pattern)
-        memory = bpe.memory()
+        bpe, memory = tables_for(path, pattern)
 
         def work(texts):
             ids = bpe.encode(whole_texts(texts), memory)
@@ -282,7 +282,7 @@ def decode_ids(rows: DataFrame, ids: str, path: str, pattern: str, into: str = "
     out = fresh(rows, into)
 
     def start():
-        bpe = ranks_for(path, pattern)
+        bpe, _ = tables_for(path, pattern)
         return lambda lists: [[bpe.decode(np.array([i for i in some or [] if i is not None], np.int64))
                                for some in lists]]
 
@@ -300,8 +300,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
               T.StructField("decoded_sha256", T.StringType()), T.StructField("n_chars", T.LongType())]
 
     def start():
-        bpe = ranks_for(path, pattern)
-        memory = bpe.memory()
+        bpe, memory = tables_for(path, pattern)
 
         def work(doc_ids, texts):
             sizes, ids_digests, text_digests, chars = [], [], [], []
