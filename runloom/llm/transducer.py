@@ -21,8 +21,9 @@ from collections.abc import Iterable, Iterator, Sequence
 
 ROOT = 0
 START = -1  # what stands before the first token
+NONE = -1   # no token ends here
 PLACES, FINAL = -1, -2  # keys of a state beside the bytes that lead on
-MOST_STATES = 200_000
+MOST_STATES = 600_000
 MOST_PAIRS = 2_000_000
 
 
@@ -67,7 +68,8 @@ class Transducer:
         self.raw_of = {i: raw for raw, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self.child: dict[int, int] = {}
-        self.token_at: dict[int, int] = {}
+        self.packed_of = {i: packed([i]) for i in ranks.values()}
+        tokens: dict[int, int] = {}
         nodes = 1
         for raw, i in ranks.items():
             node = ROOT
@@ -77,8 +79,9 @@ class Transducer:
                     self.child[key] = nodes
                     nodes += 1
                 node = self.child[key]
-            self.token_at[node] = i
-        self.pairs: dict[tuple[int, int], bool] = {}
+            tokens[node] = i
+        self.token_at = [tokens.get(node, NONE) for node in range(nodes)]
+        self.pairs: dict[int, bool] = {}
         self.histories: dict[int, list[tuple] | None] = {}
         self.most_states = most_states
         self._forget()
@@ -103,11 +106,12 @@ class Transducer:
         On either side of the gap joins go on as in each token alone, the lower rank first and of equals
         the left one, unless the parts beside the gap have a rank that comes before both.
         """
-        known = self.pairs.get((before, token))
+        key = before << 32 | token
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > MOST_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[before, token] = self._stay_apart(before, token)
+            known = self.pairs[key] = self._stay_apart(before, token)
         return known
 
     def _stay_apart(self, before: int, token: int) -> bool:
@@ -133,30 +137,35 @@ class Transducer:
                 j += 1
 
     def _state(self, places: tuple) -> dict:
-        """A state by its places: its moves by byte, its ``PLACES``, and its ``FINAL`` tokens."""
+        """A state by its places: its moves by byte, its ``PLACES``, and its ``FINAL`` tokens.
+
+        The last place is the one at the root.
+        """
         state = self.number.get(places)
         if state is None:
-            state = self.number[places] = {
-                PLACES: places, FINAL: next(held for held, _, node in places if node == ROOT)}
+            state = self.number[places] = {PLACES: places, FINAL: places[-1][0]}
         return state
 
     def _make_move(self, state: dict, byte: int) -> tuple[dict, bytes]:
+        child, token_at, pairs = self.child, self.token_at, self.pairs
         found = []
-        ended = None
-        child = self.child
+        ended, holding = None, True
         for held, before, node in state[PLACES]:
             node = child.get(node << 8 | byte)
             if node is None:
                 continue
             found.append((held, before, node))
-            if ended is None:
-                token = self.token_at.get(node)
-                if token is not None and self.follows(before, token):
-                    ended = held + packed([token]), token, ROOT
+            if not held:
+                holding = False
+            token = token_at[node]
+            if ended is None and token != NONE:
+                fits = pairs.get(before << 32 | token)
+                if self.follows(before, token) if fits is None else fits:
+                    ended = held + self.packed_of[token], token, ROOT
         found.append(ended)
         put = b""
-        if all(f[0] for f in found):
-            first, last = min(f[0] for f in found), max(f[0] for f in found)
+        if holding:
+            first, last = min(found)[0], max(found)[0]
             same = 0
             while same < len(first) and first[same:same + 4] == last[same:same + 4]:
                 same += 4
