@@ -4,7 +4,12 @@ Words are compared without case and punctuation. Every three-word run of a test
 many documents hold it. Where a document holds a seed, and the words around it include as many of the
 item's as the least score takes, they are aligned with the item: matching words score 2, replaced,
 added and left-out words cost 1. The score is divided by that of the whole item, so an exact copy has
-1.0 and a copy with every tenth word replaced 0.85.
+1.0 and a copy with every tenth word replaced 0.85. A part of a long item that is as good as a verbatim
+copy of ``PART_WORDS`` words is a match too, whatever its share of the item. An item of fewer words than
+a run is matched by texts with just these words.
+
+A long text is searched in overlapping stretches, so what its runs and the items make together is
+bounded by the stretch.
 
 Test items are broadcast in blocks of about ``BLOCK_WORDS`` words, one scan of the documents each;
 most benchmarks are one block.
@@ -24,6 +29,8 @@ from runloom.llm.features import WORD, Vocabulary, known_runs, word_spans
 
 SEED_WORDS = 3
 LEAST_SCORE = 0.5
+PART_WORDS = 40
+STRETCH = 4096  # words of a text that are searched at a time, beside the overlap
 BLOCK_WORDS = 1_000_000
 MATCH, MISS, GAP = 2, 1, 1
 CELLS = 400_000  # of the table that alignments fill at a time
@@ -73,8 +80,13 @@ class Items:
     """The words of a block of test items, and the places of their runs."""
 
     def __init__(self, rows: list[tuple]):
-        rows = [(i, text) for i, text in rows if len(WORD.findall(text.lower())) >= SEED_WORDS]
         self.vocabulary = Vocabulary([text for _, text in rows])
+        self.short: dict[bytes, list] = {}
+        for i, text in rows:
+            words = self.vocabulary.hashes(text)
+            if 0 < len(words) < SEED_WORDS:
+                self.short.setdefault(words.tobytes(), []).append(i)
+        rows = [(i, text) for i, text in rows if len(WORD.findall(text.lower())) >= SEED_WORDS]
         self.ids = [i for i, _ in rows]
         self.words = [self.vocabulary.hashes(text) for _, text in rows]
         grams = [known_runs(w, SEED_WORDS)[1] for w in self.words]
@@ -87,6 +99,11 @@ class Items:
         self.first = np.searchsorted(gram[self.rows], np.arange(len(self.grams) + 1))
         self.known = np.unique(np.concatenate(self.words)) if self.words else flat
         self.numbers = [np.searchsorted(self.known, w) for w in self.words]
+        self.longest = max(map(len, self.words), default=0)
+
+    def needed(self, item: int, least: float) -> float:
+        """How many words have to match: a share of the item's, or those of a long part."""
+        return min(least * len(self.words[item]), PART_WORDS)
 
     def found(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in a text's words that hold a run of an item, and the numbers of those runs."""
@@ -101,8 +118,23 @@ class Items:
 def windows_of(items: Items, words: np.ndarray, least: float) -> list[tuple[int, int, int]]:
     """Item, start and end of the windows of a text around its seeds; near windows are one.
 
-    A score of ``least`` takes that share of the item's words at least, so windows with fewer of them
-    are left out.
+    The text is taken stretch by stretch; the overlap holds a window of the longest item.
+    """
+    overlap = 4 * items.longest + 32
+    found = []
+    for at in range(0, max(1, len(words)), STRETCH):
+        begin = max(0, at - overlap)
+        some = words[begin:at + STRETCH + overlap]
+        found += [(item, begin + a, begin + b) for item, a, b in stretch_windows(items, some, least)]
+        if begin + len(some) == len(words):
+            break
+    return list(dict.fromkeys(found))
+
+
+def stretch_windows(items: Items, words: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+    """The windows of one stretch.
+
+    A match takes ``Items.needed`` of the item's words at least, so windows with fewer are left out.
     """
     places, grams = items.found(words)
     many = items.first[grams + 1] - items.first[grams]
@@ -118,10 +150,15 @@ def windows_of(items: Items, words: np.ndarray, least: float) -> list[tuple[int,
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         item = int(own[a])
         size = len(items.words[item])
-        if there[items.numbers[item]].sum() < least * size:
+        if there[items.numbers[item]].sum() < items.needed(item, least):
             continue
-        spans[item] = [(max(0, x - size // 2 - 4), min(len(words), x + size + size // 2 + 4))
-                       for x in np.unique(begins[a:b]).tolist()]
+        begin = np.unique(begins[a:b])
+        low = np.maximum(0, begin - size // 2 - 4)
+        high = np.minimum(len(words), begin + size + size // 2 + 4)
+        # Half of the words near one seed: windows that only together have enough are not lost.
+        near = words_within(items.words[item], words, low, high) >= items.needed(item, least) / 2
+        if near.any():
+            spans[item] = list(zip(low[near].tolist(), high[near].tolist(), strict=True))
     out = []
     for item, found in spans.items():
         found.sort()
@@ -136,7 +173,25 @@ def windows_of(items: Items, words: np.ndarray, least: float) -> list[tuple[int,
                 begin, end = a, b
         out.append((item, begin, end))
     return [w for w in out if np.isin(items.words[w[0]], words[w[1]:w[2]]).sum()
-            >= least * len(items.words[w[0]])]
+            >= items.needed(w[0], least)]
+
+
+def words_within(item: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many of an item's words stand in each window [low, high) of a text."""
+    known, counts = np.unique(item, return_counts=True)
+    inside = np.flatnonzero(np.isin(words, known))
+    order = np.argsort(words[inside], kind="stable")
+    before = np.full(len(inside), -1)
+    same = words[inside[order[1:]]] == words[inside[order[:-1]]]
+    before[order[1:][same]] = inside[order[:-1][same]]
+    worth = counts[np.searchsorted(known, words[inside])]
+    first, last = np.searchsorted(inside, low), np.searchsorted(inside, high)
+    sizes = last - first
+    ends = np.cumsum(sizes)
+    at = np.repeat(first - (ends - sizes), sizes) + np.arange(sizes.sum())
+    # A word counts at its first place in a window.
+    total = np.concatenate([[0], np.cumsum(worth[at] * (before[at] < np.repeat(low, sizes)))])
+    return total[ends] - total[ends - sizes]
 
 
 def blocks_of(benchmark: DataFrame) -> list[DataFrame]:
@@ -150,10 +205,11 @@ def blocks_of(benchmark: DataFrame) -> list[DataFrame]:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """``doc_id, item_id, score, start, end`` of every document and item with score >= ``least``.
+    """``doc_id, item_id, score, start, end`` of every document and item that match.
 
-    start and end are code points of the aligned part of the whole text, end exclusive. Null texts are
-    empty; items of fewer than three words hold no run and match nothing. Repeated rows of documents
+    The score is at least ``least`` or that of a long part. start and end are code points of the aligned
+    part of the whole text, end exclusive. Null texts are empty; items of one or two words match texts
+    with no other words, items without words match nothing. Repeated rows of documents
     give repeated matches; repeated rows of items count once; equal items with different ids each
     match. Empty tables give no rows.
     """
@@ -167,7 +223,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -
     for block in blocks_of(benchmark):
         # At most about BLOCK_WORDS words, or one item.
         items = Items([tuple(r) for r in block.sort("item_id", "text").collect()])
-        if not items.ids:
+        if not items.ids and not items.short:
             continue
         some = aligned(rows, spark.sparkContext.broadcast(items), fields, least)
         found = some if found is None else found.union(some)
@@ -189,12 +245,17 @@ def aligned(rows: DataFrame, shared, fields: list[T.StructField], least: float)
                 sides = align([items.words[w[1]] for w in waiting], [w[3] for w in waiting])
                 for (row, item, begin, _), (score, a, b) in zip(waiting, sides, strict=True):
                     share = score / (MATCH * len(items.words[item]))
-                    if share >= least and share > best.get((row, item), (0.0,))[0]:
+                    if (score >= MATCH * items.needed(item, least)
+                            and share > best.get((row, item), (0.0,))[0]):
                         best[row, item] = (share, begin + a, begin + b)
                 waiting, cells = [], 0
 
+            exact = []
             for row, text in enumerate(texts):
                 hashes = items.vocabulary.hashes(text)
+                if len(hashes) < SEED_WORDS:
+                    exact += [(row, i) for i in items.short.get(hashes.tobytes(), ())]
+                    continue
                 for item, begin, end in windows_of(items, hashes, least):
                     waiting.append((row, item, begin, hashes[begin:end]))
                     cells += end - begin
@@ -207,6 +268,11 @@ def aligned(rows: DataFrame, shared, fields: list[T.StructField], least: float)
                 values = (doc_ids[row], items.ids[item], share, spans[row][a][0], spans[row][b - 1][1])
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
+            for row, item_id in exact:
+                whole = word_spans(texts[row])
+                for column, value in zip(out, (doc_ids[row], item_id, 1.0, whole[0][0], whole[-1][1]),
+                                         strict=True):
+                    column.append(value)
             return out
         return work
 

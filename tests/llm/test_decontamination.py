@@ -102,6 +102,90 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert odd.keyed(D.matches(docs, items).collect()) == want
 
 
+def test_long_parts_and_very_short_items(spark):
+    rng = random.Random(6)
+    item = [f"i{rng.randint(0, 5000)}" for _ in range(300)]
+    filler = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(filler[:50] + item[100:240] + filler[50:])),
+            (2, " ".join(filler[:50] + item[10:40] + filler[50:])),  # too short a part
+            (3, "Two, words!"), (4, "two words and more"), (5, "one"), (6, " ".join(item[:45]))]
+    items = [(1, " ".join(item)), (2, "two words"), (3, "One."), (4, "...")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = D.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (3, 2), (5, 3), (6, 1)}
+    texts = dict(rows)
+    parts = {r["doc_id"]: texts[r["doc_id"]][r["start"]:r["end"]] for r in got}
+    assert parts[1] == " ".join(item[100:240]) and parts[3] == "Two, words"
+    assert {r["doc_id"]: r["score"] for r in got}[3] == 1.0
+
+
+def test_a_long_text_with_a_run_that_all_items_hold_stays_small():
+    """36,000 words and 1,500 items that share a phrase, within a bound of memory."""
+    import tracemalloc
+    rng = random.Random(7)
+    phrase = "which of the following is".split()
+    texts = [" ".join(phrase + [f"q{rng.randint(0, 4000)}" for _ in range(30)]) for _ in range(1500)]
+    items = D.Items(list(enumerate(texts)))
+    words = []
+    while len(words) < 36_000:
+        words += phrase + [f"q{rng.randint(0, 4000)}" for _ in range(7)]
+    hashes = items.vocabulary.hashes(" ".join(words))
+    tracemalloc.start()
+    found = D.windows_of(items, hashes, D.LEAST_SCORE)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+
+
+def test_words_within_windows():
+    rng = random.Random(5)
+    for _ in range(100):
+        item = np.array([rng.randint(1, 9) for _ in range(rng.randint(1, 8))], np.uint64)
+        words = np.array([rng.randint(0, 15) for _ in range(30)], np.uint64)
+        low = np.array(sorted(rng.randint(0, 29) for _ in range(5)))
+        high = np.minimum(30, low + rng.randint(0, 12))
+        want = [np.isin(item, words[a:b]).sum() for a, b in zip(low, high, strict=True)]
+        assert D.words_within(item, words, low, high).tolist() == want
+
+
+def test_the_item_in_the_long_text_is_found():
+    rng = random.Random(7)
+    phrase = "which of the following is".split()
+    texts = [" ".join(phrase + [f"q{rng.randint(0, 4000)}" for _ in range(30)]) for _ in range(150)]
+    items = D.Items(list(enumerate(texts)))
+    words = []
+    while len(words) < 36_000:
+        words += phrase + [f"q{rng.randint(0, 4000)}" for _ in range(7)]
+    words[20_000:20_035] = texts[77].split()
+    found = D.windows_of(items, items.vocabulary.hashes(" ".join(words)), D.LEAST_SCORE)
+    assert any(item == 77 and a <= 20_000 and b >= 20_035 for item, a, b in found)
+
+
+def test_stretches_find_what_whole_texts_hold(monkeypatch):
+    rng = random.Random(8)
+    items = D.Items([(i, " ".join(f"a{rng.randint(0, 60)}" for _ in range(12))) for i in range(10)])
+    text = " ".join(f"a{rng.randint(0, 60)}" if rng.random() < .5 else "zz" for _ in range(800))
+    for i in range(10):
+        at = 60 * i + 40
+        parts = text.split()
+        parts[at:at + 12] = [w for w in D.WORD.findall(" ".join(
+            k for k, v in items.vocabulary.known.items() if v in set(items.words[i].tolist())))][:12]
+        text = " ".join(parts)
+    hashes = items.vocabulary.hashes(text)
+
+    def best():
+        scores = {}
+        windows = D.windows_of(items, hashes, 0.3)
+        sides = D.align([items.words[w[0]] for w in windows], [hashes[w[1]:w[2]] for w in windows])
+        for (item, *_), (score, *_) in zip(windows, sides, strict=True):
+            scores[item] = max(score, scores.get(item, 0))
+        return {i: s for i, s in scores.items() if s >= 8}
+
+    whole = best()
+    monkeypatch.setattr(D, "STRETCH", 50)
+    assert whole and best() == whole
+
+
 def test_odd_documents(spark):
     docs, items = odd.odd_documents(spark), spark.createDataFrame(ITEMS, "item_id long, text string")
     assert D.matches(docs, items).collect() == []
