@@ -28,13 +28,15 @@ from runloom.llm.batches import (
     with_computed,
 )
 
-# What HTML counts as blocks, as tags without an end, and as tags with raw text inside.
+# What HTML counts as blocks, as tags without an end, as tags that hold raw text up to their end tag or
+# the end of the page, and as tags whose inside is no text of the page where they have an end tag.
 BLOCKS = frozenset("""address article aside blockquote body br button caption center dd details dialog dir
 div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html
 legend li main menu nav noscript ol option p pre section select summary table tbody td template tfoot th
 thead tr ul video audio canvas iframe object svg title""".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math select".split())
+RAW = frozenset("script style textarea title".split())
+SKIPPED = frozenset("iframe template svg select".split())
 # Opening one of these ends an open paragraph.
 ENDS_PARAGRAPH = BLOCKS - {"br", "option", "caption", "td", "th", "tr", "body", "html", "button"}
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",),
@@ -57,11 +59,13 @@ W_AROUND, W_NOISE, W_GOOD, W_HEADING, W_ITEM = -9.0, -7.0, 0.8, -0.2, -0.5
 NEXT, UNDER = 0.35, 0.25  # capacities of smoothness edges
 LONG = 25  # words at which a block's length has said what it can
 
+# A quote opens a value only behind "=", and its value goes on to the same quote, however far; one that
+# is never closed opens nothing.
 _TOKEN = re.compile(r"""<!--(?:.*?)(?:-->|\Z)
-    |<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^">]*+"|'[^'>]*+'|"[^"]{0,2000}+"|'[^']{0,2000}+')*+[^>]*+)>
+    |<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>
     |<[!?/][^>]*+>""", re.S | re.X)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""",
-                        re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_READ = frozenset("class id role style hidden aria-hidden".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _SENTENCE = re.compile(r"[.!?…。！？][\"'”’)\]]*\s*$")
@@ -88,6 +92,7 @@ class Page:
         self._parts: list[str] = []
         self._linked = 0
         self._links = 0
+        self._endless: set[str] = set()  # tags that have no end tag further on
         self._read(source)
 
     def _read(self, source: str) -> None:
@@ -105,10 +110,17 @@ class Page:
             tag = tag.lower()
             if found["end"]:
                 self._close(tag)
-            elif tag in RAW and not found["rest"].endswith("/"):
+            elif (tag in RAW or tag in SKIPPED) and not found["rest"].endswith("/"):
+                end = None
+                if tag not in self._endless:
+                    end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
+                if end is None:
+                    self._endless.add(tag)
+                if end is None and tag in SKIPPED:
+                    self._start(tag, found["rest"])
+                    continue
                 if tag in BLOCKS:
                     self._flush()
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
                 at = end.end() if end else len(source)
             else:
                 self._start(tag, found["rest"])
@@ -154,6 +166,8 @@ class Page:
         if rest and tag not in ("html", "body"):
             for name, value in _ATTRIBUTE.findall(rest):
                 name = name.lower()
+                if name not in _READ:
+                    continue
                 if name in ("class", "id", "role"):
                     words = {w.lower() for w in _WORDS.findall(value)}
                     if words & (COMMENTS if tag in WITHIN else NOISE) and not around:
@@ -161,7 +175,7 @@ class Page:
                     elif words & GOOD:
                         score += W_GOOD
                 elif not around and (name == "hidden" or (name == "aria-hidden" and "true" in value)
-                                     or re.search(r"display\s*:\s*none", value)):
+                                     or name == "style" and re.search(r"display\s*:\s*none", value)):
                     score, around = score + W_AROUND, True
         node = len(self.element_parent)
         self.element_parent.append(above.node)

@@ -56,9 +56,33 @@ def test_pages(page, want):
     assert M.main_text(page) == want
 
 
+VALUE = "y > z " * 500
+SCRIPT = "</article> <script>" + "v " * 1300
+
+
+@pytest.mark.parametrize("page", [
+    f"<article><p data-x=\"{VALUE}\">{LONG}</p></article>", f"<article><p data-x='{SCRIPT}'>{LONG}</p></article>",
+    f"<article><p data-x = \"{SCRIPT}\" hidden-by=none title=\"the hidden part\">{LONG}</p></article>",
+    f"<article><p title=it's>{LONG}</p></article><footer title=\"that's\">x</footer>",
+    f"<article><p>{LONG}</p></article><p title=\"never closed>"])
+def test_attribute_values_of_any_length(page):
+    assert M.main_text(page) == LONG.strip()
+
+
+@pytest.mark.parametrize(("inside", "want"), [
+    (f"<svg width=1>{LONG}", LONG.strip() + " " + LONG.strip()),
+    (f"<select>{LONG}", LONG.strip() + " " + LONG.strip()),
+    (f"<svg><title>icon</title></svg>{LONG}", LONG.strip() + " " + LONG.strip()),
+    (f"{LONG}<math><mi>x</mi><mo>+</mo><mn>1</mn></math> holds.", f"{LONG}x+1 holds. {LONG.strip()}"),
+    (f"<noscript><p>{LONG}</p></noscript>", LONG.strip() + " " + LONG.strip()),
+    (f"<iframe src=x>{LONG}</iframe><template><p>{LONG}</p></template>", LONG.strip())])
+def test_elements_inside_an_article(inside, want):
+    assert M.main_text(f"<article>{inside}<p>{LONG}</p></article>") == want
+
+
 def test_broken_and_long_pages_end():
     for page in ("<" * 50_000, "<p " * 20_000, "<div>" * 20_000, "<a href=\"" * 5_000,
-                 "<!--" * 20_000, "</p>" * 20_000, "<p>x" * 5_000, "<script>" + "x" * 50_000):
+                 "<svg>" * 20_000, "<p x=\"" * 5_000, "<p x='\">" * 20_000, "<!--" * 20_000, "</p>" * 20_000, "<p>x" * 5_000, "<script>" + "x" * 50_000):
         assert isinstance(M.main_text(page), str)
 
 
