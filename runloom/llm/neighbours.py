@@ -140,19 +140,22 @@ class Block:
         return self.ids[kept][best], exact[best]
 
 
-def usable(embeddings: DataFrame) -> DataFrame:
+def usable(embeddings: DataFrame, width: int | None = None) -> DataFrame:
     """``vec_id, v`` of the rows that take part: vectors of finite numbers, not all zero.
 
-    Vectors of another length than the most frequent one (the longer of two as frequent) take no part
-    either. Rows with a null id take no part; repeated rows each take part.
+    Vectors of another length than ``width``, if not given the most frequent one (the longer of two as
+    frequent), take no part either. Rows with a null id take no part; repeated rows each take part.
     """
     vector = name_column("embedding").cast("array<double>")
     rows = (embeddings.select(name_column("vec_id").cast("long").alias("vec_id"), vector.alias("v"))
             .filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
             .filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
                     & F.exists("v", lambda x: x != 0)))
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.filter(F.size("v") == (sizes["n"] if sizes else 0))
+    if width is None:
+        sizes = (rows.groupBy(F.size("v").alias("n")).count()
+                 .orderBy(F.desc("count"), F.desc("n")).first())
+        width = sizes["n"] if sizes else 0
+    return rows.filter(F.size("v") == width)
 
 
 def packed(rows: DataFrame, blocks: int, per_task: str = "block") -> DataFrame:
@@ -207,7 +210,7 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, dire
     if not facts["n"]:
         return spark.createDataFrame([], schema)
     width, longest = facts["width"], math.sqrt(facts["longest"]) * (1 + 1e-12)
-    asked = written(usable(queries).filter(F.size("v") == width).distinct(), "queries")
+    asked = written(usable(queries, width).distinct(), "queries")
     many = asked.count()
     blocks = max(1, math.ceil(facts["n"] / block_rows))
     query_blocks = max(1, math.ceil(many / QUERY_ROWS))

@@ -93,3 +93,11 @@ def test_query_recall(spark):
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     assert got.keys() == want.keys()
     assert sum(len(got[q] & want[q]) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_queries_have_the_width_of_the_table(spark):
+    rows = [(i, [float(i), 1.0, 2.0, 3.0]) for i in range(1, 31)] + [(40, [1.0, 2.0]), (60, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = N.query_rows(df).collect()
+    assert {r["query_id"] for r in got} == {20} and len(got) == 20
+    assert got[0]["vec_id"] == 30
