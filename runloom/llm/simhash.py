@@ -227,10 +227,10 @@ def query_rows(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with its smallest doc_id.
 
-    Where a doc_id is repeated, one of its rows of each fingerprint stays. Rows without a doc_id are
-    kept or dropped like others; a component without any doc_id keeps one row of each fingerprint.
+    Of several rows with that doc_id, or of a component without any doc_id, the row with the smallest
+    fingerprint stays, of those the one with the smallest hash of its text; never more than one.
     """
-    found = written(near_duplicates(docs).select("doc_id", "fp", "component_id"), "near")
+    found = written(near_duplicates(docs).select("doc_id", "fp", "root", "component_id"), "near")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     counts = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(stays).alias("kept"))
     key, kept_id, kept_fp = name_column("doc_id"), fresh(docs, "kept_id"), fresh(docs, "kept_fp")
@@ -240,8 +240,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     whole = docs.filter(key.isNotNull()).join(apart, key == F.col(kept_id), "left_anti")
     many = counts.filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("id"))
     again = written(found.filter(stays).join(many, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-                    .select(F.col("doc_id").alias(kept_id), F.col("fp").alias(kept_fp)).distinct(),
-                    "repeated")
+                    .groupBy("root").agg(F.min("doc_id").alias(kept_id), F.min("fp").alias(kept_fp))
+                    .drop("root"), "repeated")
     if again.isEmpty():
         return whole
     rows = docs.join(again, key.eqNullSafe(F.col(kept_id)), "left_semi")

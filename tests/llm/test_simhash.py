@@ -158,3 +158,15 @@ def test_query_against_brute_force(spark, sf_dir):
     assert odd.keyed(got) == odd.keyed(want)
     short = [r for r in docs if len(r["text"]) < 3000][:25]
     assert all(S.fingerprint(r["text"]) == plain_fingerprint(r["text"]) for r in short)
+
+
+@pytest.mark.parametrize("key", [1, None])
+def test_one_row_of_a_component_stays_whatever_its_ids(spark, key):
+    base = [f"word{i}" for i in range(400)]
+    texts = [" ".join(base), " ".join([*base, "more"]), " ".join(["first", *base])]
+    prints = {S.fingerprint(t) for t in texts}
+    assert len(prints) > 1 and all(bin(int(a) ^ int(b)).count("1") <= 2 for a in prints for b in prints)
+    rows = [(key, t) for t in texts] + [(key, texts[0]), (9, "something else of its own entirely")]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] is None or r["doc_id"] for r in kept) in ([1, 9], [True, 9])
+    assert len(kept) == 2
