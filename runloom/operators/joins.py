@@ -15,6 +15,8 @@ from runloom.operators.slices import (MAX_ROWS, rows_only, slice_hot_keys, with_
 
 # The level of ranges without an end.
 OPEN = -1
+# Shares that points are dealt into for such ranges, each of which goes to every share.
+OPEN_SHARES = 64
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str,
@@ -56,8 +58,9 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     before the join). The cell turns the range condition into an equi-join, which the planner can
     broadcast, sort-merge, and split where a cell is hot.
 
-    A range that is open on one or both sides (infinite ends) is a level of its own with one cell for
-    all points. NULL ends match nothing, like NULL points.
+    A range that is open on one or both sides (infinite ends) is a level of its own. Its cells are shares
+    of the points by their hash, and it is in all of them, so no share has all points. NULL ends match
+    nothing, like NULL points.
     """
     infinite = F.lit(float("inf"))
     def cell(value: Column, level: Column) -> Column:
@@ -71,13 +74,16 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
                           .otherwise(F.lit(OPEN))))
     levels = sorted(row[0] for row in placed.select("_level").distinct().collect())
     first, last = cell(F.col(low), F.col("_level")), cell(F.col(high), F.col("_level"))
-    one = F.array(F.lit(0).cast("long"))
+    # Hashes have no form for maps.
+    hashed = [name for name, kind in points.dtypes if "map<" not in kind]
+    share = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in hashed]), F.lit(OPEN_SHARES))
+    shares = F.sequence(F.lit(0).cast("long"), F.lit(OPEN_SHARES - 1).cast("long"))
     placed = placed.withColumn("_cell", F.explode(
-        F.when(F.col("_level") == OPEN, one).otherwise(F.sequence(first, last))))
+        F.when(F.col("_level") == OPEN, shares).otherwise(F.sequence(first, last))))
     keyed = (points.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in levels])
                                                    .cast("array<int>")))
              .where((F.col("_level") == OPEN) | (F.abs(F.col(point).cast("double")) < infinite))
-             .withColumn("_cell", F.when(F.col("_level") == OPEN, F.lit(0).cast("long"))
+             .withColumn("_cell", F.when(F.col("_level") == OPEN, share)
                          .otherwise(cell(F.col(point), F.col("_level")))))
     return (keyed.join(placed, [*on, "_level", "_cell"])
             .where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high)))

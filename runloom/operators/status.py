@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,9 @@ EXECUTOR_STATES = ["PENDING", "RUNNING", "COMPLETED", "FAILED", "UNKNOWN"]
 
 APP = ["namespace", "app"]
 
+# Counts of one number, and the bits of each.
+PACKED, PACKED_BITS = 3, 20
+
 
 def latest_status(status: DataFrame, keys: Sequence[str] = APP, ts: str = "ts",
                   tiebreak: str = "event_id") -> DataFrame:
@@ -92,24 +95,34 @@ def executor_state_counts(status: DataFrame,
                           states: Sequence[str] = EXECUTOR_STATES) -> DataFrame:
     """Executors by state in each application's newest record; ``other`` holds unlisted states.
 
-    Counted inside each record, so the executors are never spread out into rows; the newest record's
-    counts are numbers, which a hash aggregate can hold.
+    Counted inside each record, so the executors are never spread out into rows. Three counts go into
+    one number, which a hash aggregate can hold: a record may have up to a million executors.
     """
     values = F.map_values("executor_state")
+    is_state = {name.lower(): (lambda s, name=name: s == name) for name in states}
+    is_state["other"] = lambda s: ~s.isin(list(states))
+    names = list(is_state)
+    groups = [names[i:i + PACKED] for i in range(0, len(names), PACKED)]
+
+    def packed(group: list[str]) -> Column:
+        """The counts of some states, each in its own bits."""
+        def add(total: Column, state: Column) -> Column:
+            for i, name in enumerate(group):
+                unit = F.lit(1 << PACKED_BITS * i).cast("long")
+                total = total + F.when(is_state[name](state), unit).otherwise(F.lit(0).cast("long"))
+            return total
+
+        # A missing map has no executors in any state.
+        return F.coalesce(F.aggregate(values, F.lit(0).cast("long"), add), F.lit(0).cast("long"))
 
-    def count(keep: Callable[[Column], Column]) -> Column:
-        # The size of a missing map is missing; it has no executors in any state.
-        return F.coalesce(F.size(F.filter(values, lambda s: keep(s))).cast("long"), F.lit(0))
-
-    def is_state(name: str) -> Callable[[Column], Column]:
-        return lambda s: s == name
-
-    known = list(states)
-    counts = {name.lower(): count(is_state(name)) for name in known}
-    counts["other"] = count(lambda s: ~s.isin(known))
     rows = status.select(*APP, packed_order(status, "ts", "event_id").alias("_order"),
-                         *[value.alias(name) for name, value in counts.items()])
-    return rows.groupBy(*APP).agg(*[F.max_by(name, "_order").alias(name) for name in counts])
+                         *[packed(group).alias(f"_counts{n}") for n, group in enumerate(groups)])
+    newest = rows.groupBy(*APP).agg(*[F.max_by(f"_counts{n}", "_order").alias(f"_counts{n}")
+                                      for n in range(len(groups))])
+    mask = (1 << PACKED_BITS) - 1
+    return newest.select(*APP, *[
+        F.shiftright(f"_counts{n}", PACKED_BITS * i).bitwiseAND(F.lit(mask).cast("long")).alias(name)
+        for n, group in enumerate(groups) for i, name in enumerate(group)])
 
 
 def classify_owner(status: DataFrame) -> DataFrame:
@@ -127,6 +140,19 @@ def name_collisions(names: DataFrame) -> DataFrame:
             .where("names > 1"))
 
 
+def collated_collisions(names: DataFrame, collation: str = "UNICODE_CI_AI") -> DataFrame:
+    """Names of a namespace that are one name under a collation (as given: without case and accents).
+
+    ``name`` is the smallest of them, ``names`` how many there are, ``uses`` how many rows they have.
+    """
+    counted = names.groupBy("namespace", "name").agg(F.count(F.lit(1)).alias("uses"))
+    return (counted.withColumn("_collated", F.collate("name", collation))
+            .groupBy("namespace", "_collated")
+            .agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("names"),
+                 F.sum("uses").alias("uses"))
+            .where("names > 1").drop("_collated"))
+
+
 def expired_apps(status: DataFrame, as_of: str) -> DataFrame:
     """Records that ended more than their time-to-live before ``as_of`` (text, with or without zone).
 

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from runloom.plans import queries_records, queries_reports, queries_sql, queries_streams  # noqa: F401
+from runloom.plans import (  # noqa: F401
+    queries_depth,
+    queries_records,
+    queries_reports,
+    queries_sql,
+    queries_streams,
+    queries_types,
+)
 from runloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

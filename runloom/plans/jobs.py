@@ -76,6 +76,12 @@ def run_statements(spark: SparkSession, statements: str | Iterable[str] | None,
     return result
 
 
+def run_script(spark: SparkSession, script: str,
+               params: Mapping[str, Any] | None = None) -> DataFrame:
+    """Run one ``BEGIN ... END`` script as Spark's own scripting does; return its last result."""
+    return spark.sql(script, args=dict(params)) if params else spark.sql(script)
+
+
 def run_sql_file(spark: SparkSession, path: str | None,
                  params: Mapping[str, Any] | None = None) -> DataFrame:
     """The same for a SQL file on any file system that Spark can read."""

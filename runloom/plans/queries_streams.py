@@ -18,7 +18,7 @@ from runloom.plans.registry import query, stream, table
 from runloom.session import scratch_dir, stream_session
 from runloom.sources import sinks
 from runloom.streaming import ops as O
-from runloom.streaming import stateful
+from runloom.streaming import stateful, timers
 from runloom.streaming.reports import refresh_report
 
 
@@ -186,5 +186,46 @@ def stream_state(spark, d):
     tracked = stateful.track_activity(stream(spark, d, "events"), "user_id", "value")
     O.upsert_batches(tracked, f"{path}/changes", f"{path}/checkpoint", ["key"],
                      every=None).awaitTermination()
-    merged = stateful.read_activity(spark.read.parquet(f"{path}/changes"))
+    merged = stateful.read_activity(O.read_changes(spark, f"{path}/changes"))
     return merged.withColumn("total", F.round("total", 4))
+
+
+@query("expired_apps_stream", f"""
+SELECT event_id, namespace, app, ttl_seconds, ended + to_seconds(ttl_seconds) AS expired_at
+FROM ({S.STATUS_SQL}) WHERE ended + to_seconds(ttl_seconds) <= {watermark_sql(10)}""")
+def expired_apps_stream(spark, d):
+    """A record comes out when its time-to-live passes: event-time timers, not a later look."""
+    spark = stream_session(spark)
+    out = timers.stream_expired_apps(S.as_status(stream(spark, d, "events")))
+    return wall_clock(collect_append(spark, out, "expired_apps"), "expired_at")
+
+
+@query("missed_slots_stream", f"""
+WITH slots AS (
+    SELECT schedule_id, every_seconds, unnest(range(0, CAST(ceil(2592000 / every_seconds) AS BIGINT)))
+           AS slot
+    FROM ({S.SCHEDULES_SQL}) WHERE NOT suspend AND every_seconds > 0)
+SELECT schedule_id, slot, TIMESTAMP '{Q.FROM_TO[0]}' + to_seconds(slot * every_seconds) AS slot_start
+FROM slots s
+WHERE TIMESTAMP '{Q.FROM_TO[0]}' + to_seconds((slot + 1) * every_seconds) <= {watermark_sql(10)}
+  AND NOT EXISTS (
+    SELECT 1 FROM ({S.RUNS_SQL}) r WHERE r.schedule_id = s.schedule_id
+      AND r.start_ts >= TIMESTAMP '{Q.FROM_TO[0]}' + to_seconds(slot * every_seconds)
+      AND r.start_ts < TIMESTAMP '{Q.FROM_TO[0]}' + to_seconds((slot + 1) * every_seconds)
+      AND r.start_ts < TIMESTAMP '{Q.FROM_TO[1]}')""")
+def missed_slots_stream(spark, d):
+    """Slots that pass without a run, each when it has passed; schedules are the first state."""
+    spark = stream_session(spark)
+    out = timers.stream_missed_slots(S.schedules(spark, d), S.as_runs(stream(spark, d, "events")),
+                                     *Q.FROM_TO)
+    return collect_append(spark, out, "missed_slots")
+
+
+@query("stream_first_seen",
+       "SELECT DISTINCT event_type AS key, CAST(user_id AS VARCHAR) AS value FROM events")
+def stream_first_seen(spark, d):
+    """State that expires by itself: the users of each event type, once within a week of clock time."""
+    spark = stream_session(spark)
+    out = timers.first_seen(stream(spark, d, "events"), "event_type", "user_id", 7 * 86400)
+    path = scratch_dir(spark, "first_seen")
+    return O.run_once_to_table(out, f"{path}/data", f"{path}/checkpoint")

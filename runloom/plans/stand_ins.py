@@ -289,9 +289,13 @@ FROM supplier"""
 # --- runs: one per event ---------------------------------------------------------------------
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_runs(table(spark, sf_dir, "events"))
+
+
+def as_runs(events: DataFrame) -> DataFrame:
     open_run = (F.col("event_type") == "signup") & (F.col("value") > 330)
     end = F.col("ts") + seconds(F.round(F.col("value") * 60, 2))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("schedule_id"), F.col("event_id").alias("run_id"),
         F.col("ts").alias("start"), F.when(~open_run, end).alias("end"),
         F.when(open_run, F.lit("running")).when(F.col("event_type") == "error", F.lit("failed"))
@@ -327,3 +331,41 @@ SELECT 'app-' || l_orderkey AS app, {_sql_list(DEP_SOURCES)}[l_linenumber % 3 +
        l_linenumber AS position, {_sql_list(DEP_KINDS)}[l_partkey % 12 % 6 + 1] AS kind,
        'dep-' || l_partkey AS name
 FROM lineitem"""
+
+
+# --- owners and nested sets: one per part ----------------------------------------------------
+
+# The same SQL in both engines, but for the sign of whole division.
+_OWNERS = """
+SELECT 'r-' || p_partkey AS name, {kinds} AS kind,
+       CASE WHEN p_partkey % 50 = 1 THEN 'r-' || (p_partkey + 1)
+            WHEN p_partkey % 50 = 2 THEN 'r-' || (p_partkey - 1)
+            WHEN p_partkey % 40 = 5 THEN 'gone-' || p_partkey
+            WHEN p_partkey >= 4 THEN 'r-' || (p_partkey {div} 3) END AS owner
+FROM part"""
+_KINDS = ("CASE p_partkey % 3 WHEN 0 THEN 'SparkJob' WHEN 1 THEN 'SparkSession' "
+          "ELSE 'SparkScheduledJob' END")
+OWNERS_SQL = _OWNERS.format(kinds=_KINDS, div="//")
+
+_SETS = """
+SELECT 'set-' || p_partkey AS source, 'set-' || (p_partkey {div} 2) AS target FROM part
+WHERE p_partkey >= 2
+UNION ALL
+SELECT 'set-' || p_partkey, 'set-' || (p_partkey {div} 3) FROM part WHERE p_partkey >= 3
+UNION ALL
+SELECT 'set-' || p_partkey, 'set-' || (p_partkey * 2) FROM part WHERE p_partkey % 100 = 7"""
+SETS_SQL = _SETS.format(div="//")
+
+
+def _parts_view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return spark.sql(text.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+
+
+def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resources and their owners: trees, cycles of two, and owners that are gone."""
+    return _parts_view(spark, sf_dir, _OWNERS.format(kinds=_KINDS, div="DIV"))
+
+
+def nested_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of dependencies that include other sets, with ways that meet again and cycles."""
+    return _parts_view(spark, sf_dir, _SETS.format(div="DIV"))

@@ -86,17 +86,26 @@ def publish(df: DataFrame, path: str, version: int, keep: int = 3) -> None:
     needs a higher one.
     """
     df.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
-    for old in _versions(df.sparkSession, path)[:-keep]:
-        files, place = _folder(df.sparkSession, f"{path}/version={old}")
-        files.delete(place, True)
+    for old in published(df.sparkSession, path)[:-keep]:
+        remove(df.sparkSession, f"{path}/version={old}")
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
     """The newest whole published version, found by listing the folder."""
-    versions = _versions(spark, path)
-    if not versions:
+    version = last_published(spark, path)
+    if version is None:
         raise FileNotFoundError(f"nothing is published at {path}")
-    return spark.read.parquet(f"{path}/version={versions[-1]}")
+    return spark.read.parquet(f"{path}/version={version}")
+
+
+def last_published(spark: SparkSession, path: str) -> int | None:
+    return max(published(spark, path), default=None)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it names; nothing if it is not there."""
+    files, place = _folder(spark, path)
+    files.delete(place, True)
 
 
 def _folder(spark: SparkSession, path: str):
@@ -105,12 +114,12 @@ def _folder(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """The numbers of the versions whose write has been committed, ascending."""
+def published(spark: SparkSession, path: str, name: str = "version") -> list[int]:
+    """The numbers of the folders ``name=number`` whose write has been committed, ascending."""
     files, place = _folder(spark, path)
     if not files.exists(place):
         return []
-    names = [status.getPath().getName() for status in files.listStatus(place)]
-    found = [n for n in names if n.startswith("version=")]
-    return sorted(int(n.removeprefix("version=")) for n in found
+    found = [status.getPath().getName() for status in files.listStatus(place)]
+    found = [n for n in found if n.startswith(f"{name}=")]
+    return sorted(int(n.removeprefix(f"{name}=")) for n in found
                   if files.exists(_folder(spark, f"{path}/{n}/_SUCCESS")[1]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from runloom.functions.metric_rules import DEFAULT_RULES, MetricRule
 from runloom.operators.metrics import gauge_rollup, normalize_metrics
 from runloom.operators.status import latest_phase
+from runloom.sources import sinks
 
 
 def stream_metrics(lines: DataFrame, rules: Sequence[MetricRule] = DEFAULT_RULES,
@@ -25,9 +27,9 @@ def upsert_batches(changes: DataFrame, out_path: str, checkpoint: str, keys: Seq
                    every: str | None = "1 minute", merge_every: int = 100) -> StreamingQuery:
     """Write the changed rows of each micro-batch into a folder named by its number.
 
-    A batch that is repeated after a failure replaces its own folder. Readers keep, of several rows
-    of one key, that of the highest batch. Every ``merge_every`` batches the folders before are merged
-    into one with the newest row of each key, so there are never more than that many.
+    A batch that is repeated after a failure replaces its own folder. ``read_changes`` finds the rows; of
+    several rows of one key, that of the highest batch counts. Every ``merge_every`` batches those before
+    are merged, so there are never more folders than twice that many.
     """
     trigger = {"processingTime": every} if every else {"availableNow": True}
 
@@ -40,35 +42,42 @@ def upsert_batches(changes: DataFrame, out_path: str, checkpoint: str, keys: Seq
             .option("checkpointLocation", checkpoint).foreachBatch(upsert).start())
 
 
+def read_changes(spark: SparkSession, out_path: str, before: int | None = None) -> DataFrame:
+    """The rows of the newest merged folder and of all whole batches after it, with their ``batch``.
+
+    A merged row has the number of the last batch that was merged. With ``before`` only batches below it.
+    """
+    merged = [n for n in sinks.published(spark, out_path, "merged") if before is None or n < before]
+    first = merged[-1] if merged else 0
+    batches = [n for n in sinks.published(spark, out_path, "batch")
+               if n >= first and (before is None or n < before)]
+    parts = [spark.read.parquet(f"{out_path}/{folder}").withColumn("batch", F.lit(n))
+             for folder, n in ([(f"merged={first}", first - 1)] if merged else [])
+             + [(f"batch={n}", n) for n in batches]]
+    if not parts:
+        raise FileNotFoundError(f"nothing is written at {out_path}")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def merge_batches(spark: SparkSession, out_path: str, before: int, keys: Sequence[str]) -> None:
-    """Merge the folders of all batches below ``before`` into that of the last of them.
+    """Merge all batches below ``before`` into the folder ``merged=before``.
 
-    May be repeated at any point: the merged rows are whole before the first folder goes, and what is
-    left over from an earlier attempt is put in place first.
+    Nothing that a reader may be at goes: the new folder counts once it is whole, and what it replaces
+    stays until the next merge; only what the merge before has replaced is deleted. May be repeated at
+    any point.
     """
-    place = spark._jvm.org.apache.hadoop.fs.Path
-    files = place(out_path).getFileSystem(spark._jsc.hadoopConfiguration())
-    merged, last = f"{out_path}/_merged", f"{out_path}/batch={before - 1}"
-
-    def settle() -> None:
-        if files.exists(place(f"{merged}/_SUCCESS")):
-            files.delete(place(last), True)
-            files.rename(place(merged), place(last))
-
-    settle()
-    numbers = sorted(int(n.removeprefix("batch=")) for n in (
-        s.getPath().getName() for s in files.listStatus(place(out_path))) if n.startswith("batch="))
-    old = [n for n in numbers if n < before]
-    if len(old) > 1:
-        rows = spark.read.option("basePath", out_path).parquet(*[f"{out_path}/batch={n}" for n in old])
-        rest = [c for c in rows.columns if c not in (*keys, "batch")]
-        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_newest"))
-        (newest.select(*keys, *[F.col("_newest")[c].alias(c) for c in rest])
-         .write.mode("overwrite").parquet(merged))
-        settle()
-        for n in old:
-            if n != before - 1:
-                files.delete(place(f"{out_path}/batch={n}"), True)
+    rows = read_changes(spark, out_path, before)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_newest"))
+    (newest.select(*keys, *[F.col("_newest")[c].alias(c) for c in rest])
+     .write.mode("overwrite").parquet(f"{out_path}/merged={before}"))
+    earlier = [n for n in sinks.published(spark, out_path, "merged") if n < before]
+    if earlier:
+        for n in sinks.published(spark, out_path, "batch"):
+            if n < earlier[-1]:
+                sinks.remove(spark, f"{out_path}/batch={n}")
+        for n in earlier[:-1]:
+            sinks.remove(spark, f"{out_path}/merged={n}")
 
 
 def stream_latest_phase(events: DataFrame, out_path: str, checkpoint: str, key: Sequence[str],
@@ -82,7 +91,7 @@ def stream_latest_phase(events: DataFrame, out_path: str, checkpoint: str, key:
 
 def read_latest_phase(spark: SparkSession, out_path: str, key: Sequence[str]) -> DataFrame:
     """The newest phase of each key: of several records, that of the highest batch."""
-    changes = spark.read.parquet(out_path)
+    changes = read_changes(spark, out_path)
     return (changes.groupBy(*key)
             .agg(F.max_by(F.struct("phase", "since"), "batch").alias("_newest"))
             .select(*key, F.col("_newest.phase").alias("phase"),
@@ -97,6 +106,14 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def run_once_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """The same in one micro-batch, for state with clock times: those streams never run out of batches."""
+    query = (stream.writeStream.outputMode("append").trigger(once=True)
+             .option("checkpointLocation", checkpoint).format("parquet").start(path))
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def run_complete_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """The same for results that are rewritten whole by every micro-batch (complete mode)."""
     query = (stream.writeStream.outputMode("complete").trigger(availableNow=True)

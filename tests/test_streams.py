@@ -1,6 +1,7 @@
 """Streams over several micro-batches: late rows, restarts, upserts."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,11 +9,12 @@ from pyspark.sql import functions as F
 from runloom import schemas
 from runloom.operators import logs as L
 from runloom.operators import metrics as M
+from runloom.operators import runs as U
 from runloom.operators import status as A
 from runloom.plans import report as R
 from runloom.session import stream_session
 from runloom.sources import files, sinks
-from runloom.streaming import ops, reports, stateful
+from runloom.streaming import ops, reports, stateful, timers
 
 
 def at(minute):
@@ -100,31 +102,62 @@ def test_own_state_is_kept_between_batches(session, tmp_path):
         feed.add(rows)
         ops.upsert_batches(stateful.track_activity(feed.stream(), "k", "v"), out, checkpoint, ["key"],
                            every=None).awaitTermination()
-    got = stateful.read_activity(session.read.parquet(out)).collect()
+    got = stateful.read_activity(ops.read_changes(session, out)).collect()
     assert sorted(map(tuple, got)) == [(1, 3, 10.0, 5.0), (2, 1, -1.0, -1.0)]
     feed.add([(7, None)])
     ops.upsert_batches(stateful.track_activity(feed.stream(), "k", "v"), out, checkpoint, ["key"],
                        every=None).awaitTermination()
-    got = {r["key"]: tuple(r) for r in stateful.read_activity(session.read.parquet(out)).collect()}
+    got = {r["key"]: tuple(r) for r in stateful.read_activity(ops.read_changes(session, out)).collect()}
     assert got[7] == (7, 1, None, None)
 
 
+def phases_of(session, out):
+    return {r["app"]: r["phase"] for r in ops.read_latest_phase(session, str(out), ["app"]).collect()}
+
+
 def test_folders_of_batches_stay_few(session, tmp_path):
     feed = Feed(session, tmp_path, "event_id long, ts timestamp, app string, state string")
     out, checkpoint = tmp_path / "out", str(tmp_path / "cp")
-    for n in range(7):
-        feed.add([(n, at(n), f"app{n % 3}", f"S{n}")])
+    want = {}
+    for n in range(13):
+        feed.add([(n, at(n), f"app{n % 5}", f"S{n}")])
+        want[f"app{n % 5}"] = f"S{n}"
         phases = A.latest_phase(feed.stream(), ["app"])
         ops.upsert_batches(phases, str(out), checkpoint, ["app"], every=None,
                            merge_every=3).awaitTermination()
-        assert len([p for p in out.iterdir() if p.name.startswith("batch=")]) <= 4
-    want = {"app0": "S6", "app1": "S4", "app2": "S5"}
-    assert {r["app"]: r["phase"] for r in ops.read_latest_phase(session, str(out), ["app"]).collect()} == want
-    # Repeated, also after an attempt that ended between dropping a folder and replacing it.
-    ops.merge_batches(session, str(out), 7, ["app"])
-    (out / "batch=6").rename(out / "_merged")
-    ops.merge_batches(session, str(out), 7, ["app"])
-    assert {r["app"]: r["phase"] for r in ops.read_latest_phase(session, str(out), ["app"]).collect()} == want
+        assert len([p for p in out.iterdir() if "=" in p.name]) <= 2 * 3 + 2
+        assert phases_of(session, out) == want
+    with pytest.raises(FileNotFoundError):
+        ops.read_changes(session, str(tmp_path / "nothing"))
+
+
+def test_readers_find_everything_in_the_middle_of_a_merge(session, tmp_path):
+    out = tmp_path / "out"
+    schema = "app string, phase string, since timestamp"
+
+    def batch(n, rows):
+        session.createDataFrame([(a, p, at(n)) for a, p in rows], schema).write.mode(
+            "overwrite").parquet(f"{out}/batch={n}")
+
+    for n in range(4):
+        batch(n, [(f"app{n}", f"S{n}"), ("hot", f"S{n}")])
+    want = {"app0": "S0", "app1": "S1", "app2": "S2", "app3": "S3", "hot": "S3"}
+    early = ops.read_changes(session, str(out))  # a reader that has listed and not read yet
+    ops.merge_batches(session, str(out), 3, ["app"])
+    assert phases_of(session, out) == want
+    assert early.count() == 8
+    late = ops.read_changes(session, str(out))
+    # A merge that fails while it writes leaves a folder that does not count.
+    (out / "merged=4").mkdir()
+    (out / "merged=4" / "part-0.parquet").write_bytes(b"half")
+    assert phases_of(session, out) == want
+    batch(4, [("hot", "S4")])
+    want["hot"] = "S4"
+    for _ in range(2):  # a merge may be repeated
+        ops.merge_batches(session, str(out), 4, ["app"])
+        assert phases_of(session, out) == want
+    assert late.count() > 0 and {p.name for p in out.iterdir()} == {
+        "merged=3", "merged=4", "batch=3", "batch=4"}
 
 
 def test_log_filters_on_a_stream_equal_batch(session, tmp_path):
@@ -155,3 +188,69 @@ def test_duplicates_in_later_batches(session, tmp_path):
         feed.add(rows)
         table = ops.run_to_table(out(), str(tmp_path / "d"), str(tmp_path / "c"))
         assert table.select(F.count_distinct("id"), F.count("id")).first() == (n, n)
+
+
+STATUS = ("namespace string, app string, event_id long, ts timestamp, termination_time string, "
+          "ttl_seconds long")
+
+
+def test_records_come_out_when_their_time_to_live_passes(session, tmp_path):
+    def record(i, minute, ended, ttl, app="a"):
+        end = None if ended is None else at(ended).strftime("%Y-%m-%dT%H:%M:%SZ")
+        return ("ns", app, i, at(minute), end, ttl)
+
+    feed = Feed(session, tmp_path, STATUS)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    batches = [[record(1, 0, 1, 60), record(2, 1, 1, 600), record(3, 1, None, 60),
+                record(4, 1, 1, None), record(5, 1, 1, 60)],
+               [record(6, 5, 0, 60, "b")], [record(7, 12, 12, 3600)],
+               [record(8, 100, 200, 60, None), record(8, 100, 30, 60, "c")], [record(9, 300, 300, 0)],
+               [record(10, 400, None, 5)]]
+    latest = None
+    for rows in batches:  # every run starts anew from the checkpoint
+        feed.add(rows)
+        stream = timers.stream_expired_apps(feed.stream(), "1 minute")
+        got = ops.run_to_table(stream, out, checkpoint)
+        latest = max([r[3] for r in rows] + ([latest] if latest else []))
+        now = latest - datetime.timedelta(minutes=1, microseconds=-1)
+        batch = A.expired_apps(session.read.parquet(feed.path), now.strftime("%Y-%m-%dT%H:%M:%S.%fZ"))
+        columns = ["namespace", "app", "event_id", "ttl_seconds", "expired_at"]
+        assert sorted(map(str, got.select(columns).collect())) == sorted(
+            map(str, batch.select(columns).collect()))
+    assert got.count() == 8
+
+
+def test_slots_come_out_when_they_pass_without_a_run(session, tmp_path):
+    schedules = session.createDataFrame(
+        [(1, 600, False), (2, 3600, False), (3, 60, True), (4, 0, False), (5, 7200, None)],
+        "schedule_id long, every_seconds long, suspend boolean")
+    feed = Feed(session, tmp_path, "schedule_id long, start timestamp")
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    t0, t1 = "2024-01-07 00:00:00", "2024-01-07 07:30:00"
+    latest = None
+    for rows in ([(1, at(1)), (1, at(25)), (9, at(26))], [(2, at(100)), (1, at(95)), (1, at(96))],
+                 [(1, at(180)), (5, at(185))], [(2, at(700))]):
+        feed.add(rows)
+        stream = timers.stream_missed_slots(schedules, feed.stream(), t0, t1, "0 seconds")
+        got = ops.run_to_table(stream, out, checkpoint)
+        latest = max([r[1] for r in rows] + ([latest] if latest else []))
+        batch = U.missed_slots(schedules, session.read.parquet(feed.path), t0, t1).join(
+            schedules.select("schedule_id", "every_seconds"), "schedule_id")
+        over = F.expr("slot_start + make_dt_interval(0, 0, 0, every_seconds)") <= F.lit(latest)
+        want = batch.where(over).select("schedule_id", "slot", "slot_start")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.count() > 40
+
+
+def test_a_value_is_forgotten_after_its_time(session, tmp_path):
+    feed = Feed(session, tmp_path, "k string, v long")
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    counts = []
+    for pause, ttl in ((0, 3), (0, 3), (5, 3)):
+        time.sleep(pause)
+        feed.add([("a", 1), ("a", 1), ("b", 1), ("a", None), (None, 2)])
+        got = ops.run_once_to_table(timers.first_seen(feed.stream(), "k", "v", ttl),
+                                    out, checkpoint)
+        counts.append(sorted(tuple(r) for r in got.collect()))
+    assert counts[0] == [("a", "1"), ("b", "1")]
+    assert len(counts[2]) in (4, 6)  # once more after the pause; also before it on a slow machine
