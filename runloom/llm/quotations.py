@@ -5,7 +5,8 @@ lines of one level, up to a line without text, are a passage. Passages are norma
 space for any white space) and hashed. A message can be quoted by any of its own lines, by any of its
 paragraphs, and as a whole, so all of these are hashed too and joined to the quoted hashes. A passage
 that none of these of its own conversation equals is looked for inside messages, as a row of words
-without regard to lines and punctuation: messages with its rarest run of ``RUN`` words are candidates.
+without regard to lines and punctuation: messages with its rarest run of ``RUN`` words are candidates,
+and a shorter passage is a run itself, whose first holders are grouped minima too.
 
 The original of a passage is the first message of the same conversation that holds it before the
 quoting one, else the first message of another conversation that holds it. First holders are grouped
@@ -131,7 +132,7 @@ def holdings_inside(passages: DataFrame, bodies: DataFrame) -> DataFrame:
     said = written(said.withColumn("id", F.md5("own")), "spoken")
     own = F.split(F.btrim("own"), " ")
     texts = said.select("id", "own").distinct()
-    runs = texts.select("id", F.explode(runs_of(own, [F.lit(k) for k in range(1, RUN + 1)])).alias("run"))
+    runs = texts.select("id", F.explode(runs_of(own, [F.lit(RUN)])).alias("run"))
     runs = written(runs.distinct().join(wanted.select("run").distinct(), "run", "left_semi"), "held_runs")
     counts = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
     rarest = (wanted.join(counts, "run", "left").groupBy("hash")
@@ -142,22 +143,48 @@ def holdings_inside(passages: DataFrame, bodies: DataFrame) -> DataFrame:
     return said.join(met, "id").select("conv_id", "turn", "hash")
 
 
+def holdings_of_short(passages: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The same for passages of fewer than RUN words: these are runs themselves, and their texts the key.
+
+    A word that everybody says is a row for each message that says it, never a pair of messages;
+    ``linked_quotes`` takes the first of each conversation before anything is shuffled.
+    """
+    wanted = passages.select("hash", F.btrim("words").alias("run"))
+    own = F.split(F.btrim(spoken(F.col("body"))), " ")
+
+    def of(w: Column, size: int) -> Column:
+        return F.when(F.size(w) >= size, F.transform(
+            F.sequence(F.lit(1), F.size(w) - size + 1),
+            lambda i: F.array_join(F.slice(w, i, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        return F.array_distinct(F.flatten(F.array(*[of(w, size) for size in range(1, RUN)])))
+
+    said = (bodies.filter("conv_id is not null and turn is not null")
+            .select("conv_id", "turn", F.explode(F.flatten(F.transform(F.array(own), runs))).alias("run")))
+    return said.join(wanted, "run").select("conv_id", "turn", "hash")
+
+
 def linked_inside(links: DataFrame, bodies: DataFrame) -> DataFrame:
     """``links`` with the originals that hold a passage as a part, where no own message equals it.
 
-    Fewer than RUN words link inside their own conversation only.
+    The own conversation comes first, then messages elsewhere that equal it, then those that hold it.
     """
     words = spoken(F.col("said"))
     own = F.col("from_conv").eqNullSafe(F.col("conv_id")) & F.col("from_turn").isNotNull()
-    rest = (links.filter(~own).withColumn("short", F.size(F.split(F.btrim(words), " ")) < RUN)
+    rest = (links.filter(~own)
             .withColumnsRenamed({"from_conv": "whole_conv", "from_turn": "whole_turn"}))
-    passages = rest.select("hash", words.alias("words")).filter("btrim(words) <> ''").distinct()
-    found = linked_quotes(rest, holdings_inside(passages, bodies))
+    passages = written(rest.select("hash", words.alias("words")).filter("btrim(words) <> ''").distinct(),
+                       "inner_passages")
+    short = F.size(F.split(F.btrim("words"), " ")) < RUN
+    held = holdings_inside(passages.filter(~short), bodies).union(
+        holdings_of_short(passages.filter(short), bodies))
+    found = linked_quotes(rest, held)
     inside = F.col("from_conv") == F.col("conv_id")
     taken = F.when(inside, F.struct("from_conv", "from_turn")).when(
         F.col("whole_turn").isNotNull(), F.struct(F.col("whole_conv").alias("from_conv"),
-                                                  F.col("whole_turn").alias("from_turn"))).when(
-        ~F.col("short"), F.struct("from_conv", "from_turn"))
+                                                  F.col("whole_turn").alias("from_turn"))).otherwise(
+        F.struct("from_conv", "from_turn"))
     return links.filter(own).unionByName(found.withColumn("taken", taken).select(
         *[c for c in links.columns if not c.startswith("from_")], "taken.from_conv", "taken.from_turn"))
 

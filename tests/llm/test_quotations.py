@@ -1,5 +1,9 @@
 """Quoted passages, their originals and threads, by hand and against DuckDB."""
 
+import itertools
+import random
+import re
+
 import duckdb
 import oracle
 
@@ -60,7 +64,7 @@ def test_many_quote_one_passage(spark):
 
 
 def test_parts_of_messages_are_linked(spark):
-    """Lines 2 and 3 of 5, a sentence of a line, a re-wrapped and trimmed part; a lone word elsewhere."""
+    """Lines 2 and 3 of 5, a sentence of a line, a re-wrapped and trimmed part, a word elsewhere."""
     rows = [(1, 0, "u", "first line of it\nthen a second one\nand a third line\nthe fourth\nand the last"),
             (1, 1, "u", "We could meet on Monday. Or would Tuesday suit you better? Tell me."),
             (1, 2, "u", "> then a second one\n> and a third line\nwhy these two"),
@@ -74,7 +78,58 @@ def test_parts_of_messages_are_linked(spark):
     assert [got[1, t]["n_linked"] for t in range(6)] == [0, 0, 1, 1, 1, 1]
     assert (got[1, 5]["root_turn"], got[1, 5]["depth"]) == (0, 2)
     assert (got[2, 0]["quoted_conv"], got[2, 0]["quoted_turn"], got[2, 0]["reply_to_turn"]) == (1, 0, None)
-    assert got[2, 1]["n_linked"] == got[2, 2]["n_linked"] == 0
+    assert (got[2, 1]["quoted_conv"], got[2, 1]["quoted_turn"], got[2, 1]["n_linked"]) == (1, 1, 1)
+    assert got[2, 2]["n_linked"] == 0
+
+
+def plain_links(rows):
+    """The first holder of each quoted passage, by looking into every message: conv, turn, passage to it."""
+    words = lambda t: re.findall(r"[\w]+", t.lower())
+    own, quotes = [], []
+    for conv, turn, _, text in rows:
+        mine = [x for x in text.split("\n") if not x.startswith(">")]
+        own.append((conv, turn, words("\n".join(mine))))
+        for _, some in itertools.groupby(text.split("\n"), lambda x: x.startswith(">")):
+            some = list(some)
+            if some[0].startswith(">"):
+                quotes.append((conv, turn, words(" ".join(some))))
+    out = {}
+    for conv, turn, said in quotes:
+        holds = [(c, t) for c, t, w in own
+                 if any(w[i:i + len(said)] == said for i in range(len(w) - len(said) + 1))]
+        inside = min((t for c, t in holds if c == conv), default=None)
+        if inside is not None and inside < turn:
+            out[conv, turn] = (conv, inside)
+        else:
+            out[conv, turn] = min(((c, t) for c, t in holds if c != conv), default=None)
+    return out
+
+
+def test_parts_of_any_length_against_looking_everywhere(spark):
+    rng = random.Random(4)
+    vocabulary = ["yes", "no", *[f"w{i}" for i in range(25)]]
+    rows, said = [], []
+    for conv in range(12):
+        for turn in range(6):
+            text = " ".join(rng.choice(vocabulary) for _ in range(rng.randint(8, 14)))
+            if said and rng.random() < .6:
+                source = rng.choice(said).split()
+                size = rng.randint(1, 6)
+                at = rng.randrange(len(source) - size)
+                text = f"> {' '.join(source[at:at + size])}\n{text}"
+            said.append(text.split("\n")[-1])
+            rows.append((conv, turn, "u", text))
+    want = plain_links(rows)
+    got = {(r["conv_id"], r["turn"]): (r["quoted_conv"], r["quoted_turn"]) if r["n_linked"] else None
+           for r in Q.reply_order(spark.createDataFrame(rows, SCHEMA)).collect() if r["n_quotes"]}
+    assert got == want and len(want) > 30
+
+
+def test_a_word_that_everybody_says_and_quotes(spark):
+    rows = [(c, t, "u", f"oh yes of course {c} {t}" if t == 0 else f"> yes\nwell {t} yes indeed")
+            for c in range(40) for t in range(5)]
+    got = Q.reply_order(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all((r["quoted_conv"], r["reply_to_turn"]) == (r["conv_id"], 0) for r in got if r["turn"])
 
 
 def test_order_of_the_rows(spark):
