@@ -18,15 +18,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE = "_slice"
 CARRIED = "_carried"
 
-# Rows of one key that one task is given at most, unless the table has so many rows that this
-# would make more than MOST_SLICES slices.
+# Rows of one key that one task is given at most, unless the largest MOST_SLICES keys have so many
+# rows that this would make more than MOST_SLICES slices.
 MAX_ROWS = 5_000_000
 MOST_SLICES = 4096
 _SAMPLED_PER_SLICE = 32
@@ -42,14 +42,13 @@ def slice_hot_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         return df
     if SLICE in df.columns:
         raise ValueError("sliced already; pass max_rows=None to use the slices that are there")
-    seen = Observation()
-    counts = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-              .observe(seen, F.sum("_n").alias("rows")))
-    largest = counts.orderBy(F.desc("_n")).limit(MOST_SLICES).collect()
-    if not largest or largest[0]["_n"] <= max_rows:
-        return df
-    target = max(max_rows, seen.get["rows"] // MOST_SLICES)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    largest = counts.where(F.col("_n") > max_rows).orderBy(F.desc("_n")).limit(MOST_SLICES).collect()
+    # Shares of the rows in question only: with very many keys, or keys all alike, none may be above them.
+    target = max(max_rows, sum(row["_n"] for row in largest) // MOST_SLICES)
     hot = [row for row in largest if row["_n"] > target]
+    if not hot:
+        return df
     cuts = _cut_points(df, keys, order, hot, target)
     # Keys without cut points keep all their rows in slice 0.
     joined = _null_safe_join(df, F.broadcast(cuts), keys, "left")

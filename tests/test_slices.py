@@ -55,6 +55,21 @@ def test_cuts_fall_between_rows_of_one_time(spark):
     assert len(sizes) > 5 and max(sizes) < 300
 
 
+@pytest.mark.parametrize("extra", [0, 3])
+def test_more_large_keys_than_slices(spark, extra):
+    """Every key is above the limit; of keys all alike none is cut, of others the largest."""
+    many = spark.range(2 * (S.MOST_SLICES + 100) + extra).select(
+        F.greatest(F.col("id") - extra, F.lit(0)).cast("long").alias("k"), "id")
+    many = many.withColumn("k", F.floor(F.col("k") / 2))
+    sliced = S.slice_hot_keys(many, ["k"], ["id"], 1)
+    assert (S.SLICE in sliced.columns) == bool(extra)
+    w = Window.partitionBy("k").orderBy("id")
+    want = many.select("id", F.lag("id").over(w).alias("before"), F.row_number().over(w).alias("row_number"))
+    got = S.row_numbers(S.previous_values(many, ["k"], ["id"], {"before": "id"}, 1), ["k"], ["id"],
+                        max_rows=1)
+    same(got, want, ["id", "before", "row_number"])
+
+
 @pytest.mark.parametrize("most", SIZES)
 def test_previous_and_next(rows, most):
     got = S.previous_values(rows, ["k"], ORDER, {"pv": "v", "pid": "id"}, most)
