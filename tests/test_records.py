@@ -358,6 +358,19 @@ def test_retry_chains(spark):
                                         (5, 2, 1, 0, False)]
 
 
+def test_retry_chains_of_more_schedules_than_slices(spark):
+    """All above the limit, and none above the share of the rows that a slice has."""
+    first = spark.range(10_000).select(F.col("id").alias("schedule_id"), F.lit("failed").alias("outcome"))
+    data = first.select("schedule_id", (F.col("schedule_id") * 2 + 1).alias("run_id"),
+                        F.lit(at(5)).alias("start"), F.lit(at(6)).alias("end"), "outcome").union(
+        first.select("schedule_id", F.col("schedule_id") * 2, F.lit(at(0)), F.lit(at(1)), "outcome"))
+    plans = schedules(spark, [(n, 60, False, None, None, None, 300, 1, None, None, None) for n in (1, 2)])
+    got = U.retry_chains(data, plans, 1).groupBy("schedule_id").agg(
+        F.collect_list("runs").alias("runs")).collect()
+    assert len(got) == 10_000
+    assert all(sorted(r["runs"]) == ([2] if r["schedule_id"] in (1, 2) else [1, 1]) for r in got)
+
+
 def test_every_seconds(spark):
     texts = ["@every 5m", "@every 1h30m", "@every 90s", "@hourly", "@daily", "@weekly",
              "*/5 * * * *", "@every", "@every 5x", "@every 0s", None]
