@@ -15,8 +15,10 @@ from runloom.operators.slices import (MAX_ROWS, rows_only, slice_hot_keys, with_
 
 # The level of ranges without an end.
 OPEN = -1
-# Shares that points are dealt into for such ranges, each of which goes to every share.
-OPEN_SHARES = 64
+# Points, and such ranges, that one cell of theirs holds.
+OPEN_ROWS = 10_000
+# Rows that may be broadcast. The planner's own guess does not see how often rows are placed.
+BROADCAST_ROWS = 100_000
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str,
@@ -58,9 +60,10 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     before the join). The cell turns the range condition into an equi-join, which the planner can
     broadcast, sort-merge, and split where a cell is hot.
 
-    A range that is open on one or both sides (infinite ends) is a level of its own. Its cells are shares
-    of the points by their hash, and it is in all of them, so no share has all points. NULL ends match
-    nothing, like NULL points.
+    A range that is open on one or both sides (infinite ends) is a level of its own. Both its ranges and
+    the points are counted and dealt into shares of about ``OPEN_ROWS`` by their hash, and every share of
+    points meets every share of ranges in a cell of its own. Rows are copied as often as the other side
+    has shares: once for a small one. NULL ends match nothing, like NULL points.
     """
     infinite = F.lit(float("inf"))
     def cell(value: Column, level: Column) -> Column:
@@ -72,19 +75,37 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     placed = (ranges.where(F.col(low) < F.col(high))
               .withColumn("_level", F.when(closed, F.greatest(longer, F.lit(0)).cast("int"))
                           .otherwise(F.lit(OPEN))))
-    levels = sorted(row[0] for row in placed.select("_level").distinct().collect())
+    sizes = {row["_level"]: row["count"] for row in placed.groupBy("_level").count().collect()}
+    levels = sorted(sizes)
+    unbounded = sizes.get(OPEN, 0)
+    known = points.count() if unbounded else None
+    shares, deals = -(-(known or 1) // OPEN_ROWS), -(-(unbounded or 1) // OPEN_ROWS)
+
+    def dealt(df: DataFrame, into: int) -> Column:
+        # Hashes have no form for maps.
+        hashed = [F.col(f"`{name}`") for name, kind in df.dtypes if "map<" not in kind]
+        return F.pmod(F.xxhash64(*hashed), F.lit(into).cast("long"))
+
+    def every(n: int) -> Column:
+        return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+    open_level = F.col("_level") == OPEN
     first, last = cell(F.col(low), F.col("_level")), cell(F.col(high), F.col("_level"))
-    # Hashes have no form for maps.
-    hashed = [name for name, kind in points.dtypes if "map<" not in kind]
-    share = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in hashed]), F.lit(OPEN_SHARES))
-    shares = F.sequence(F.lit(0).cast("long"), F.lit(OPEN_SHARES - 1).cast("long"))
+    deal = dealt(ranges, deals)
     placed = placed.withColumn("_cell", F.explode(
-        F.when(F.col("_level") == OPEN, shares).otherwise(F.sequence(first, last))))
+        F.when(open_level, F.transform(every(shares), lambda share: share * deals + deal))
+        .otherwise(F.sequence(first, last))))
+    share = dealt(points, shares)
     keyed = (points.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in levels])
                                                    .cast("array<int>")))
-             .where((F.col("_level") == OPEN) | (F.abs(F.col(point).cast("double")) < infinite))
-             .withColumn("_cell", F.when(F.col("_level") == OPEN, share)
-                         .otherwise(cell(F.col(point), F.col("_level")))))
+             .where(open_level | (F.abs(F.col(point).cast("double")) < infinite))
+             .withColumn("_cell", F.explode(
+                 F.when(open_level, F.transform(every(deals), lambda deal: share * deals + deal))
+                 .otherwise(F.array(cell(F.col(point), F.col("_level")))))))
+    if known is not None and known * (len(levels) - 1 + deals) <= BROADCAST_ROWS:
+        keyed = F.broadcast(keyed)
+    elif sum(2 * n for n in sizes.values()) + unbounded * shares > BROADCAST_ROWS:
+        placed = placed.hint("merge")
     return (keyed.join(placed, [*on, "_level", "_cell"])
             .where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high)))
             .drop("_level", "_cell"))

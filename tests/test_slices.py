@@ -180,6 +180,26 @@ def test_range_join_is_half_open_for_ranges_of_any_length(spark):
     assert none.count() == 0
 
 
+@pytest.mark.parametrize("rows,broadcast", [(10_000, 100_000), (7, 100_000), (7, 0), (100, 5)])
+def test_open_ranges_are_not_copied_for_few_points(spark, monkeypatch, rows, broadcast):
+    """Many open ranges and few points: ranges go into one cell each, and are not broadcast."""
+    monkeypatch.setattr(joins, "OPEN_ROWS", rows)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast)
+    inf = float("inf")
+    points = spark.range(30).select((F.col("id") % 20).cast("double").alias("p"), "id")
+    ranges = spark.range(500).select(
+        F.col("id").alias("name"), F.when(F.col("id") % 2 == 0, -inf).otherwise(F.col("id") % 9).alias("lo"),
+        F.when(F.col("id") % 3 == 0, inf).otherwise(F.col("id") % 9 + 4).alias("hi"))
+    got = joins.range_join(points, ranges, "p", "lo", "hi", 4.0)
+    want = sorted((p["id"], r["name"]) for p in points.collect() for r in ranges.collect()
+                  if r["lo"] <= p["p"] < r["hi"])
+    assert sorted((r["id"], r["name"]) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan()
+    placed = [node for node in str(plan.toString()).splitlines() if "Join Inner" in node]
+    assert len(placed) == 1 and ("leftHint=(strategy=broadcast)" in placed[0]
+                                 or "rightHint=(strategy=merge)" in placed[0])
+
+
 def test_exact_percentiles_against_builtin(rows):
     shares = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p100": 1.0}
     got = percentiles.exact_percentiles(rows, ["k"], "v", shares, max_rows=2)
