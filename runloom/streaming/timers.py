@@ -1,24 +1,30 @@
 """Streams whose results appear because time passes: timers, and state that expires.
 
 Event-time timers are kept with the state of their key and fire once the watermark reaches them, also
-after a restart. State is a map per key in RocksDB; what a timer has dealt with leaves it.
+after a restart. State is kept in RocksDB; what a timer has dealt with leaves it. A key is a share of the
+records, not one record or one name: a share's rows go into the state and out of it together, packed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from runloom.functions.times import seconds, to_epoch
 
-# Shares that the records of one application are dealt into, so that a busy one is many keys.
-SALTS = 16
-# Rows that a timer gives at a time.
+# Shares that records are dealt into; each is a key of the state.
+SALTS = 1024
+# Rows that a timer gives at a time, and that a value of the state holds.
 ROWS_AT_ONCE = 10_000
+# Bits of milliseconds in a period for which waiting records are kept together: 1 ms, 16 s, 17 minutes,
+# 19 hours, 50 days, 9 years.
+PERIODS = (0, 14, 20, 26, 32, 38)
 
 
 def frame(rows: Sequence[Sequence], kinds: dict[str, str]) -> pd.DataFrame:
@@ -36,36 +42,77 @@ def local_distinct(df: DataFrame) -> DataFrame:
     return df.mapInPandas(run, df.schema)
 
 
+def pack(rows: pd.DataFrame) -> bytes:
+    """Rows as one value of a state."""
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def unpack(value: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(value).read_pandas()
+
+
+def cut(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for low in range(0, len(rows), ROWS_AT_ONCE):
+        yield rows.iloc[low:low + ROWS_AT_ONCE]
+
+
 class _Due(StatefulProcessor):
-    """Holds records until the time they are due."""
+    """Holds records until the time they are due.
+
+    A record waits in the longest period that it is due in and that has not begun. When the period
+    begins, its records move on to shorter ones; so a record moves a few times, whatever its time, and a
+    share has few timers and values for any number of records.
+    """
 
-    KINDS = {"namespace": "object", "app": "object", "event_id": "int64", "ttl_seconds": "int64",
-             "due": "int64"}
+    COLUMNS = ["namespace", "app", "event_id", "ttl_seconds", "due"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "due long",
-                                          "event_ids array<long>, ttls array<long>")
+        self.parts = handle.getMapState("parts", "bits int, period long", "n int")
+        self.waiting = handle.getMapState("waiting", "bits int, period long, part int", "rows binary")
+
+    def _wait(self, rows: pd.DataFrame, now: int) -> None:
+        """Keep rows that are due after ``now``."""
+        due = rows["due"].to_numpy()
+        bits = np.zeros(len(rows), "int64")
+        for longer in PERIODS[1:]:
+            bits[(due >> longer) << longer > now] = longer
+        for (some, period), group in rows.groupby([bits, due >> bits]):
+            place = (int(some), int(period))
+            n = self.parts.getValue(place)[0] if self.parts.containsKey(place) else 0
+            for part in cut(group):
+                self.waiting.updateValue((*place, n), (pack(part),))
+                n += 1
+            self.parts.updateValue(place, (n,))
+            self.handle.registerTimer(place[1] << place[0])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
         for batch in rows:
-            for due, some in batch.groupby("due"):
-                due = int(due)
-                ids, ttls = (self.waiting.getValue((due,)) if self.waiting.containsKey((due,))
-                             else ([], []))
-                self.waiting.updateValue((due,), ([*ids, *some["event_id"].tolist()],
-                                                  [*ttls, *some["ttl_seconds"].tolist()]))
-                self.handle.registerTimer(due)
-        return iter(())
+            batch = batch[self.COLUMNS]
+            over = batch["due"] <= now
+            if over.any():
+                yield batch[over]
+            self._wait(batch[~over], now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.waiting.containsKey((due,)):
-            return
-        ids, ttls = self.waiting.getValue((due,))
-        self.waiting.removeKey((due,))
-        yield frame([(key[0], key[1], i, ttl, due) for i, ttl in zip(ids, ttls, strict=True)],
-                    self.KINDS)
+        begun, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        for bits in PERIODS:
+            place = (bits, begun >> bits)
+            if place[1] << bits != begun or not self.parts.containsKey(place):
+                continue
+            for part in range(self.parts.getValue(place)[0]):
+                rows = unpack(self.waiting.getValue((*place, part))[0])
+                self.waiting.removeKey((*place, part))
+                over = rows["due"] <= now
+                if over.any():
+                    yield rows[over]
+                self._wait(rows[~over], now)
+            self.parts.removeKey(place)
 
     def close(self) -> None:
         pass
@@ -81,13 +128,13 @@ def stream_expired_apps(status: DataFrame, lateness: str = "10 minutes",
     ended = F.try_to_timestamp(F.col("termination_time"))
     due = F.unix_millis(ended + seconds(F.col("ttl_seconds")))
     rows = (status.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-            .select("ts", "namespace", "app", F.pmod(F.hash("event_id"), F.lit(salts)).alias("salt"),
+            .select("ts", F.pmod(F.xxhash64("event_id"), F.lit(salts)).alias("salt"), "namespace", "app",
                     "event_id", F.col("ttl_seconds").cast("long").alias("ttl_seconds"),
                     due.alias("due")))
     # Records that never expire take no state, but move the watermark on: a condition without the event
     # time in it would be moved before the watermark.
     expires = F.when(F.col("ts").isNotNull(), F.col("due")).isNotNull()
-    out = (rows.where(expires).groupBy("namespace", "app", "salt")
+    out = (rows.where(expires).groupBy("salt")
            .transformWithStateInPandas(
                _Due(), "namespace string, app string, event_id long, ttl_seconds long, due long",
                "Append", "EventTime"))

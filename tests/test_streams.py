@@ -242,6 +242,36 @@ def test_slots_come_out_when_they_pass_without_a_run(session, tmp_path):
     assert got.count() > 40
 
 
+def run_and_count_state(out, path, checkpoint):
+    """The result as a table, and the most rows that the state has held."""
+    query = (out.writeStream.outputMode("append").trigger(availableNow=True)
+             .option("checkpointLocation", checkpoint).format("parquet").start(path))
+    query.awaitTermination()
+    most = max(op.numRowsTotal for p in query.recentProgress for op in p.stateOperators)
+    return out.sparkSession.read.schema(out.schema).parquet(path), most
+
+
+def test_state_of_waiting_records_is_by_share(session, tmp_path):
+    """One application each, due within a second or within a year: some rows of state for all of them."""
+    feed = Feed(session, tmp_path, STATUS)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    latest = None
+    for n, minute in enumerate((0, 3, 2000, 90_000)):
+        end = at(minute).strftime("%Y-%m-%dT%H:%M:%SZ")
+        rows = [("ns", f"app{i}", 600 * n + i, at(minute), end, int(1.03 ** i)) for i in range(600)]
+        feed.add(rows)
+        latest = at(minute)
+        stream = timers.stream_expired_apps(feed.stream(), "1 minute", 2)
+        got, most = run_and_count_state(stream, out, checkpoint)
+        assert most < 1000
+        now = latest - datetime.timedelta(minutes=1, microseconds=-1)
+        batch = A.expired_apps(session.read.parquet(feed.path), now.strftime("%Y-%m-%dT%H:%M:%S.%fZ"))
+        columns = ["namespace", "app", "event_id", "ttl_seconds", "expired_at"]
+        assert sorted(map(str, got.select(columns).collect())) == sorted(
+            map(str, batch.select(columns).collect()))
+    assert got.count() > 1000
+
+
 def test_a_value_is_forgotten_after_its_time(session, tmp_path):
     feed = Feed(session, tmp_path, "k string, v long")
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
