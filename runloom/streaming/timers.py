@@ -20,11 +20,15 @@ from runloom.functions.times import seconds, to_epoch
 
 # Shares that records are dealt into; each is a key of the state.
 SALTS = 1024
+# The same for schedules. A checkpoint holds the state by share: another number needs a new checkpoint.
+SCHEDULE_SHARES = 1024
 # Rows that a timer gives at a time, and that a value of the state holds.
 ROWS_AT_ONCE = 10_000
 # Bits of milliseconds in a period for which waiting records are kept together: 1 ms, 16 s, 17 minutes,
 # 19 hours, 50 days, 9 years.
 PERIODS = (0, 14, 20, 26, 32, 38)
+# Values of the state that newly started slots are kept in before they are made one.
+MOST_PARTS = 16
 
 
 def frame(rows: Sequence[Sequence], kinds: dict[str, str]) -> pd.DataFrame:
@@ -142,7 +146,7 @@ def stream_expired_apps(status: DataFrame, lateness: str = "10 minutes",
 
 
 class _Slots(StatefulProcessor):
-    """Walks along a schedule's grid and gives the slots in which nothing started."""
+    """Walks along the grids of a share of schedules and gives the slots in which nothing started."""
 
     KINDS = {"schedule_id": "int64", "slot": "int64"}
 
@@ -151,48 +155,85 @@ class _Slots(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.grid = handle.getValueState("grid", "every long, next long")
-        self.started = handle.getMapState("started", "slot long", "seen boolean")
-
-    def _wait(self, every: int, slot: int) -> None:
-        if self.begin + slot * every < self.until:
-            self.handle.registerTimer((self.begin + (slot + 1) * every) * 1000)
+        self.grids = handle.getValueState("grids", "rows binary")
+        self.n_parts = handle.getValueState("n_parts", "n int")
+        self.started = handle.getMapState("started", "part int", "rows binary")
+
+    def _wait(self, grids: pd.DataFrame) -> None:
+        """A timer for the first end of a slot."""
+        starts = self.begin + grids["next"] * grids["every"]
+        open_ = starts < self.until
+        if open_.any():
+            self.handle.registerTimer(int((starts + grids["every"])[open_].min()) * 1000)
+
+    def _keep(self, pairs: pd.DataFrame, n: int) -> None:
+        """Add slots in which runs started, as parts from number ``n`` on."""
+        for part in cut(pairs):
+            self.started.updateValue((n,), (pack(part),))
+            n += 1
+        self.n_parts.update((n,))
+
+    def _take(self) -> pd.DataFrame:
+        """All slots that are kept, each once, out of the state."""
+        n = self.n_parts.get()[0] if self.n_parts.exists() else 0
+        parts = [unpack(self.started.getValue((part,))[0]) for part in range(n)]
+        for part in range(n):
+            self.started.removeKey((part,))
+        self.n_parts.update((0,))
+        empty = frame([], self.KINDS)
+        return pd.concat([empty, *parts], ignore_index=True).drop_duplicates()
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        every = int(initialState["every_seconds"].iloc[0])
-        self.grid.update((every, 0))
-        self._wait(every, 0)
+        grids = pd.DataFrame({"schedule_id": initialState["schedule_id"].astype("int64"),
+                              "every": initialState["every_seconds"].astype("int64"), "next": 0})
+        if self.grids.exists():  # a large share comes in several pieces
+            grids = pd.concat([unpack(self.grids.get()[0]), grids], ignore_index=True)
+        grids = grids.sort_values("schedule_id", ignore_index=True)
+        self.grids.update((pack(grids),))
+        self._wait(grids)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.grid.exists():
-            _, first = self.grid.get()
-            for batch in rows:
-                for slot in batch["slot"].unique().tolist():
-                    if slot >= first:
-                        self.started.updateValue((slot,), (True,))
+        if self.grids.exists():
+            first = unpack(self.grids.get()[0]).set_index("schedule_id")["next"]
+            n = self.n_parts.get()[0] if self.n_parts.exists() else 0
+            pairs = pd.concat([batch[list(self.KINDS)].drop_duplicates() for batch in rows]).drop_duplicates()
+            # Rows of unknown schedules compare as false.
+            pairs = pairs[pairs["slot"].to_numpy() >= first.reindex(pairs["schedule_id"]).to_numpy()]
+            if n >= MOST_PARTS and len(pairs):
+                pairs, n = pd.concat([self._take(), pairs]).drop_duplicates(), 0
+            if len(pairs):
+                self._keep(pairs, n)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        every, first = self.grid.get()
+        grids = unpack(self.grids.get()[0])
         now = timerValues.getCurrentWatermarkInMs() // 1000
         # All slots that are over by now, not one a timer: the watermark may have gone far.
+        ids, every, first = (grids[name].to_numpy() for name in ("schedule_id", "every", "next"))
         slots = -(-(self.until - self.begin) // every)
-        after = min((now - self.begin) // every, slots)
-        started = {slot for (slot,) in self.started.keys() if slot < after}
-        missed = (slot for slot in range(first, after) if slot not in started)
-        rows = []
-        for slot in missed:
-            rows.append((key[0], slot))
-            if len(rows) == ROWS_AT_ONCE:
-                yield frame(rows, self.KINDS)
-                rows = []
-        if rows:
-            yield frame(rows, self.KINDS)
-        for slot in started:
-            self.started.removeKey((slot,))
-        if after > first:
-            self.grid.update((every, after))
-            self._wait(every, after)
+        after = np.maximum(np.minimum((now - self.begin) // every, slots), first)
+        if not (after > first).any():  # another timer has dealt with them
+            return
+        pairs = self._take()
+        at = np.searchsorted(ids, pairs["schedule_id"].to_numpy())
+        slot = pairs["slot"].to_numpy()
+        over = slot < after[at]
+        # Slots that are over, of all schedules in one row: where those of a schedule end, and which had runs.
+        ends = np.cumsum(after - first)
+        before = ends - (after - first)
+        seen = np.sort((before[at] + slot - first[at])[over])
+        for low in range(0, int(ends[-1]), ROWS_AT_ONCE):
+            places = np.arange(low, min(low + ROWS_AT_ONCE, int(ends[-1])))
+            some = slice(*np.searchsorted(seen, [low, low + ROWS_AT_ONCE]))
+            places = places[~np.isin(places, seen[some])]
+            if len(places):
+                whose = np.searchsorted(ends, places, side="right")
+                yield pd.DataFrame({"schedule_id": ids[whose],
+                                    "slot": first[whose] + places - before[whose]})
+        self._keep(pairs[~over], 0)
+        grids["next"] = after
+        self.grids.update((pack(grids),))
+        self._wait(grids)
 
     def close(self) -> None:
         pass
@@ -219,12 +260,15 @@ def stream_missed_slots(schedules: DataFrame, runs: DataFrame, t0: str, t1: str,
     # By the event time itself, so that runs outside the grid still move the watermark on.
     at = F.unix_seconds("ts")
     slot = F.floor((at - begin) / every)
+    share = F.pmod(F.xxhash64("schedule_id"), F.lit(SCHEDULE_SHARES))
     started = (timed.where((at >= begin) & (at < until))
                .join(active, "schedule_id")
-               .select("ts", "schedule_id", slot.alias("slot")))
-    out = started.groupBy("schedule_id").transformWithStateInPandas(
+               .select("ts", share.alias("share"), "schedule_id", slot.alias("slot")))
+    first = (active.where("schedule_id IS NOT NULL").dropDuplicates(["schedule_id"])
+             .withColumn("share", share))
+    out = started.groupBy("share").transformWithStateInPandas(
         _Slots(begin, until), "schedule_id long, slot long", "Append", "EventTime",
-        initialState=active.dropDuplicates(["schedule_id"]).groupBy("schedule_id"))
+        initialState=first.groupBy("share"))
     starts = F.lit(t0).cast(kind) + seconds(F.col("slot") * F.col("every_seconds"))
     return out.join(active, "schedule_id").select("schedule_id", "slot", starts.alias("slot_start"))
 

@@ -272,6 +272,27 @@ def test_state_of_waiting_records_is_by_share(session, tmp_path):
     assert got.count() > 1000
 
 
+def test_state_of_schedules_is_by_share(session, tmp_path, monkeypatch):
+    monkeypatch.setattr(timers, "SCHEDULE_SHARES", 3, raising=False)
+    schedules = session.range(500).selectExpr("id AS schedule_id", "60 * (1 + id % 50) AS every_seconds",
+                                              "id % 9 = 0 AS suspend")
+    feed = Feed(session, tmp_path, "schedule_id long, start timestamp")
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    t0, t1 = "2024-01-07 00:00:00", "2024-01-07 07:30:00"
+    for n, minute in enumerate((7, 8, 60, 61, 700)):
+        rows = [(i * (n + 3) % 520, at(minute - i % 40)) for i in range(300)]
+        feed.add([*rows, (None, at(minute)), (7, at(minute))])
+        stream = timers.stream_missed_slots(schedules, feed.stream(), t0, t1, "40 minutes")
+        got, most = run_and_count_state(stream, out, checkpoint)
+        assert most < 100
+        batch = U.missed_slots(schedules, session.read.parquet(feed.path), t0, t1).join(
+            schedules.select("schedule_id", "every_seconds"), "schedule_id")
+        over = F.expr("slot_start + make_dt_interval(0, 0, 0, every_seconds)") <= F.lit(at(minute - 40))
+        want = batch.where(over).select("schedule_id", "slot", "slot_start")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.count() > 10_000
+
+
 def test_a_value_is_forgotten_after_its_time(session, tmp_path):
     feed = Feed(session, tmp_path, "k string, v long")
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
