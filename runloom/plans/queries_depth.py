@@ -91,9 +91,14 @@ SELECT name, up AS ancestor, hops FROM chain"""
 
 @query("owner_chain", ANCESTORS_SQL)
 def owner_chain(spark, d):
-    """All owners of owners by recursive SQL; a chain ends where it comes back to one of its names."""
+    """All owners of owners by recursive SQL; a chain ends where it comes back to one of its names.
+
+    Each level joins all owners again; as broadcasts they would come to the driver once a level.
+    """
     child = open_session(spark, {"spark.sql.cteRecursionRowLimit": "-1",
-                                 "spark.sql.cteRecursionLevelLimit": "10000"})
+                                 "spark.sql.cteRecursionLevelLimit": "10000",
+                                 "spark.sql.autoBroadcastJoinThreshold": "-1",
+                                 "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"})
     S.owners(child, d).createOrReplaceTempView("owners")
     return child.sql("""
         WITH RECURSIVE chain(name, up, hops, path) AS (

@@ -12,6 +12,7 @@ from runloom.operators import closure, pruning, samples, sketches
 from runloom.plans import corrections
 from runloom.plans import queries_depth as Q
 from runloom.plans import report as R
+from runloom.plans.catalogue import QUERIES
 from runloom.session import open_session
 from runloom.sources import curves, files, sinks
 
@@ -120,6 +121,17 @@ def test_roots_of_random_chains_and_cycles(spark, seed):
     assert {tuple(x) for x in got.collect()} == plain_roots(edges)
 
 
+def test_chains_are_joined_without_broadcasts(spark, tmp_path):
+    """However small the owners: each level would bring them to the driver once more."""
+    spark.range(1, 300).select(F.col("id").alias("p_partkey")).write.parquet(str(tmp_path / "part.parquet"))
+    chain = QUERIES["owner_chain"](spark, str(tmp_path))
+    for kind in ("", "adaptive."):
+        assert chain.sparkSession.conf.get(f"spark.sql.{kind}autoBroadcastJoinThreshold") == "-1"
+    ups = {(r["name"], r["ancestor"]): r["hops"] for r in chain.collect()}
+    assert ups["r-298", "r-99"] == 1 and ups["r-298", "r-33"] == 2
+    assert ups["r-1", "r-2"] == ups["r-2", "r-1"] == 1 and ups["r-1", "r-1"] == 2
+
+
 def test_no_owners(spark):
     empty = spark.createDataFrame([], "name string, owner string")
     assert closure.root_owners(empty).count() == 0
