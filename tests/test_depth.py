@@ -161,6 +161,32 @@ def test_reachable_pairs_with_fewest_steps(spark, seed):
     assert set(rows) == want and len(rows) == len(want)
 
 
+@pytest.mark.parametrize("rows", [1, 10, 100])
+def test_a_round_has_tasks_by_its_pairs(spark, monkeypatch, rows):
+    """Many ways lead through one name; the pairs are dealt to many tasks, and stay the same."""
+    monkeypatch.setattr(closure, "ROWS_OF_TASK", rows, raising=False)
+    edges = ([(f"a{i}", "hub") for i in range(40)] + [("hub", f"b{i}") for i in range(12)]
+             + [("b0", "c"), ("c", "a0"), ("b1", "d"), ("d", "d")])
+    sent = []
+    write = closure._written
+
+    def written(df, name):
+        sent.append(df.rdd.getNumPartitions())
+        return write(df, name)
+
+    monkeypatch.setattr(closure, "_written", written)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "2"}
+    child = open_session(spark, conf)
+    got = closure.reachable(child.createDataFrame(edges, "source string, target string"))
+    rows_got = [tuple(x) for x in got.collect()]
+    monkeypatch.undo()
+    want = [tuple(x) for x in closure.reachable(spark.createDataFrame(
+        edges, "source string, target string")).collect()]
+    assert sorted(rows_got) == sorted(want) and len(set(rows_got)) == len(rows_got)
+    assert ("a5", "a0", 4) in rows_got and ("hub", "hub", 4) in rows_got and ("d", "d", 1) in rows_got
+    assert max(sent) >= 480 // rows  # 40 x 12 pairs in the first round
+
+
 # --- stored sketches -------------------------------------------------------------------------
 
 def hours(spark, rows):
