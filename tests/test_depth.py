@@ -3,6 +3,7 @@
 import datetime
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -187,6 +188,54 @@ def test_a_round_has_tasks_by_its_pairs(spark, monkeypatch, rows):
     assert max(sent) >= 480 // rows  # 40 x 12 pairs in the first round
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(i).getName() for i in range(files.size())]
+    return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_a_round_is_made_in_slices_that_leave_no_shuffles(spark, monkeypatch, few):
+    """Cycles, ways that meet again, a target and a source with more rows than a task should have."""
+    monkeypatch.setattr(closure, "ROWS_OF_TASK", 60)
+    monkeypatch.setattr(closure, "MOST_BROADCAST", few, raising=False)
+    monkeypatch.setattr(closure, "_slices", lambda rows, spark: 2 if rows > 100 else 1, raising=False)
+    edges = ([(f"a{i}", "hub") for i in range(12)] + [("hub", f"b{i}") for i in range(9)]
+             + [(f"b{i}", f"c{i // 2}") for i in range(9)] + [(f"b{i}", f"c{i // 3}") for i in range(9)]
+             + [("c0", "a0"), ("c1", "c1")])
+    child = open_session(spark, {"spark.sql.shuffle.partitions": "2", "spark.sql.adaptive.enabled": "false"})
+    given = closure._written(child.createDataFrame(edges, "source string, target string").coalesce(1), "given")
+    names, write = [], closure._written
+
+    def noted(df, name):
+        names.append(f"{name}-")
+        return write(df, name)
+
+    monkeypatch.setattr(closure, "_written", noted)
+    before = shuffle_files(spark)
+    got = closure.reachable(given)
+    # The first write belongs to the session of the edges.
+    for _ in range(100):
+        if len(left := shuffle_files(spark) - before) <= 1:
+            break
+        time.sleep(0.1)
+    assert len(left) <= 1
+    nexts, want = {}, set()
+    for a, b in edges:
+        nexts.setdefault(a, set()).add(b)
+    for start in nexts:
+        far, front, hops = {}, {start}, 0
+        while front:
+            hops += 1
+            front = {b for a in front for b in nexts.get(a, ()) if b not in far}
+            far.update(dict.fromkeys(front, hops))
+        want |= {(start, b, h) for b, h in far.items()}
+    rows = [tuple(x) for x in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert got.sparkSession.conf.get("spark.sql.shuffle.partitions") == "2"
+    assert sum("-2-1-" in name for name in names) > 1  # second slices of two
+
+
 # --- stored sketches -------------------------------------------------------------------------
 
 def hours(spark, rows):
