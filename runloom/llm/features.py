@@ -56,7 +56,7 @@ class Vocabulary:
     """The words of some short texts that are looked for; any other word is as good as another."""
 
     def __init__(self, texts: Sequence[str]):
-        words = {w for text in texts for w in WORD.findall(text.lower())}
+        words = dict.fromkeys(w for text in texts for w in WORD.findall(text.lower()))  # in their order, in every run
         self.known = {w: xxhash.xxh64_intdigest(w) or 1 for w in words}
 
     def hashes(self, text: str) -> np.ndarray:
